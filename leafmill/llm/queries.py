@@ -1,10 +1,12 @@
 """Registered queries of the training-data operators and, where SQL can say the same, their SQL."""
 
 from leafmill.llm.minhash_dedup import op4_minhash_dedup
+from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
 }
 ORACLE_SQL = {
