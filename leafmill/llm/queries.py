@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators and, where SQL can say the same, their SQL."""
 
 from leafmill.llm.minhash_dedup import op4_minhash_dedup
+from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
 
@@ -8,7 +9,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op7_mix_sources": op7_mix_sources,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op7_mix_sources": OP7_SQL,
 }
