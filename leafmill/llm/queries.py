@@ -4,14 +4,17 @@ from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
+from leafmill.llm.url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_url_filters": op8_url_filters,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op8_url_filters": OP8_SQL,
 }
