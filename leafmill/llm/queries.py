@@ -4,6 +4,7 @@ from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
+from leafmill.llm.toxicity import op10_toxicity
 from leafmill.llm.url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_filters": op8_url_filters,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
