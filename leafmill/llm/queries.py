@@ -6,17 +6,20 @@ from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
 from leafmill.llm.toxicity import op10_toxicity
 from leafmill.llm.url_filters import OP8_SQL, op8_url_filters
+from leafmill.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op6_warc": op6_warc,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_filters": op8_url_filters,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op6_warc": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op8_url_filters": OP8_SQL,
 }
