@@ -1,5 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can say the same, their SQL."""
 
+from leafmill.llm.ann_search import op3_ann_search
 from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
@@ -11,6 +12,7 @@ from leafmill.llm.warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ann_search": op3_ann_search,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_warc": op6_warc,
     "op7_mix_sources": op7_mix_sources,
