@@ -5,6 +5,7 @@ from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
+from leafmill.llm.secret_scan import op9_secret_scan
 from leafmill.llm.toxicity import op10_toxicity
 from leafmill.llm.url_filters import OP8_SQL, op8_url_filters
 from leafmill.llm.warc import OP6_SQL, op6_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_filters": op8_url_filters,
+    "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
