@@ -1,4 +1,56 @@
-"""The corpus pipeline: quality rules, near-dedup, secret scan, mixing, packing."""
+"""The corpus pipeline: quality rules, near-dedup, secret scan, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's
+docs. All but the last return the columns of ``documents``, with n_chars kept in step with the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import minhash_dedup, mixing, packing, quality_rules, secret_scan
+from leafmill.llm._shared import written
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that failed."""
+    return _sized(quality_rules.clean(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    return minhash_dedup.deduplicated(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return _sized(secret_scan.redacted(docs, secret_scan.trained_on(docs, path_col="source"), path_col="source"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document, in training order; a partial last take holds the words taken."""
+    return _sized(mixing.training_rows(mixing.mix(docs)).select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents and their places in sequences of 1,024 tokens."""
+    return packing.packed(written(packing.pieces(docs, packing.vocabulary()), "pieces"))
+
+
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("secret scan", secrets), ("mixing", mix), ("packing", pack)]
+
+#: Fitted trees, signatures and length patterns have no SQL form.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another on the documents table, each result written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

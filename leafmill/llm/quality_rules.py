@@ -140,7 +140,9 @@ def judge(
 
 def clean(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
     """The documents that pass, with their failing lines removed; the columns of ``docs``."""
-    judged = judge(docs, text_col, **rules).filter("quality_verdict.kept")
+    # A column that isn't deterministic keeps the filter above the judgement; pushed down, it would judge twice and inline
+    # every step into the next.
+    judged = judge(docs, text_col, **rules).withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0 AND quality_verdict.kept")
     return judged.select(*[(F.col("quality_verdict.clean_text") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -1,5 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can say the same, their SQL."""
 
+import corpus_pipeline
 from leafmill.llm.ann_search import op3_ann_search
 from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
@@ -20,6 +21,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
