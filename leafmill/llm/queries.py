@@ -7,6 +7,7 @@ from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
 from leafmill.llm.secret_scan import op9_secret_scan
+from leafmill.llm.suffix_dedup import op5_suffix_dedup
 from leafmill.llm.toxicity import op10_toxicity
 from leafmill.llm.url_filters import OP8_SQL, op8_url_filters
 from leafmill.llm.warc import OP6_SQL, op6_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ann_search": op3_ann_search,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_filters": op8_url_filters,
