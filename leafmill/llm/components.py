@@ -33,9 +33,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges. Each round is written to the shared folder, which cuts the lineage. Self-loops, repeated edges and both
     directions of an edge are allowed; rows with a null end are ignored; an empty table gives an empty result.
     """
-    own = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
-    loops = own.filter("a = b").select("a", "b").distinct()
-    now = written(_small_star(own.filter("a <> b")), name)
+    # The edges may be costly to compute: they are written before anything reads them twice.
+    own = written(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), name)
+    loops = own.filter("a = b")
+    now = own.filter("a <> b")
     mark = _mark(now)
     while mark[0]:
         now = written(_small_star(_large_star(now)), name)

@@ -4,7 +4,8 @@
    signature of minwise tokens. Documents with equal sets form a class; only one row a class goes on.
 2. In several independent trees, classes branch by a few randomly chosen positions of the signature: a node's children
    hold the classes that agree on the minwise token there. A pair whose similarity is the threshold meets in one child
-   on average. Nodes of at most ``LEAF`` classes stop and are compared exhaustively by signature; larger ones branch on.
+   on average. Nodes of at most ``LEAF`` classes stop and are compared exhaustively by signature; larger ones branch on,
+   unless a branch took hardly any away: such a node is one large group of near copies and is compared in blocks.
 3. What agrees well enough there forms coarse groups. Whole texts are fetched for these groups only, and every pair of
    a group is decided on its full shingle sets. Groups of any size are dealt in blocks, so that each task holds two
    blocks at most; a task returns a spanning forest of its links, never all pairs.
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from leafmill.llm._shared import written
 from leafmill.llm.components import connected_components
@@ -26,9 +28,10 @@ from leafmill.llm.components import connected_components
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
 POSITIONS = 64  #: minwise tokens in a signature
-TREES = 12
+TREES = 9
 LEVELS = 6
 LEAF = 48
+DENSE = 0.6  #: a child that keeps more of its node than this is alike throughout: branching ends
 BLOCK = 192  #: texts in a task of full sets
 WIDE = 512  #: classes in a block of a node that stays large
 #: Signatures that agree on fewer positions than this share of the threshold, less five standard deviations, are not fetched.
@@ -47,34 +50,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-class _WordHash(dict):
-    """Word -> 64-bit hash; emptied when it holds ``LIMIT`` words."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _WordHash()
-
-
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; A-Z are lower-cased, words end at ASCII white space."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, _U)
-    w = np.fromiter(map(_WORDS.__getitem__, found), _U, len(found))
+    w = np.fromiter(map(xxh3_64_intdigest, found), _U, len(found))
     place = _PLACE if size == SHINGLE else np.random.default_rng(size).integers(1, 2**63, size, dtype=np.uint64) * _U(2) + _U(1)
     n = min(size, len(w))
     h = w[: len(w) - n + 1] * place[0]
     for j in range(1, n):
-        h = h + _mix(w[j : len(w) - n + 1 + j]) * place[j]
+        h += w[j : len(w) - n + 1 + j] * place[j]  # the words' hashes are mixed already; the odd factors tell places apart
     return np.unique(_mix(h + _U(n)))
 
 
@@ -173,8 +159,9 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     both = np.zeros((n, n), np.float32)
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    width = max(256, 4_000_000 // max(1, n))
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+    columns = int(token[-1]) + 1 if len(token) else 0
+    width = min(columns, max(256, 4_000_000 // max(1, n)))
+    for at in range(0, columns, max(1, width)):
         lo, hi = np.searchsorted(token, [at, at + width])
         x = np.zeros((n, width), np.float32)
         x[owner[lo:hi], token[lo:hi] - at] = 1
@@ -215,26 +202,25 @@ def coarse_links(classes: DataFrame, percent: int, trees: int = TREES, levels: i
     rate = percent / 100
     least = max(1, int(np.floor(POSITIONS * (rate - SIGMAS * np.sqrt(rate * (1 - rate) / POSITIONS)))))
     nodes = classes.select("rep", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    nodes = nodes.select("rep", F.explode(_branches(F.xxhash64("tree"), F.col("sig"), 0, percent)).alias("node"))
+    nodes = nodes.select("rep", F.explode(_branches(F.xxhash64("tree"), F.col("sig"), 0, percent)).alias("node"), F.lit(None).cast("long").alias("above"))
     leaves = None
     for level in range(1, levels + 1):
         nodes = written(nodes, f"dedup-level{level}")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "_node")
-        sized = nodes.join(sizes, F.col("node") == F.col("_node")).select("rep", "node", "n")
-        small = sized.filter(F.col("n") <= leaf) if level < levels else sized
+        sized = nodes.join(sizes, F.col("node") == F.col("_node")).select("rep", "node", "n", "above")
+        ends = (F.col("n") <= leaf) | F.coalesce(F.col("n") > DENSE * F.col("above"), F.lit(False)) | F.lit(level == levels)
+        small = sized.filter(ends).select("rep", "node", "n")
         leaves = small if leaves is None else leaves.union(small)
-        if level == levels:
-            break
-        large = written(sized.filter(F.col("n") > leaf).select("rep", "node"), f"dedup-large{level}")
-        if large.isEmpty():
+        large = written(sized.filter(~ends).select("rep", "node", "n"), f"dedup-large{level}")
+        if level == levels or large.isEmpty():
             break
-        nodes = large.join(classes, "rep").select("rep", F.explode(_branches(F.col("node"), F.col("sig"), level, percent)).alias("node"))
-    # Nodes that stayed large at the last level are compared block against block.
+        nodes = large.join(classes, "rep").select("rep", F.explode(_branches(F.col("node"), F.col("sig"), level, percent)).alias("node"), F.col("n").alias("above"))
+    # Nodes that stayed large are compared block against block.
     blocks = F.ceil(F.col("n") / WIDE).cast("int")
-    blocked = leaves.select("rep", "node", F.when(F.col("n") <= leaf, F.lit(1)).otherwise(blocks).alias("k"))
+    blocked = leaves.select("rep", "node", F.when(F.col("n") <= WIDE, F.lit(1)).otherwise(blocks).alias("k"))
     blocked = _dealt(blocked, "node").select("rep", F.col("task").alias("node"))
     rows = blocked.join(classes, "rep").repartition("node").sortWithinPartitions("node")
-    return rows.select("node", "rep", "sig").mapInPandas(_compare_signatures(least), "a long, b long").distinct()
+    return rows.select("node", "rep", "sig").mapInPandas(_compare_signatures(least), "a long, b long")
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
@@ -279,7 +265,7 @@ def near_duplicates(
     texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])  # repeated rows
     tasks = _dealt(texts, "component").select("task", "rep", "text")
     links = tasks.repartition("task").sortWithinPartitions("task").mapInPandas(_verify(shingle, percent), "a long, b long")
-    classes_of = connected_components(links.distinct(), "dedup-links").withColumnRenamed("node", "_rep")
+    classes_of = connected_components(links, "dedup-links").withColumnRenamed("node", "_rep")
     named = classes.select("set_a", "set_b", "rep").join(classes_of, F.col("rep") == F.col("_rep"), "left")
     named = named.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("component", "rep").alias("_component"))
     met = (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") > 0)
@@ -290,12 +276,16 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each near-duplicate group: the rows of ``docs`` whose id is their component's smallest.
+    """One document of each near-duplicate group: the row of ``docs`` whose id is its component's smallest.
 
-    Repeated rows of a kept id stay one row; columns are those of ``docs``.
+    Documents without a shingle are groups of their own. Of rows that repeat a kept id one stays; rows with a null id go.
+    Columns are those of ``docs``.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    groups = written(near_duplicates(docs, id_col, text_col, **options), "dedup-groups")
+    kept = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_kept_id")
+    met = docs.join(kept.select("_kept_id"), F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi")
+    # Texts are sorted to single out repeated ids only where there are any.
+    return met if kept.filter("_n > 1").isEmpty() else met.dropDuplicates([id_col])
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
