@@ -206,19 +206,20 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     grams = docs.mapInPandas(_all_runs(length, gram, True), "gram long")
     twice = grams.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("gram").alias("_gram"))
     every = docs.mapInPandas(_all_runs(length, gram, False), "gram long, ctx long, key long, start int, windows int")
-    again = written(every.join(twice, F.col("gram") == F.col("_gram"), "left_semi"), "suffix-runs")
+    again = written(every.join(twice.hint("merge"), F.col("gram") == F.col("_gram"), "left_semi"), "suffix-runs")
     contexts = again.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at"))
     contexts = written(contexts, "suffix-contexts")
     several = contexts.groupBy("gram").agg(F.count("*").alias("n_ctx")).filter("n_ctx > 1").withColumnRenamed("gram", "_gram")
     unlike = contexts.join(several, F.col("gram") == F.col("_gram")).select("gram", "ctx", "n_ctx", "at.key", "at.start", (F.col("at.start") + F.col("at.windows") - 1 + length).alias("end"))
     wanted = unlike.groupBy("key").agg(F.collect_list(F.struct("gram", "ctx", "start", "end")).alias("wanted")).withColumnRenamed("key", "_key")
-    one = docs.join(wanted, F.col("key") == F.col("_key")).select("text", "wanted")
+    # Merge joins at every size: what is joined grows with the corpus, so it isn't broadcast where it happens to be small.
+    one = docs.join(wanted.hint("merge"), F.col("key") == F.col("_key")).select("text", "wanted")
     cut = one.mapInPandas(_cut, "gram long, ctx long, bytes binary").dropDuplicates(["gram", "ctx"])  # repeated rows share a key
     sizes = several.withColumnRenamed("_gram", "_g")
     merged = written(_merged(cut.join(sizes, F.col("gram") == F.col("_g")).select("gram", "ctx", "n_ctx", "bytes"), length), "suffix-merged")
     whole = contexts.filter("n > 1").select("gram", "ctx", F.lit(0).cast("long").alias("first"), (F.col("at.windows") - 1).cast("long").alias("last"))
     parts = merged.join(contexts.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_anti").union(whole).toDF("_gram", "_ctx", "first", "last")
-    met = again.join(parts, (F.col("gram") == F.col("_gram")) & (F.col("ctx") == F.col("_ctx")))
+    met = again.join(parts.hint("merge"), (F.col("gram") == F.col("_gram")) & (F.col("ctx") == F.col("_ctx")))
     return met.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))).alias("repeats"))
 
 
@@ -232,7 +233,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("key", F.xxhash64("id", "text"))
     spans = repeated_spans(source.select("key", "text"), length=length, gram=gram).withColumnRenamed("key", "_key")
-    met = source.join(spans, F.col("key") == F.col("_key"), "left").select("id", "text", "repeats")
+    met = source.join(spans.hint("merge"), F.col("key") == F.col("_key"), "left").select("id", "text", "repeats")
     out = met.mapInPandas(_remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     return out.withColumnRenamed("id", id_col)
 
