@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from leafmill.operators import filters, retrieval, scoring  # noqa: F401
+from leafmill.operators import filters, retrieval, scoring, structure  # noqa: F401
 from leafmill.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
