@@ -122,7 +122,7 @@ def extension(uri: Column) -> Column:
 
 
 def version_of(text: Column) -> Column:
-    return F.regexp_extract(text, "(?i)\\b(?:version|rev(?:ision)?|ver)\\.?\\s*[:#]?\\s*v?([0-9]+(?:\\.[0-9]+)*)", 1)
+    return F.regexp_extract(text, "(?i)(?:^|[^\\p{L}\\p{N}])(?:version|rev(?:ision)?|ver)\\.?\\s*[:#]?\\s*v?([0-9]+(?:\\.[0-9]+)*)", 1)
 
 
 def bump(version: Column, major: bool = False) -> Column:
@@ -170,5 +170,5 @@ def document_type(text: Column) -> Column:
     kinds = (("protocol", "protocol"), ("report", "report"), ("sop|standard operating procedure|procedure", "sop"), ("policy", "policy"), ("plan", "plan"), ("specification", "specification"))
     out = F.lit("document")
     for pattern, kind in reversed(kinds):
-        out = F.when(text.rlike(f"(?i)\\b({pattern})\\b"), kind).otherwise(out)
+        out = F.when(text.rlike(f"(?i)(^|[^\\p{{L}}\\p{{N}}])({pattern})($|[^\\p{{L}}\\p{{N}}])"), kind).otherwise(out)
     return out
