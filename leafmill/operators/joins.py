@@ -254,7 +254,9 @@ query("context_versions", "SELECT a.project_id, a.run_id, b.run_id AS other FROM
 
 # ------------------------------------------------------------------------------------------ layout
 
-_PAGE = Window.partitionBy("doc_id", "page")
+
+def _page():
+    return Window.partitionBy("doc_id", "page")
 
 
 def bbox_exclude(blocks: DataFrame, boxes: DataFrame, most: float = 0.5) -> DataFrame:
@@ -288,7 +290,7 @@ def _superscripts(spans: DataFrame) -> DataFrame:
 
 
 query("reading_order", "SELECT doc_id, page, ord, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, ord) AS INTEGER) AS n FROM spans", "spans")(
-    lambda t: t.spans.select("doc_id", "page", "ord", F.row_number().over(_PAGE.orderBy("y0", "x0", "ord")).alias("n"))
+    lambda t: t.spans.select("doc_id", "page", "ord", F.row_number().over(_page().orderBy("y0", "x0", "ord")).alias("n"))
 )
 query("block_grouping", ", b AS (SELECT *, CASE WHEN lag(y1) OVER w IS NULL OR y0 - lag(y1) OVER w > 1.2 * (y1 - y0) OR abs(size - lag(size) OVER w) > 2 OR bold <> lag(bold) OVER w THEN 1 ELSE 0 END AS nw FROM spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, ord, x0, text, size, bold)) SELECT doc_id, page, ord, CAST(sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y0, ord, x0, text, size, bold ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS block FROM b", "spans")(
     lambda t: block_grouping(t.spans).select("doc_id", "page", "ord", "block")
@@ -297,7 +299,7 @@ query("block_grouping", ", b AS (SELECT *, CASE WHEN lag(y1) OVER w IS NULL OR y
 
 def block_grouping(lines: DataFrame) -> DataFrame:
     """Adds block: a new one after a gap of 1.2 line heights, a change of size by more than 2, or of boldness."""
-    w = _PAGE.orderBy("y0", "ord", "x0", "text", "size", "bold")
+    w = _page().orderBy("y0", "ord", "x0", "text", "size", "bold")
     new = F.lag("y1").over(w).isNull() | (F.col("y0") - F.lag("y1").over(w) > 1.2 * (F.col("y1") - F.col("y0"))) | (F.abs(F.col("size") - F.lag("size").over(w)) > 2) | (F.col("bold") != F.lag("bold").over(w))
     return lines.withColumn("_n", new.cast("int")).withColumn("block", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 

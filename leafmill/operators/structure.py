@@ -12,8 +12,16 @@ from leafmill.functions import text as X
 from leafmill.plans.registry import query
 from leafmill.sources.html import typed
 
-DOC = Window.partitionBy("doc_id").orderBy("pos")
-SO_FAR = DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _doc():
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
+def _so_far():
+    return _doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 
 _UP = "regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}|\\p{{Lt}}')"
 _TITLE = "regexp_matches({0}, '[\\p{{Lu}}\\p{{Lt}}]') AND NOT regexp_matches({0}, '[\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}][\\p{{Lu}}\\p{{Lt}}]') AND NOT regexp_matches({0}, '(^|[^\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}])\\p{{Ll}}')"
@@ -27,7 +35,7 @@ def is_heading():
 
 def sectionize_text(lines: DataFrame) -> DataFrame:
     """(doc_id, idx, heading, level, body): a short upper- or title-case line opens a section; text before is level 0."""
-    rows = lines.filter(F.col("line") != "").withColumn("_h", is_heading()).withColumn("idx", F.sum(F.col("_h").cast("int")).over(SO_FAR))
+    rows = lines.filter(F.col("line") != "").withColumn("_h", is_heading()).withColumn("idx", F.sum(F.col("_h").cast("int")).over(_so_far()))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     return rows.groupBy("doc_id", "idx").agg(F.max(F.when(F.col("_h"), F.col("line"))).alias("heading"), F.max(F.col("_h").cast("int")).alias("level"), body.alias("body"))
 
@@ -58,14 +66,14 @@ query("element_counts", _TYPED + " SELECT doc_id, type, count(*) AS n FROM typed
 )
 def _sectionize_elements(t):
     """Sections at headings; list items are marked again in the body."""
-    e = typed(t.elements).withColumn("idx", F.sum((F.col("type") == "heading").cast("int")).over(SO_FAR))
+    e = typed(t.elements).withColumn("idx", F.sum((F.col("type") == "heading").cast("int")).over(_so_far()))
     line = F.when(F.col("type") == "list_item", F.concat(F.lit("- "), "txt")).otherwise(F.col("txt"))
     body = F.array_sort(F.collect_list(F.when(F.col("type") != "heading", F.struct("pos", line.alias("line")))))
     return e.groupBy("doc_id", "idx").agg(F.max(F.when(F.col("type") == "heading", F.col("txt"))).alias("heading"), F.max("level").alias("level"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("body"))
 
 
 query("outline", _TYPED + " SELECT doc_id, pos, level, left(txt, 180) AS title FROM typed WHERE type = 'heading' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 200", "elements")(
-    lambda t: typed(t.elements).filter("type = 'heading'").withColumn("_n", F.row_number().over(DOC)).filter("_n <= 200").select("doc_id", "pos", "level", F.substring("txt", 1, 180).alias("title"))
+    lambda t: typed(t.elements).filter("type = 'heading'").withColumn("_n", F.row_number().over(_doc())).filter("_n <= 200").select("doc_id", "pos", "level", F.substring("txt", 1, 180).alias("title"))
 )
 
 
@@ -91,10 +99,10 @@ query("heading_level_normalize")(lambda t: heading_level_normalize(_levels(t)).s
 
 def list_groups(items: DataFrame) -> DataFrame:
     """Adds group_no over (doc_id, pos, kind, level): a new group after another kind, a gap in items, or a shallower level."""
-    kind, level = F.lag("kind").over(DOC), F.lag("level").over(DOC)
+    kind, level = F.lag("kind").over(_doc()), F.lag("level").over(_doc())
     new = F.coalesce((kind.isNull()) | (kind != F.col("kind")) | (F.col("level") < level), F.lit(True))
     new = F.when(F.col("kind").isNull(), False).otherwise(new)
-    return items.withColumn("_new", new.cast("int")).withColumn("group_no", F.when(F.col("kind").isNotNull(), F.sum("_new").over(SO_FAR))).drop("_new")
+    return items.withColumn("_new", new.cast("int")).withColumn("group_no", F.when(F.col("kind").isNotNull(), F.sum("_new").over(_so_far()))).drop("_new")
 
 
 _KIND = "CASE WHEN regexp_matches(line, '^\\s*[-*\\x{2022}\\x{b7}\\x{25cf}]\\s+\\S') THEN 'bullet' WHEN regexp_matches(line, '^\\s*([0-9]{1,3}|[a-z])[.)]\\s+\\S') THEN 'number' END"
@@ -115,13 +123,13 @@ query(
 def _list_numbering(t):
     """Counters of list items, started again after any other line."""
     k = t.marked_lines.select("doc_id", "pos", X.list_leader(F.col("line")).alias("kind"))
-    k = k.withColumn("g", F.sum((~F.col("kind").eqNullSafe("bullet")).cast("int")).over(SO_FAR)).filter("kind = 'bullet'")
+    k = k.withColumn("g", F.sum((~F.col("kind").eqNullSafe("bullet")).cast("int")).over(_so_far())).filter("kind = 'bullet'")
     return k.select("doc_id", "pos", F.row_number().over(Window.partitionBy("doc_id", "g").orderBy("pos")).alias("number"))
 
 
 def islands(rows: DataFrame, flag) -> DataFrame:
     """Rows where ``flag`` holds, with island (a number a run of consecutive positions) and run_len."""
-    kept = rows.filter(flag).withColumn("island", F.col("pos") - F.row_number().over(DOC))
+    kept = rows.filter(flag).withColumn("island", F.col("pos") - F.row_number().over(_doc()))
     return kept.withColumn("run_len", F.count("*").over(Window.partitionBy("doc_id", "island")))
 
 
@@ -165,8 +173,8 @@ query(
 
 def _numbered_runs(lines: DataFrame) -> DataFrame:
     """Adjacent numbered lines, blanks aside, are a list; a short one alone is a heading."""
-    n = lines.filter("line <> ''").withColumn("_o", F.row_number().over(DOC)).filter(F.col("line").rlike("^[0-9]+\\.\\s"))
-    n = n.withColumn("_i", F.col("_o") - F.row_number().over(DOC)).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "_i")))
+    n = lines.filter("line <> ''").withColumn("_o", F.row_number().over(_doc())).filter(F.col("line").rlike("^[0-9]+\\.\\s"))
+    n = n.withColumn("_i", F.col("_o") - F.row_number().over(_doc())).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "_i")))
     return n.select("doc_id", "pos", F.when(F.col("_n") >= 2, "number").when(F.length("line") <= 80, "heading").otherwise("body").alias("role"))
 
 
@@ -181,7 +189,7 @@ query(
 def masthead_roles(lines: DataFrame) -> DataFrame:
     """Roles of the lines before the first blank or numbered one: a title, a short subtitle, metadata."""
     stop = F.min(F.when((F.col("line") == "") | F.col("line").rlike("^[0-9]+(\\.[0-9]+)*\\.?\\s"), F.col("pos"))).over(Window.partitionBy("doc_id"))
-    m = lines.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))).withColumn("_n", F.row_number().over(DOC))
+    m = lines.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))).withColumn("_n", F.row_number().over(_doc()))
     role = F.when(F.col("_n") == 1, "title").when((F.col("_n") == 2) & (F.size(F.split("line", " ")) <= 18), "subtitle").otherwise("metadata")
     return m.select("doc_id", "pos", role.alias("role"))
 
@@ -198,7 +206,7 @@ query("collapse_blanks", "SELECT doc_id, pos, line FROM (SELECT *, lag(line) OVE
 
 def collapse_blanks(lines: DataFrame) -> DataFrame:
     """The first of each run of blank lines stays."""
-    return lines.withColumn("_p", F.lag("line").over(DOC)).filter(~((F.col("line") == "") & F.coalesce(F.col("_p") == "", F.lit(False)))).drop("_p")
+    return lines.withColumn("_p", F.lag("line").over(_doc())).filter(~((F.col("line") == "") & F.coalesce(F.col("_p") == "", F.lit(False)))).drop("_p")
 
 
 query("parent_heading", "SELECT template_id, ord, coalesce(lead(level) OVER (PARTITION BY template_id ORDER BY ord) > level, false) AS is_parent FROM slots", "slots")(
@@ -286,14 +294,14 @@ def _running_line_strip(t):
 )
 def _caption_dedup(t):
     """Short paragraphs that repeat one of the last eight headings are dropped: an equi-join with a band on ordinals."""
-    h = typed(t.elements).withColumn("o", F.sum((F.col("type") == "heading").cast("int")).over(SO_FAR))
+    h = typed(t.elements).withColumn("o", F.sum((F.col("type") == "heading").cast("int")).over(_so_far()))
     heads = h.filter("type = 'heading'").select(F.col("doc_id").alias("d"), F.col("txt").alias("x"), F.col("o").alias("ho"))
     band = (F.col("doc_id") == F.col("d")) & (F.col("txt") == F.col("x")) & (F.col("ho") > F.col("o") - 8) & (F.col("ho") <= F.col("o")) & (F.col("type") != "heading") & (F.length("txt") <= 120)
     return h.join(heads, band, "left_anti").select("doc_id", "pos", "txt")
 
 
 query("flat_heading_promote", ", n AS (SELECT doc_id, pos, line, regexp_matches(line, '^[0-9]+\\.\\s') AS single, regexp_matches(line, '^[0-9]+(\\.[0-9]+)+\\.?\\s') AS deep FROM marked_lines) SELECT doc_id, pos, deep OR (single AND NOT coalesce(lag(single) OVER w, false) AND NOT coalesce(lead(single) OVER w, false) AND NOT ends_with(line, '.')) AS heading FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)", "marked_lines")(
-    lambda t: t.marked_lines.withColumn("single", F.col("line").rlike("^[0-9]+\\.\\s")).select("doc_id", "pos", (F.col("line").rlike("^[0-9]+(\\.[0-9]+)+\\.?\\s") | (F.col("single") & ~F.coalesce(F.lag("single").over(DOC), F.lit(False)) & ~F.coalesce(F.lead("single").over(DOC), F.lit(False)) & ~F.col("line").endswith("."))).alias("heading"))
+    lambda t: t.marked_lines.withColumn("single", F.col("line").rlike("^[0-9]+\\.\\s")).select("doc_id", "pos", (F.col("line").rlike("^[0-9]+(\\.[0-9]+)+\\.?\\s") | (F.col("single") & ~F.coalesce(F.lag("single").over(_doc()), F.lit(False)) & ~F.coalesce(F.lead("single").over(_doc()), F.lit(False)) & ~F.col("line").endswith("."))).alias("heading"))
 )
 
 
@@ -301,4 +309,4 @@ query("flat_heading_promote", ", n AS (SELECT doc_id, pos, line, regexp_matches(
 def _toc_segment(t):
     """Each located heading with the position where the next one starts, or the document ends."""
     h = line_roles(t.marked_lines).withColumn("_end", F.max("pos").over(Window.partitionBy("doc_id")) + 1).filter("role = 'heading'")
-    return h.select("doc_id", "pos", F.coalesce(F.lead("pos").over(DOC), F.col("_end")).alias("stop"))
+    return h.select("doc_id", "pos", F.coalesce(F.lead("pos").over(_doc()), F.col("_end")).alias("stop"))
