@@ -261,7 +261,8 @@ def near_duplicates(
     coarse = coarse.join(sizes, F.col("component") == F.col("_component"))
     blocks = F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") / F.lit(block // 2)).cast("int"))
     wanted = coarse.select(F.col("node").alias("rep"), "component", blocks.alias("k"))
-    texts = source.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "rep", "component", "k", "text")
+    # Merge join at every size: the groups grow with the corpus, so they aren't broadcast where they happen to be few.
+    texts = source.join(wanted.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "rep", "component", "k", "text")
     texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])  # repeated rows
     tasks = _dealt(texts, "component").select("task", "rep", "text")
     links = tasks.repartition("task").sortWithinPartitions("task").mapInPandas(_verify(shingle, percent), "a long, b long")
@@ -283,7 +284,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     groups = written(near_duplicates(docs, id_col, text_col, **options), "dedup-groups")
     kept = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_kept_id")
-    met = docs.join(kept.select("_kept_id"), F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi")
+    met = docs.join(kept.select("_kept_id").hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi")
     # Texts are sorted to single out repeated ids only where there are any.
     return met if kept.filter("_n > 1").isEmpty() else met.dropDuplicates([id_col])
 
