@@ -40,8 +40,9 @@ def weighted_score() -> Column:
     """Weighted credit over weight, of findings that apply; null where none does."""
     credit = _case("status", CREDIT, 0.0)
     total = F.sum(F.when(applies(), weight()))
-    # Rounded in two steps, so that the order of summation doesn't decide a tie.
-    return F.round(F.round(F.sum(F.when(applies(), weight() * credit)) / F.when(total != 0, total), 9), 4)
+    # Half up to four places with a margin far above the error of a sum, so that the order of summation decides no tie.
+    ratio = F.sum(F.when(applies(), weight() * credit)) / F.when(total != 0, total)
+    return F.floor(ratio * 10_000 + 0.5000001) / 10_000
 
 
 def top_section(column: str = "section_no") -> Column:
@@ -106,7 +107,7 @@ def requirement_histogram(requirements: DataFrame) -> DataFrame:
 
 _WEIGHT = "(CASE severity WHEN 'critical' THEN 4 WHEN 'major' THEN 3 WHEN 'minor' THEN 2 WHEN 'info' THEN 1 ELSE 2 END * (CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * least(1, greatest(0, coalesce(CAST(confidence AS DOUBLE), CAST(0.7 AS DOUBLE))))))"
 _CREDIT = "(CASE status WHEN 'compliant' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0::DOUBLE END)"
-_SCORE = f"round(round(sum({_WEIGHT} * {_CREDIT}) FILTER (status <> 'not_applicable') / nullif(sum({_WEIGHT}) FILTER (status <> 'not_applicable'), 0), 9), 4)"
+_SCORE = f"(floor(sum({_WEIGHT} * {_CREDIT}) FILTER (status <> 'not_applicable') / nullif(sum({_WEIGHT}) FILTER (status <> 'not_applicable'), 0) * 10000 + 0.5000001) / 10000)"
 _TOP = "CASE WHEN coalesce(trim(split_part(section_no, '.', 1)), '') = '' THEN '—' ELSE split_part(section_no, '.', 1) END"
 _CRIT = "bool_or(severity = 'critical' AND status = 'non_compliant')"
 _LABEL = "CASE WHEN c THEN 'failing' WHEN s IS NULL THEN 'n/a' WHEN s >= 0.9 THEN 'strong' WHEN s >= 0.75 THEN 'moderate' WHEN s >= 0.5 THEN 'weak' ELSE 'failing' END"
