@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from leafmill.operators import filters, joins, profiles, retrieval, scoring, structure  # noqa: F401
+from leafmill.operators import filters, joins, mapping, profiles, retrieval, scoring, structure  # noqa: F401
 from leafmill.sources import catalog  # noqa: F401
 from leafmill.streaming import runs  # noqa: F401
 from leafmill.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -70,3 +70,40 @@ def test_upsert_last_write_wins(spark):
 def test_cosine_of_a_zero_vector(spark):
     v = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 0.0], [2.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in v.select(retrieval.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
+
+
+def test_greedy_assignment_against_a_model(spark):
+    from leafmill.operators import mapping
+
+    rows = [("g", 1, 10), ("g", 1, 11), ("g", 2, 10), ("g", 3, 10), ("g", 3, 12), ("h", 1, 10), ("h", 2, 10)]
+    used, want = set(), []
+    for g, s in sorted({(g, s) for g, s, _ in rows}):
+        free = [c for a, b, c in sorted(rows) if (a, b) == (g, s) and (g, c) not in used]
+        if free:
+            used.add((g, free[0]))
+            want.append((g, s, free[0]))
+    got = mapping.greedy_assign(spark.createDataFrame(rows, "g string, slot long, section long")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_line_grouping_follows_the_moving_mean(spark):
+    from leafmill.operators import mapping
+
+    ys = [10.0, 11.0, 13.4, 15.0, 30.0]
+    rows = spark.createDataFrame([(1, 1, i, float(i), y) for i, y in enumerate(ys)], "doc_id long, page int, ord int, x0 double, y1 double")
+    got = {r.ord: r.line_no for r in mapping.line_grouping(rows).collect()}
+    no, group, want = -1, [], {}
+    for i, y in enumerate(ys):
+        if not group or abs(y - sum(group) / len(group)) >= 3:
+            no, group = no + 1, []
+        group.append(y)
+        want[i] = no
+    assert got == want
+
+
+def test_blocks_align_in_order(spark):
+    from leafmill.operators import mapping
+
+    old = spark.createDataFrame([(1, 0, "a b c"), (1, 1, "d e f"), (1, 2, "g h i")], "doc_id long, pos int, line string")
+    new = spark.createDataFrame([(1, 0, "d e x"), (1, 1, "g h i j")], "doc_id long, pos int, line string")
+    assert sorted(map(tuple, mapping.block_align(old, new).collect())) == [(1, 1, 0), (1, 2, 1)]
