@@ -159,14 +159,14 @@ query(
 
 @query(
     "section_coverage_gap",
-    f", tops AS (SELECT DISTINCT split_part(section_no, '.', 1) AS section FROM requirements), seen AS (SELECT DISTINCT run_id, {_TOP} AS section FROM findings WHERE status IN ('compliant','partial')), r AS (SELECT run_id FROM runs WHERE flow = 'compliance' AND run_id % 50 = 2) "
+    f", tops AS (SELECT DISTINCT split_part(section_no, '.', 1) AS section FROM requirements), seen AS (SELECT DISTINCT run_id, {_TOP} AS section FROM findings WHERE status IN ('compliant','partial')), r AS (SELECT run_id FROM runs WHERE flow = 'compliance') "
     "SELECT run_id, section, 'major' AS severity, 0.85::DOUBLE AS confidence FROM r CROSS JOIN tops ANTI JOIN seen USING (run_id, section)",
     "findings requirements runs",
 )
 def _section_coverage_gap(t):
     """Top-level guideline sections of which a run has no finding that is at least partial."""
     tops = t.requirements.select(F.split("section_no", "\\.")[0].alias("section")).distinct()  # the sections of guidelines: a few a guideline
-    r = t.runs.filter("flow = 'compliance' AND run_id % 50 = 2").select("run_id")
+    r = t.runs.filter("flow = 'compliance'").select("run_id")
     seen = t.findings.filter(F.col("status").isin("compliant", "partial")).select("run_id", top_section().alias("section")).distinct()
     listed = tops.agg(F.collect_set("section").alias("all"))
     wanted = r.join(F.broadcast(listed)).select("run_id", F.explode("all").alias("section"))
@@ -215,10 +215,10 @@ def align_sections(left: DataFrame, right: DataFrame, least: float = 0.5) -> Dat
 _TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 3 OR regexp_full_match(x, '[0-9]+')))"
 query(
     "align_sections",
-    f", a AS (SELECT code AS g, requirement_id AS a, {_TOKS.format('title')} AS ta FROM requirements WHERE requirement_id % 2 = 0), b AS (SELECT code AS g, requirement_id AS b, {_TOKS.format('title')} AS tb FROM requirements WHERE requirement_id % 10 = 1), "
+    f", a AS (SELECT section_no AS g, requirement_id AS a, {_TOKS.format('title')} AS ta FROM requirements WHERE requirement_id % 3 = 0), b AS (SELECT section_no AS g, requirement_id AS b, {_TOKS.format('title')} AS tb FROM requirements WHERE requirement_id % 3 <> 0), "
     "p AS (SELECT g, a, b, round(len(list_intersect(ta, tb)) / least(len(ta), len(tb)), 3) AS score FROM a JOIN b USING (g)) SELECT * FROM p WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY g, a ORDER BY score DESC, b) = 1",
     "requirements",
-)(lambda t: align_sections(t.requirements.filter("requirement_id % 2 = 0").selectExpr("code AS g", "requirement_id AS id", "title"), t.requirements.filter("requirement_id % 10 = 1").selectExpr("code AS g", "requirement_id AS id", "title")))
+)(lambda t: align_sections(t.requirements.filter("requirement_id % 3 = 0").selectExpr("section_no AS g", "requirement_id AS id", "title"), t.requirements.filter("requirement_id % 3 <> 0").selectExpr("section_no AS g", "requirement_id AS id", "title")))
 
 
 def det_findings(requirements: DataFrame, alignment: DataFrame) -> DataFrame:
@@ -248,8 +248,8 @@ query("run_detail", "SELECT r.run_id, r.flow, r.status, count(DISTINCT finding_i
     .join(t.artifacts.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("artifact_id", "kind"))), lambda x: x["kind"]), ",").alias("k")), "run_id", "left")
     .select("run_id", "flow", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"), F.coalesce("k", F.lit("")).alias("artifacts"))
 )
-query("context_versions", "SELECT a.project_id, a.run_id, b.run_id AS other FROM runs a JOIN runs b USING (project_id) WHERE a.run_id <> b.run_id AND a.run_id % 100 = 1", "runs")(
-    lambda t: t.runs.filter("run_id % 100 = 1").select("project_id", "run_id").join(t.runs.select("project_id", F.col("run_id").alias("other")), "project_id").filter("run_id <> other")
+query("context_versions", "SELECT a.project_id, a.run_id, b.run_id AS other FROM runs a JOIN runs b USING (project_id) WHERE a.run_id <> b.run_id", "runs")(
+    lambda t: t.runs.select("project_id", "run_id").join(t.runs.select("project_id", F.col("run_id").alias("other")), "project_id").filter("run_id <> other")
 )
 
 # ------------------------------------------------------------------------------------------ layout

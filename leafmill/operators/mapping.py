@@ -57,21 +57,21 @@ query(
 query("greedy_assign")(lambda t: greedy_assign(heading_matches(_headings(t, 0), _headings(t, 1))))
 query(
     "section_number_match",
-    ", n AS (SELECT doc_id, pos, regexp_extract(trim(line), '^([0-9]+(?:\\.[0-9]+)*)\\.?(\\s|$)', 1) AS number FROM marked_lines WHERE doc_id < 100) SELECT doc_id, requirement_id, min(pos) AS pos, 0.95::DOUBLE AS confidence FROM n JOIN requirements ON section_no = number WHERE number <> '' AND code = 'G1' GROUP BY doc_id, requirement_id",
+    ", n AS (SELECT doc_id, pos, regexp_extract(trim(line), '^([0-9]+(?:\\.[0-9]+)*)\\.?(\\s|$)', 1) AS number FROM marked_lines) SELECT doc_id, requirement_id, min(pos) AS pos, 0.95::DOUBLE AS confidence FROM n JOIN requirements ON section_no = number WHERE number <> '' AND code = 'G1' GROUP BY doc_id, requirement_id",
     "marked_lines requirements",
 )(
-    lambda t: t.marked_lines.filter("doc_id < 100").select("doc_id", "pos", X.section_number(F.col("line")).alias("section_no")).filter("section_no <> ''").join(t.requirements.filter("code = 'G1'").select("section_no", "requirement_id"), "section_no")
+    lambda t: t.marked_lines.select("doc_id", "pos", X.section_number(F.col("line")).alias("section_no")).filter("section_no <> ''").join(t.requirements.filter("code = 'G1'").select("section_no", "requirement_id"), "section_no")
     .groupBy("doc_id", "requirement_id").agg(F.min("pos").alias("pos"), F.lit(0.95).alias("confidence"))
 )
 
 _TF = (
-    ", it AS (SELECT code AS g, requirement_id AS id, regexp_extract_all(lower(title), '[a-z]{3,}') AS toks FROM requirements), n AS (SELECT g, count(*) AS n FROM it GROUP BY g), tf AS (SELECT g, id, term, count(*) AS tf FROM (SELECT g, id, unnest(toks) AS term FROM it) GROUP BY ALL), "
+    ", it AS (SELECT section_no AS g, requirement_id AS id, regexp_extract_all(lower(title), '[a-z]{3,}') AS toks FROM requirements), n AS (SELECT g, count(*) AS n FROM it GROUP BY g), tf AS (SELECT g, id, term, count(*) AS tf FROM (SELECT g, id, unnest(toks) AS term FROM it) GROUP BY ALL), "
     "df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL), w AS (SELECT tf.g, id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (g, term) JOIN n USING (g))"
 )
 
 
 def _items(t) -> DataFrame:
-    return t.requirements.select(F.col("code").alias("g"), F.col("requirement_id").alias("id"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)).alias("tokens"))
+    return t.requirements.select(F.col("section_no").alias("g"), F.col("requirement_id").alias("id"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)).alias("tokens"))
 
 
 def tfidf_vectors(items: DataFrame) -> DataFrame:
@@ -101,10 +101,10 @@ def tfidf_slot_match(items: DataFrame, slots: DataFrame, sections: DataFrame, le
 
 query(
     "tfidf_slot_match",
-    _TF + ", nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) / (any_value(na.norm) * any_value(nb.norm)), 6) AS score FROM w x JOIN w y ON y.g = x.g AND y.term = x.term JOIN nm na ON na.id = x.id JOIN nm nb ON nb.id = y.id WHERE x.id % 20 = 0 AND y.id % 7 = 1 GROUP BY x.id, y.id), "
-    "best AS (SELECT a, arg_max(b, (score, -b)) AS b, max(score) AS score FROM p GROUP BY a) SELECT requirement_id AS slot, CASE WHEN score >= 0.15 THEN b END AS section, round(coalesce(score, 0), 3) AS score, CASE WHEN score >= 0.15 THEN 'rewrite' ELSE 'rag' END AS action FROM requirements LEFT JOIN best ON a = requirement_id WHERE requirement_id % 20 = 0",
+    _TF + ", nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) / (any_value(na.norm) * any_value(nb.norm)), 6) AS score FROM w x JOIN w y ON y.g = x.g AND y.term = x.term JOIN nm na ON na.id = x.id JOIN nm nb ON nb.id = y.id WHERE x.id % 3 = 0 AND y.id % 3 <> 0 GROUP BY x.id, y.id), "
+    "best AS (SELECT a, arg_max(b, (score, -b)) AS b, max(score) AS score FROM p GROUP BY a) SELECT requirement_id AS slot, CASE WHEN score >= 0.15 THEN b END AS section, round(coalesce(score, 0), 3) AS score, CASE WHEN score >= 0.15 THEN 'rewrite' ELSE 'rag' END AS action FROM requirements LEFT JOIN best ON a = requirement_id WHERE requirement_id % 3 = 0",
     "requirements",
-)(lambda t: tfidf_slot_match(_items(t), _items(t).filter("id % 20 = 0").select("id"), _items(t).filter("id % 7 = 1").select("id")))
+)(lambda t: tfidf_slot_match(_items(t), _items(t).filter("id % 3 = 0").select("id"), _items(t).filter("id % 3 <> 0").select("id")))
 
 # ------------------------------------------------------------------------------------------ overlays
 
@@ -269,8 +269,8 @@ query("det_cross_reference", ", k AS (SELECT *, json_extract_string(constraint_s
 query("det_abbreviations", ", k AS (SELECT requirement_id FROM requirements WHERE json_extract_string(constraint_spec, '$.type') = 'defined_at_first_use'), a AS (SELECT count(*) > 0 AS has FROM documents WHERE regexp_matches(text, '(?i)abbreviation')) SELECT requirement_id, CASE WHEN has THEN 'compliant' ELSE 'partial' END AS status, 0.6::DOUBLE AS confidence FROM k, a", "requirements")(
     lambda t: t.requirements.filter(F.get_json_object("constraint_spec", "$.type") == "defined_at_first_use").select("requirement_id").join(F.broadcast(t.documents.agg(F.max(F.col("text").rlike("(?i)abbreviation")).alias("has")))).select("requirement_id", F.when(F.col("has"), "compliant").otherwise("partial").alias("status"), F.lit(0.6).alias("confidence"))
 )
-query("det_constraint_coerce", ", known AS (SELECT DISTINCT section_no FROM requirements WHERE code = 'G1'), p AS (SELECT requirement_id, section_no || '.' || requirement_id % 3 AS given FROM requirements WHERE requirement_id <= 300) SELECT requirement_id, given, coalesce((SELECT section_no FROM known WHERE section_no = given OR starts_with(given, section_no || '.') ORDER BY length(section_no) DESC LIMIT 1), '') AS section_no FROM p", "requirements")(
-    lambda t: coerce_sections(t.requirements.filter("requirement_id <= 300").selectExpr("requirement_id", "concat(section_no, '.', requirement_id % 3) AS given"), t.requirements.filter("code = 'G1'").select("section_no").distinct())
+query("det_constraint_coerce", ", known AS (SELECT DISTINCT section_no FROM requirements WHERE code = 'G1'), p AS (SELECT requirement_id, section_no || '.' || requirement_id % 3 AS given FROM requirements) SELECT requirement_id, given, coalesce((SELECT section_no FROM known WHERE section_no = given OR starts_with(given, section_no || '.') ORDER BY length(section_no) DESC LIMIT 1), '') AS section_no FROM p", "requirements")(
+    lambda t: coerce_sections(t.requirements.selectExpr("requirement_id", "concat(section_no, '.', requirement_id % 3) AS given"), t.requirements.filter("code = 'G1'").select("section_no").distinct())
 )
 
 

@@ -110,8 +110,8 @@ for _name, _size, _overlap in (("chunk_overlap", 700, 80), ("chunk_overlap_wide"
         f"SELECT doc_id, i AS pos, substring(t, CAST(i * {_step} + 1 AS INTEGER), {_size}) AS text FROM (SELECT doc_id, t, unnest(range(CAST((length(t) - 1) // {_step} AS BIGINT) + 1)) AS i FROM (SELECT doc_id, trim(regexp_replace(text,'[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}]+',' ','g')) AS t FROM documents) WHERE length(t) > 0)",
     )(lambda t, s=_size, o=_overlap: chunk(t.documents, s, o))
 
-query("tokenize_bm25", "SELECT doc_id, pos, len(w) AS n_tokens, array_to_string(list_slice(w, 1, 5), ' ') AS head FROM (SELECT doc_id, pos, regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_-]+') AS w FROM chunks)", "chunks")(
-    lambda t: t.chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).select("doc_id", "pos", F.size("w").cast("long").alias("n_tokens"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
+query("tokenize_bm25", "SELECT doc_id, pos, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens FROM (SELECT doc_id, pos, regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_-]+') AS w FROM chunks)", "chunks")(
+    lambda t: t.chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).select("doc_id", "pos", F.size("w").cast("long").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 )
 query(
     "tokenize_audit",

@@ -7,6 +7,7 @@ form for each engine where positions have to be exploded.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -96,7 +97,7 @@ EXPLODED = {
     "(SELECT doc_id, trim(regexp_replace(text,'[\\s\\x{0b}\\x{85}\\x{a0}]+',' ','g')) AS t FROM documents) WHERE length(t)>0)",
     "elements": "SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS pos, unnest(a) AS tag, trim(unnest(b)) AS txt FROM (SELECT page_id AS doc_id, "
     "regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)', 1) AS a, regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)', 2) AS b FROM pages)",
-    "slots": "SELECT c_custkey AS template_id, n.n_nationkey AS ord, n.n_name AS title, 1 + n.n_regionkey % 3 AS level, n.n_nationkey % 4 <> 3 AS required FROM customer CROSS JOIN nation n WHERE c_custkey <= 50",
+    "slots": "SELECT c_custkey AS template_id, n.n_nationkey AS ord, n.n_name AS title, 1 + n.n_regionkey % 3 AS level, n.n_nationkey % 4 <> 3 AS required FROM customer CROSS JOIN nation n",
     "doc_versions": "SELECT doc_id, 1 AS version, pos, line FROM lines UNION ALL SELECT doc_id, 2 AS version, pos, CASE WHEN pos % 5 = 0 THEN replace(line, 'the ', 'that ') ELSE line END AS line FROM lines WHERE pos % 7 <> 6",
 }
 NEEDS = {"marked_lines": ["lines"], "doc_versions": ["lines"]}
@@ -135,8 +136,8 @@ class Tables:
     @property
     def slots(self) -> DataFrame:
         n = self.nation.selectExpr("n_nationkey AS ord", "n_name AS title", "1 + n_regionkey % 3 AS level", "n_nationkey % 4 <> 3 AS required")
-        # A template a customer: 50 rows of keys beside the 25 nations.
-        return self.customer.filter("c_custkey <= 50").selectExpr("c_custkey AS template_id").crossJoin(n)
+        # A template a customer, each with the same 25 slots.
+        return self.customer.selectExpr("c_custkey AS template_id").crossJoin(F.broadcast(n))
 
     @property
     def doc_versions(self) -> DataFrame:
