@@ -150,25 +150,31 @@ def toc_heading_match(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     return met.select("doc_id", "page", "ord", F.when(text == F.col("title"), "equal").otherwise("prefix").alias("kind")).distinct()
 
 
+def in_order_pairs(olds, news) -> list[tuple[int, int]]:
+    """Indices of the longest in-order pairing of like blocks of two lists of rows with a line."""
+    a, b = ([set(r["line"].lower().split()) for r in rows] for rows in (olds, news))
+    like = lambda x, y: x == y or (x | y and len(x & y) >= 0.5 * len(x | y))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if like(a[i], b[j]) else 0)
+    i, j, out = 0, 0, []
+    while i < len(a) and j < len(b):
+        if like(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for doc, olds, news in zip(pdf["doc_id"], pdf["olds"], pdf["news"], strict=True):
-            a, b = [(r["pos"], set(r["line"].lower().split())) for r in olds], [(r["pos"], set(r["line"].lower().split())) for r in news]
-            like = lambda x, y: x == y or (x | y and len(x & y) >= 0.5 * len(x | y))
-            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for i in range(len(a) - 1, -1, -1):
-                for j in range(len(b) - 1, -1, -1):
-                    best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if like(a[i][1], b[j][1]) else 0)
-            i = j = 0
-            while i < len(a) and j < len(b):
-                if like(a[i][1], b[j][1]) and best[i][j] == best[i + 1][j + 1] + 1:
-                    out.append((doc, a[i][0], b[j][0]))
-                    i, j = i + 1, j + 1
-                elif best[i + 1][j] >= best[i][j + 1]:
-                    i += 1
-                else:
-                    j += 1
+            out += [(doc, olds[i]["pos"], news[j]["pos"]) for i, j in in_order_pairs(olds, news)]
         yield pd.DataFrame(out, columns=["doc_id", "old_pos", "new_pos"])
 
 

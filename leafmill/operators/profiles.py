@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.mapping import in_order_pairs
 from leafmill.operators.scoring import is_issue
 from leafmill.plans.registry import query
 
@@ -92,22 +93,48 @@ query("section_changed", ", o AS (SELECT doc_id, line, count(*) AS o FROM doc_ve
 )
 
 
-def _word_ops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from difflib import SequenceMatcher
+def _common_words(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence, over the bits of one integer."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for w in y:
+        hit = row & at.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
 
+def _word_ops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for doc, pos, a, b in zip(pdf["doc_id"], pdf["pos"], pdf["a"], pdf["b"], strict=True):
-            x, y = a.split(), b.split()
-            kept = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-            out.append((doc, pos, kept, len(x) - kept, len(y) - kept))
-        yield pd.DataFrame(out, columns=["doc_id", "pos", "kept", "deleted", "inserted"])
+        for doc, olds, news in zip(pdf["doc_id"], pdf["olds"], pdf["news"], strict=True):
+            x, y = ([r["line"].split() for r in rows] for rows in (olds, news))
+            pairs = in_order_pairs(olds, news)
+            for i, j in pairs:
+                kept = _common_words(x[i], y[j])
+                out.append((doc, olds[i]["pos"], news[j]["pos"], kept, len(x[i]) - kept, len(y[j]) - kept))
+            gone, come = set(range(len(x))) - {i for i, _ in pairs}, set(range(len(y))) - {j for _, j in pairs}
+            out += [(doc, olds[i]["pos"], None, 0, len(x[i]), 0) for i in sorted(gone)]
+            out += [(doc, None, news[j]["pos"], 0, 0, len(y[j])) for j in sorted(come)]
+        frame = pd.DataFrame(out, columns=["doc_id", "pos", "new_pos", "kept", "deleted", "inserted"])
+        yield frame.astype({"pos": "Int32", "new_pos": "Int32"})
 
 
 def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Words kept, deleted and inserted in lines that changed; unchanged lines never leave the join."""
-    met = old.select("doc_id", "pos", F.col("line").alias("a")).join(new.select("doc_id", "pos", F.col("line").alias("b")), ["doc_id", "pos"]).filter("a <> b")
-    return met.mapInPandas(_word_ops, "doc_id long, pos int, kept long, deleted long, inserted long")
+    """Words kept, deleted and inserted by line: pos in the old version, new_pos in the new, null where it has no such line.
+
+    A line that both versions have, as often, is unchanged wherever it stands, and has no row. The others of a document
+    pair in order where they are like (half of their words in common); the rest is deleted or inserted whole.
+    """
+    both = old.select("doc_id", "pos", "line", F.lit(0).alias("v")).union(new.select("doc_id", "pos", "line", F.lit(1)))
+    at = lambda v: F.array_sort(F.collect_list(F.when(F.col("v") == v, F.col("pos"))))
+    lines = both.groupBy("doc_id", "line").agg(at(0).alias("o"), at(1).alias("n")).filter("size(o) <> size(n)")
+    rest = lambda a, b: F.expr(f"transform(slice({a}, size({b}) + 1, greatest(0, size({a}) - size({b}))), p -> named_struct('pos', p, 'line', line))")
+    left = lines.select("doc_id", rest("o", "n").alias("o"), rest("n", "o").alias("n"))
+    docs = left.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("o"))).alias("olds"), F.array_sort(F.flatten(F.collect_list("n"))).alias("news"))
+    return docs.mapInPandas(_word_ops, "doc_id long, pos int, new_pos int, kept long, deleted long, inserted long")
 
 
 query("version_diff")(lambda t: version_diff(t.doc_versions.filter("version = 1"), t.doc_versions.filter("version = 2")))

@@ -107,3 +107,50 @@ def test_blocks_align_in_order(spark):
     old = spark.createDataFrame([(1, 0, "a b c"), (1, 1, "d e f"), (1, 2, "g h i")], "doc_id long, pos int, line string")
     new = spark.createDataFrame([(1, 0, "d e x"), (1, 1, "g h i j")], "doc_id long, pos int, line string")
     assert sorted(map(tuple, mapping.block_align(old, new).collect())) == [(1, 1, 0), (1, 2, 1)]
+
+
+def test_version_diff_counts_one_sided_lines(spark):
+    from leafmill.operators import profiles
+
+    old = ["title", "one two three four", "same", "same", "gone for good", "last line here", ""]
+    new = ["a new start", "title", "same", "one two five four six", "last line here", "", "extra words"]
+    frame = lambda lines: spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)] + [(2, 0, "kept")], "doc_id long, pos int, line string")
+    got = profiles.version_diff(frame(old), frame(new).union(spark.createDataFrame([(3, 0, "only new")], "doc_id long, pos int, line string")))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(
+        [(1, None, 0, 0, 0, 3), (1, None, 6, 0, 0, 2), (1, 1, 3, 3, 1, 2), (1, 3, None, 0, 1, 0), (1, 4, None, 0, 3, 0), (3, None, 0, 0, 0, 2)], key=key
+    )
+
+
+def test_version_diff_against_brute_force(spark):
+    import random
+
+    from leafmill.operators import profiles
+
+    def common(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                t[i + 1][j + 1] = t[i][j] + 1 if a == b else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rng = random.Random(5)
+    olds, news, want = [], [], {}
+    for doc in range(20):
+        old = [[f"w{doc}_{i}_{k}" for k in range(rng.randint(4, 9))] for i in range(30)]
+        new, sums = [], [0, 0, 0]
+        for x in old:
+            y = None if (r := rng.random()) < 0.2 else [*x[1:], "z"] if r < 0.4 else x
+            if y is not x:
+                k = common(x, y or [])
+                sums = [sums[0] + k, sums[1] + len(x) - k, sums[2] + len(y or []) - k]
+            new += [y] if y else []
+            if rng.random() < 0.2:
+                new.append([f"n{len(new)}", "added"])
+                sums[2] += 2
+        olds += [(doc, i, " ".join(x)) for i, x in enumerate(old)]
+        news += [(doc, i, " ".join(x)) for i, x in enumerate(new)]
+        want[doc] = tuple(sums)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, pos int, line string")
+    got = profiles.version_diff(frame(olds), frame(news)).groupBy("doc_id").agg(F.sum("kept"), F.sum("deleted"), F.sum("inserted"))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
