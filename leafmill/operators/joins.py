@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,23 +177,80 @@ def _section_coverage_gap(t):
     return wanted.join(seen, ["run_id", "section"], "left_anti").select("run_id", "section", F.lit("major").alias("severity"), F.lit(0.85).alias("confidence"))
 
 
-def evidence_grounding(evidence: DataFrame, docs: DataFrame, shingle: int = 8) -> DataFrame:
+#: (characters a fragment has at least, of a gram, grams in a window): grams + window - 1 is the first number.
+_SIZES = ((60, 40, 21), (42, 28, 15), (30, 20, 11), (21, 16, 6))
+_PIECE = 1 << 20  #: characters of a text that are hashed at a time
+
+
+def _fingerprints(text: bytes, gram: int, window: int) -> np.ndarray:
+    """The smallest gram hash of each window of grams: texts that share so many characters share one (winnowing)."""
+    x = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+    size, part, power, done, h = 1, x, 0x9E3779B97F4A7C15, 0, None
+    while True:  # the hash of a gram from those of its parts, whose lengths are powers of two
+        if gram & size:
+            n = len(x) - done - size + 1
+            h, done = (part if h is None else h[:n] * np.uint64(power) + part[done : done + n]), done + size
+        if done == gram:
+            break
+        n = len(x) - 2 * size + 1
+        part, power, size = part[:n] * np.uint64(power) + part[size : size + n], power * power % 2**64, 2 * size
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    n, span = len(h) - window + 1, 1
+    while 2 * span <= window:
+        h, span = np.minimum(h[:-span], h[span:]), 2 * span
+    return np.unique(np.minimum(h[:n], h[window - span : window - span + n])).view(np.int64)
+
+
+def _posts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ids, sizes, keys, held = [], [], [], 0
+        for doc, text, wanted in zip(pdf["doc_id"], pdf["t"], pdf["sizes"], strict=True):
+            data = text.encode()
+            for least, gram, window in _SIZES:
+                if least in wanted:
+                    for start in range(0, len(data) - least + 1, _PIECE):
+                        found = _fingerprints(data[start : start + _PIECE + least - 1], gram, window)
+                        ids, sizes, keys, held = [*ids, doc], [*sizes, least], [*keys, found], held + len(found)
+                        if held > 200_000:
+                            yield _post_rows(ids, sizes, keys)
+                            ids, sizes, keys, held = [], [], [], 0
+        if ids:
+            yield _post_rows(ids, sizes, keys)
+
+
+def _post_rows(ids: list, sizes: list[int], keys: list[np.ndarray]) -> pd.DataFrame:
+    n = [len(k) for k in keys]
+    return pd.DataFrame({"doc_id": np.repeat(ids, n), "size": np.repeat(np.array(sizes, np.int32), n), "key": np.concatenate(keys)})
+
+
+def _fragment_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of = {least: (gram, window) for least, gram, window in _SIZES}
+    for pdf in batches:
+        pdf["key"] = np.array([_fingerprints(p[:n].encode(), *of[n])[0] for p, n in zip(pdf["part"], pdf["size"], strict=True)], np.int64)
+        yield pdf
+
+
+def evidence_grounding(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     """(evidence_id, doc_id) where a quote stands in a document after normalisation, whole or by its first or last 60.
 
-    Quotes and texts meet on an eight-token shingle, an equi-join; containment is then decided on the whole text.
+    Quotes of at most 20 characters are too short to verify and count as grounded, in no document: their doc_id is null.
+    The first and last 60 characters of a quote meet texts on a fingerprint, an equi-join: the smallest gram hash of a
+    window of characters, wherever words begin or end. Containment is then decided on the whole text.
     """
-    q = evidence.select("evidence_id", F.trim(F.regexp_replace(F.lower("quote"), "[^a-z0-9]+", " ")).alias("q")).filter(F.length("q") > 20)
-    tok = F.split("q", " ")
-    heads = F.array(F.xxhash64(F.slice(tok, 1, shingle)), F.xxhash64(F.slice(tok, F.greatest(F.lit(1), F.size(tok) - shingle + 1), F.lit(shingle))))
-    keys = q.withColumn("key", F.explode(F.array_distinct(heads)))
-    d = docs.select("doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("t"))
-    worded = d.select("doc_id", F.split("t", " ").alias("w")).withColumn("n", F.size("w"))
-    grams = F.expr(f"transform(sequence(1, greatest(1, n - {shingle} + 1)), i -> xxhash64(slice(w, i, {shingle})))")
-    posts = worded.select("doc_id", F.explode(grams).alias("key"))
-    pairs = posts.join(keys, "key").select("doc_id", "evidence_id", "q").distinct()
-    met = pairs.join(d, "doc_id")
-    held = F.col("t").contains(F.col("q")) | F.col("t").contains(F.substring("q", 1, 60)) | F.col("t").contains(F.expr("right(q, 60)"))
-    return met.filter(held).select("evidence_id", "doc_id")
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    q = evidence.select("evidence_id", norm("quote").alias("q")).filter("q <> ''")
+    short = q.filter(F.length("q") <= 20).select("evidence_id")
+    parts = q.filter(F.length("q") > 20).select("evidence_id", F.explode(F.array_distinct(F.array(F.substring("q", 1, 60), F.expr("right(q, 60)")))).alias("part"))
+    fits = F.coalesce(*[F.when(F.length("part") >= least, least) for least, _, _ in _SIZES])
+    parts = parts.withColumn("size", fits)
+    id_type, doc_type = (df.schema[c].dataType.simpleString() for df, c in ((evidence, "evidence_id"), (docs, "doc_id")))
+    keys = parts.mapInPandas(_fragment_keys, f"evidence_id {id_type}, part string, size int, key long")
+    d = docs.select("doc_id", norm("text").alias("t"))
+    sizes = parts.agg(F.collect_set("size").alias("sizes"))  # one row of at most four numbers
+    posts = d.filter("length(t) > 20").join(F.broadcast(sizes)).mapInPandas(_posts, f"doc_id {doc_type}, size int, key long")
+    pairs = posts.join(keys, ["size", "key"]).select("doc_id", "evidence_id", "part").distinct()
+    met = pairs.join(d, "doc_id").filter(F.col("t").contains(F.col("part"))).select("evidence_id", "doc_id").distinct()
+    return met.union(short.select("evidence_id", F.lit(None).cast(doc_type)))
 
 
 _N = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -197,7 +258,7 @@ query(
     "evidence_grounding",
     f", q AS (SELECT evidence_id, {_N.format('quote')} AS q FROM evidence), d AS (SELECT doc_id, {_N.format('text')} AS t FROM documents) SELECT evidence_id, doc_id FROM q JOIN d ON contains(t, q) OR contains(t, left(q, 60)) OR contains(t, right(q, 60)) WHERE length(q) > 20",
     "evidence",
-)(lambda t: evidence_grounding(t.evidence, t.documents))
+)(lambda t: evidence_grounding(t.evidence, t.documents).filter("doc_id IS NOT NULL"))
 
 
 def align_sections(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:

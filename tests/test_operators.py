@@ -154,3 +154,30 @@ def test_version_diff_against_brute_force(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, pos int, line string")
     got = profiles.version_diff(frame(olds), frame(news)).groupBy("doc_id").agg(F.sum("kept"), F.sum("deleted"), F.sum("inserted"))
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_evidence_of_any_length_is_grounded(spark):
+    import random
+    import re
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.choice((2, 4, 6, 9, 14, 30, 70)))) for _ in range(60)]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.choice((3, 40, 400)))) for i in range(30)}
+    texts |= {30: "", 31: "Short text, of five words!"}
+    quotes = ["p. 12", "", "Short text of five words", "of five words and more"]
+    for _ in range(200):
+        t = texts[rng.randrange(30)]
+        n = rng.choice((21, 22, 29, 30, 41, 42, 59, 60, 61, 90, 200))
+        at = rng.randrange(max(1, len(t) - n))  # often inside a word
+        part = t[at : at + n]
+        quotes += [part, f"({part[:60].upper()} [...] missing tail words here that go on for a while and longer still)", "unheard of words that come first and run for more than sixty characters " + part]
+    norm = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    want = set()
+    for e, q in enumerate(map(norm, quotes)):
+        if 0 < len(q) <= 20:
+            want.add((e, None))
+        elif q:
+            want |= {(e, d) for d, t in texts.items() if q[:60] in norm(t) or q[-60:] in norm(t)}
+    got = joins.evidence_grounding(spark.createDataFrame(list(enumerate(quotes)), "evidence_id long, quote string"), spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
