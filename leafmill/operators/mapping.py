@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,23 +29,113 @@ def heading_matches(slots: DataFrame, sections: DataFrame) -> DataFrame:
     return a.join(b, ["g", "k"]).filter("k <> ''").select("g", "slot", "section").distinct()
 
 
+def _first_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for g, slots in zip(pdf["g"], pdf["s"], strict=True):
+            used = set()
+            for x in slots:
+                if (pick := next((c for c in x["c"] if c not in used), None)) is not None:
+                    used.add(pick)
+                    out.append((g, x["slot"], pick))
+        yield pd.DataFrame(out, columns=["g", "slot", "section"])
+
+
 def greedy_assign(candidates: DataFrame) -> DataFrame:
     """(g, slot, section): slots in order take their first candidate section that is still free; one to one.
 
-    A fold over one group's slots carries the sections already used.
+    A fold over one group's slots carries the sections already used; groups are of bounded size, a template and a document.
     """
     per_slot = candidates.groupBy("g", "slot").agg(F.array_sort(F.collect_list("section")).alias("c"))
     ordered = per_slot.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("slot", "c"))).alias("s"))
-    start = F.struct(F.expr("CAST(array() AS array<long>)").alias("used"), F.expr("CAST(array() AS array<struct<slot:long,section:long>>)").alias("out"))
-
-    def step(a, x):
-        free = F.filter(x["c"], lambda c: ~F.array_contains(a["used"], c))
-        pick = F.get(free, F.lit(0))
-        taken = F.struct(x["slot"].alias("slot"), pick.alias("section"))
-        return F.when(pick.isNull(), a).otherwise(F.struct(F.concat(a["used"], F.array(pick)).alias("used"), F.concat(a["out"], F.array(taken)).alias("out")))
+    return ordered.mapInPandas(_first_free, f"g {candidates.schema['g'].dataType.simpleString()}, slot long, section long")
+
+
+def _similarities(words: list[str], sections: list) -> list[float]:
+    """Cosines of tf-idf vectors of a slot's words and each section's; idf over the sections and the slot."""
+    bags = [Counter(t) for t in (*(s["tokens"] for s in sections), words)]
+    df = Counter(w for bag in bags for w in bag)
+    vectors = [{w: n * (math.log((len(bags) + 1) / (df[w] + 1)) + 1) for w, n in bag.items()} for bag in bags]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    own = vectors.pop()
+    return [sum(x * v.get(w, 0.0) for w, x in own.items()) / (n * norms[-1]) if n else 0.0 for v, n in zip(vectors, norms, strict=False)]
+
+
+def _mapped(slots: list, sections: list, model: list, least: float) -> list[tuple]:
+    """(slot, section, confidence, action) of each slot of one group; rows come in order of their ids."""
+    found, used, known = {}, set(), {s["id"] for s in sections}
+
+    def first(key: str, value: str):
+        return next((s["id"] for s in sections if value and s["id"] not in used and s[key] == value), None)
+
+    def take(x, section, confidence, action="rewrite"):
+        found[x["id"]] = (x["id"], section, confidence, action)
+        used.add(section)
+
+    for x in slots:
+        for key, confidence in (("key", 1.0), ("bare", 0.97)):
+            if x["id"] not in found and (section := first(key, x[key])) is not None:
+                take(x, section, confidence)
+    ids = {x["id"]: x for x in slots}
+    for m in model:
+        if m["slot"] in ids and m["slot"] not in found:
+            wrong = m["section"] is not None and m["section"] not in known
+            take(ids[m["slot"]], *((None, 0.0, "rag") if wrong else (m["section"], min(1.0, max(0.0, m["confidence"] or 0.0)), m["action"])))
+    for x in slots:
+        if x["id"] in found:
+            continue
+        none = "rag" if x["required"] else "flag"
+        for key, confidence in (("key", 1.0), ("number", 0.95)):
+            if x["id"] not in found and (section := first(key, x[key])) is not None:
+                take(x, section, confidence)
+        if x["id"] in found:
+            continue
+        free = [(i, s) for i, s in enumerate(sections) if s["id"] not in used]
+        if x["number"]:
+            free = [(i, s) for i, s in free if s["number"]] or free
+        if not free or not len(x["tokens"]):
+            take(x, None, 0.0, none)
+            continue
+        scores = _similarities(x["tokens"], sections)
+        i, s = max(free, key=lambda y: scores[y[0]])
+        take(x, *((s["id"], round(scores[i], 3), "rewrite") if scores[i] >= least else (None, round(scores[i], 3), none)))
+    return [found[x["id"]] for x in slots]
+
+
+def map_slots(slots: DataFrame, sections: DataFrame, model: DataFrame | None = None, least: float = 0.15) -> DataFrame:
+    """(g, slot, section, confidence, action) of every slot: a group is one template and one document.
+
+    Slots in order take their first free section with an equal heading, else an equal one without its number; a model's
+    mappings (g, slot, section, confidence, action, seq) follow, the first of each open slot, an unknown section becoming
+    a retrieval; slots still open take a free section by heading, by number, or the most similar one. Slots and sections
+    are (g, id, title); slots may have required and keywords, sections text.
+    """
 
-    folded = ordered.select("g", F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("x"))
-    return folded.select("g", "x.slot", "x.section")
+    def heads(df: DataFrame, name: str) -> DataFrame:
+        title = F.coalesce("title", F.lit(""))
+        words = X.map_tokens(F.concat_ws(" ", title, F.substring("text", 1, 400)) if "text" in df.columns else title)
+        if "keywords" in df.columns:
+            words = F.concat(words, F.coalesce(F.transform("keywords", lambda k: X.stem(F.lower(k))), F.array()))
+        required = F.coalesce("required", F.lit(True)) if "required" in df.columns else F.lit(True)
+        row = F.struct(F.col("id").cast("long").alias("id"), X.heading_key(title).alias("key"), X.heading_key(X.strip_section_number(title)).alias("bare"), X.section_number(title).alias("number"), words.alias("tokens"), required.alias("required"))
+        return df.groupBy("g").agg(F.array_sort(F.collect_list(row)).alias(name))
+
+    rows = heads(slots, "slots").join(heads(sections, "sections"), "g", "left")
+    if model is None:
+        rows = rows.withColumn("model", F.lit(None).cast("array<struct<slot:long>>"))
+    else:
+        said = F.struct("seq", F.col("slot").cast("long").alias("slot"), F.col("section").cast("long").alias("section"), F.col("confidence").cast("double").alias("confidence"), "action")
+        rows = rows.join(model.groupBy("g").agg(F.array_sort(F.collect_list(said)).alias("model")), "g", "left")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for g, a, b, m in zip(pdf["g"], pdf["slots"], pdf["sections"], pdf["model"], strict=True):
+                out += [(g, *x) for x in _mapped(list(a), [] if b is None else list(b), [] if m is None else list(m), least)]
+            frame = pd.DataFrame(out, columns=["g", "slot", "section", "confidence", "action"])
+            yield frame.assign(section=pd.array([x[2] for x in out], "Int64"))
+
+    return rows.mapInPandas(fold, f"g {slots.schema['g'].dataType.simpleString()}, slot long, section long, confidence double, action string")
 
 
 def _headings(t, odd: int) -> DataFrame:
@@ -54,7 +146,16 @@ query(
     "heading_exact_match",
     "SELECT a.p_size AS g, a.p_partkey AS slot, min(b.p_partkey) AS section FROM part a JOIN part b ON a.p_size = b.p_size AND lower(a.p_type) = lower(b.p_type) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 GROUP BY ALL",
 )(lambda t: heading_matches(_headings(t, 0), _headings(t, 1)).groupBy("g", "slot").agg(F.min("section").alias("section")))
-query("greedy_assign")(lambda t: greedy_assign(heading_matches(_headings(t, 0), _headings(t, 1))))
+
+
+@query("greedy_assign")
+def _greedy_assign(t):
+    """A template and a draft for each 100 parts: their slots, sections and a model's mappings."""
+    rows = t.part.selectExpr(
+        "CAST(floor(p_partkey / 100) AS BIGINT) AS g", "CAST(p_partkey AS BIGINT) AS id", "IF(p_partkey % 4 < 2, concat(1 + p_size % 9, '. ', p_type), p_type) AS title", "p_partkey % 8 <> 6 AS required", "p_size"
+    )
+    model = rows.filter("id % 6 = 0").selectExpr("g", "id AS slot", "IF(p_size % 5 = 0, -1, g * 100 + 1 + p_size) AS section", "p_size / 50 AS confidence", "'rewrite' AS action", "id AS seq")
+    return map_slots(rows.filter("id % 2 = 0").drop("p_size"), rows.filter("id % 2 = 1").drop("p_size", "required"), model)
 query(
     "section_number_match",
     ", n AS (SELECT doc_id, pos, regexp_extract(trim(line), '^([0-9]+(?:\\.[0-9]+)*)\\.?(\\s|$)', 1) AS number FROM marked_lines) SELECT doc_id, requirement_id, min(pos) AS pos, 0.95::DOUBLE AS confidence FROM n JOIN requirements ON section_no = number WHERE number <> '' AND code = 'G1' GROUP BY doc_id, requirement_id",

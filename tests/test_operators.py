@@ -181,3 +181,27 @@ def test_evidence_of_any_length_is_grounded(spark):
     got = joins.evidence_grounding(spark.createDataFrame(list(enumerate(quotes)), "evidence_id long, quote string"), spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_every_slot_is_mapped_in_three_passes(spark):
+    from leafmill.operators import mapping
+
+    slots = [("t", 1, "1. Purpose", True), ("t", 2, "Scope", True), ("t", 3, "Scope", True), ("t", 4, "Roles", True), ("t", 5, "7. Other things", True), ("t", 6, "Risk summaries", True), ("t", 7, "Nothing alike", False), ("t", 8, "Budget", True), ("u", 1, "Alone", True)]
+    sections = [("t", 10, "Purpose"), ("t", 11, "scope"), ("t", 12, "Responsibilities"), ("t", 13, "7. Appendix"), ("t", 14, "Summary of risks"), ("t", 15, "Closing words")]
+    model = [("t", 4, 12, 1.5, "fill", 1), ("t", 4, 15, 0.5, "fill", 2), ("t", 8, 99, 0.9, "rewrite", 3), ("t", 1, 15, 0.9, "fill", 4), ("t", 77, 15, 0.9, "fill", 5)]
+    got = mapping.map_slots(
+        spark.createDataFrame(slots, "g string, id long, title string, required boolean"), spark.createDataFrame(sections, "g string, id long, title string"), spark.createDataFrame(model, "g string, slot long, section long, confidence double, action string, seq long")
+    )
+    rows = {(r.g, r.slot): (r.section, r.action) for r in got.collect()}
+    assert rows == {
+        ("t", 1): (10, "rewrite"), ("t", 2): (11, "rewrite"), ("t", 3): (None, "rag"), ("t", 4): (12, "fill"), ("t", 5): (13, "rewrite"),
+        ("t", 6): (14, "rewrite"), ("t", 7): (None, "flag"), ("t", 8): (None, "rag"), ("u", 1): (None, "rag"),
+    }
+    assert {r.slot: r.confidence for r in got.filter("g = 't' AND slot IN (1, 2, 4, 5, 8)").collect()} == {1: 0.97, 2: 1.0, 4: 1.0, 5: 0.95, 8: 0.0}
+
+
+def test_the_registered_mapping_covers_every_slot(spark, sf_dir):
+    from leafmill.plans import all as plans
+
+    got = plans.QUERIES["greedy_assign"](spark, sf_dir)
+    assert got.count() == got.select("slot").distinct().count() == spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0").count()
