@@ -168,10 +168,20 @@ for _name, _k in (("vector_search", 5), ("vector_topk", 3)):
     "chunks",
 )
 def _retrieval_fallback(t):
-    """Vector hits of a query, or, where there are none, its BM25 hits."""
-    v = t.benchmark.filter("item_id % 3 = 0").join(t.embeddings, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.lit("vector").alias("via"), F.col("vec_id").alias("id"), F.lit(None).cast("long").alias("pos"))
-    b = bm25(t.chunks, benchmark_queries(t)).join(v, "query_id", "left_anti").select("query_id", F.lit("bm25").alias("via"), F.col("doc_id").alias("id"), "pos")
-    return v.union(b)
+    """The SQL gives a vector to every third item, and its vector half is the nearest vector: the item's own."""
+    asked = t.hits.join(t.benchmark.filter("item_id % 3 = 0"), F.col("id") == F.col("item_id"), "left_semi").selectExpr("id AS query_id", "collection", "vector AS query")
+    return retrieval_fallback(t.hits, asked, t.chunks, benchmark_queries(t), k=1).select("query_id", "via", "id", "pos")
+
+
+def retrieval_fallback(vectors: DataFrame, asked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 4, floor: float = 0.5) -> DataFrame:
+    """(query_id, via, id, pos, rank, score): a query's k nearest vectors of score ``floor`` or more; without any, BM25 hits.
+
+    ``asked`` are the queries (query_id, text) that have a vector: (query_id, collection, query).
+    """
+    near = vector_search(vectors, asked, k).filter(F.col("score") >= floor)
+    v = near.select("query_id", F.lit("vector").alias("via"), "id", F.lit(None).cast("long").alias("pos"), "rank", "score")
+    b = bm25(chunks, queries, k=4).join(v, "query_id", "left_anti")  # after BM25, whose plan holds the queries repeatedly
+    return v.union(b.select("query_id", F.lit("bm25").alias("via"), F.col("doc_id").alias("id"), "pos", "rank", "score"))
 
 
 @query("audit_context", _BM25 + ", whole AS (SELECT doc_id, text FROM documents WHERE length(text) <= 3000) SELECT 'whole' AS kind, doc_id AS id, text AS context FROM whole UNION ALL SELECT 'chunks', query_id, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) FROM top JOIN chunks c USING (doc_id, pos) WHERE rank <= 10 AND score > 0 GROUP BY query_id", "chunks")

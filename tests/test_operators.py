@@ -205,3 +205,12 @@ def test_the_registered_mapping_covers_every_slot(spark, sf_dir):
 
     got = plans.QUERIES["greedy_assign"](spark, sf_dir)
     assert got.count() == got.select("slot").distinct().count() == spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0").count()
+
+
+def test_retrieval_falls_back_where_no_vector_is_near(spark):
+    vectors = spark.createDataFrame([(10, 0, [1.0, 0.0]), (11, 0, [0.9, 0.1]), (12, 0, [0.0, 1.0]), (13, 1, [1.0, 0.0])], "id long, collection int, vector array<double>")
+    asked = spark.createDataFrame([(1, 0, [1.0, 0.05]), (2, 0, [-1.0, -1.0]), (3, 1, [0.0, 1.0])], "query_id long, collection int, query array<double>")
+    chunks = spark.createDataFrame([(i, 0, x) for i, x in enumerate(["alpha beta", "beta gamma", "delta", "epsilon"])], "doc_id long, pos long, text string")
+    queries = spark.createDataFrame([(1, "alpha"), (2, "gamma"), (3, "delta"), (4, "alpha")], "query_id long, text string")
+    got = retrieval.retrieval_fallback(vectors, asked, chunks, queries)
+    assert sorted((r.query_id, r.via, r.rank, r.id) for r in got.collect()) == [(1, "vector", 1, 10), (1, "vector", 2, 11), (2, "bm25", 1, 1), (3, "bm25", 1, 2), (4, "bm25", 1, 0)]
