@@ -14,11 +14,13 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="leafmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,7 +34,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it back, so that a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot when it holds more than one of this many rows, and more rows than this: there are at most as many hot keys.
+HOT_SHARE = 1_000
+SALTS = 64
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row a key and in ``n`` the number of ``rows`` with that key (dropped).
+
+    Merge join at every size, as ``table`` grows with the corpus. Rows of hot keys are dealt over ``SALTS`` by the
+    columns ``spread`` and meet a copy of their key's row in each; the hot keys are at most ``HOT_SHARE``, so they alone
+    are broadcast. ``table`` should be a written one, as it is read three times.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.filter((F.col("n") > HOT_SHARE) & (F.col("n") * HOT_SHARE > total)).select(*keys, F.lit(True).alias("_hot"))
+    table = table.drop("n")
+    if hot.isEmpty():
+        return rows.join(table.hint("merge"), keys, how)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,17 +1,24 @@
-"""Removal of byte strings that occur more than once in the corpus, by sorting sampled suffixes.
-
-The positions that are sorted are a content-defined cover in place of the residue classes of a difference cover: the
-gram of ``GRAM`` bytes with the smallest hash in each window of ``length`` bytes. Two equal windows choose the same gram
-at the same place, so suffixes need sorting only against suffixes of the same sample, whatever their residues.
-
-1. Sampled grams are named and counted. A gram that occurs once rules out every window that chose it.
-2. Names recurse to contexts: all consecutive windows that chose one occurrence of a gram. Occurrences with equal
-   context names repeat throughout.
-3. Where one gram has different contexts, the remaining suffixes, one a window, are merged: sorted by the names of
-   their bytes, adjacent equal prefixes of ``length`` bytes mark repeats. Only here is text fetched, of one occurrence a
-   context.
-
-Names are 64-bit hashes. See the README for why the residue-class form isn't used.
+"""Removal of byte strings that occur more than once in the corpus: a filter, then a difference-cover suffix sort.
+
+A difference cover over every byte would sort two thirds of all positions (see the README for figures), so positions
+that can't repeat are ruled out first, and text that is shared for certain is shortened to one symbol:
+
+1. Filter. Each window of ``length`` bytes chooses its gram of ``GRAM`` bytes with the smallest hash. A gram that occurs
+   once rules out all windows that chose it. Consecutive windows that chose one occurrence of a gram are a context;
+   occurrences of one context repeat throughout. Where a gram has several contexts, each is cut into bins of at most
+   ``WIDTH`` windows. The bytes that all windows of a bin have in common are its core; equal windows have equal cores,
+   so a core that occurs in one bin only rules its windows out, and occurrences of one bin repeat throughout.
+2. What remains are strings: bytes left of a core, the core as one symbol, bytes right of it. A window is ``WIDTH`` = 9
+   consecutive symbols. They are sorted by the difference-cover algorithm: triples at the positions 1 and 2 modulo 3 are
+   sorted and named by rank (``_named``); names recurse, so triples of names rank the sampled suffixes by 9 symbols; the
+   remaining suffixes are merged by their first symbols and the rank of the next sampled suffix (``_before``).
+3. Adjacent suffixes are compared by their prefixes of 9 symbols; equal ones repeat.
+
+All steps are Spark sorts, aggregations and joins over rows; the merge splits the order at a bounded sample of suffixes,
+so that a task holds about ``PART`` of them, however many are equal.
+
+Grams have 64-bit names, which only filter. What decides is a 64-bit name of a context among the contexts of one gram, a
+128-bit name of a core, and bytes.
 """
 
 from __future__ import annotations
@@ -23,13 +30,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from leafmill.llm._shared import written
+from leafmill.llm._shared import hot_join, written
 from leafmill.llm.minhash_dedup import _groups, _mix
 
 LENGTH = 200
 GRAM = 64
-GROUP_CONTEXTS = 20_000  #: contexts of one gram that one task merges; more are merged by a distributed count
+WIDTH = 9  #: windows in a bin and symbols in a window: three triples of three
+SLICE = 2 << 20  #: bytes of text that are hashed at a time
+PART = 200_000  #: suffixes that one task merges, about
+MAX_PARTS = 20_000  #: and the number of such tasks at most; the order is split at as many suffixes
+SAMPLE_PER_PART = 32
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -37,7 +49,7 @@ _BACK = pow(_BASE, -1, 2**64)
 
 
 class _Powers:
-    """Powers of the hash's base and of its inverse, grown to the longest text seen."""
+    """Powers of the hash's base and of its inverse, grown to the longest slice seen."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, _U)
@@ -75,10 +87,16 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram name, context name, start, windows) of each run of consecutive windows that choose one gram."""
+    """(gram name, context name, start, windows) of each run of consecutive windows that choose one gram.
+
+    Long texts are taken in slices, which may cut a run in two: windows choose alike all the same.
+    """
     if len(b) < length:
         none = np.empty(0, np.int64)
         return none.astype(_U), none.astype(_U), none, none
+    if len(b) > SLICE + length:
+        parts = [(at, runs(b[at : at + SLICE + length - 1], length, gram)) for at in range(0, len(b) - length + 1, SLICE)]
+        return tuple(np.concatenate([p[j] + at if j == 2 else p[j] for at, p in parts]) for j in range(4))
     sums = prefix_sums(b)
     at = np.arange(len(b) - gram + 1)
     grams = names(sums, at, at + gram)
@@ -115,69 +133,187 @@ def _all_runs(length: int, gram: int, only_grams: bool):
     return run
 
 
-def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
-    """[first, last] of each run of true flags."""
-    edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
-    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
+# ------------------------------------------------------------------------------------------------ bins
+
+
+def bins(raw: bytes, gram_names: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int, gram: int, width: int = WIDTH) -> Iterator[tuple]:
+    """(context's index, core name, left bytes, right bytes, windows, first window) of each bin of some contexts of a text.
+
+    A window's place is the number of bytes before its gram; a bin holds ``width`` consecutive places. Its core is what
+    the windows of all these places hold: ``length - width + 1`` bytes.
+    """
+    size = windows - 1 + length
+    for some in np.split(np.arange(len(start)), np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1):
+        ends = np.cumsum(size[some])
+        base = ends - size[some]
+        b = np.frombuffer(b"".join(raw[start[i] : start[i] + size[i]] for i in some), np.uint8)
+        at = np.arange(len(b) - gram + 1)
+        owner = np.searchsorted(ends, at, "right")
+        inside = (at + gram <= ends[owner]) & (at - base[owner] <= length - gram)
+        met = np.flatnonzero(inside & (names(prefix_sums(b), at, at + gram).view(np.int64) == gram_names[some][owner]))
+        which, first = np.unique(owner[met], return_index=True)
+        place = np.empty(len(some), np.int64)
+        place[which] = met[first] - base[which] + start[some][which]
+        for q in range(-(-(length - gram + 1) // width)):
+            low = place - q * width
+            lo, hi = np.maximum(start[some], low - width + 1), np.minimum(start[some] + windows[some] - 1, low)
+            for j in np.flatnonzero(lo <= hi):
+                core, a, z = int(low[j]), int(lo[j]), int(hi[j])
+                end = core + length - width + 1
+                yield int(some[j]), xxh3_128_digest(raw[core:end]), raw[a:core], raw[end : z + length], z - a + 1, a
+
+
+def _cut(length: int, gram: int):
+    """Texts with the contexts wanted of them -> their bins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["core", "left", "right", "windows", "key", "first", "n"]
+        for pdf in batches:
+            out: list[tuple] = []
+            for key, text, wanted in zip(pdf["key"], pdf["text"], pdf["wanted"], strict=True):
+                field = lambda name, rows=wanted: np.array([w[name] for w in rows], np.int64)
+                n = field("n")
+                for i, core, left, right, windows, first in bins(_bytes(text).tobytes(), field("gram"), field("start"), field("windows"), length, gram):
+                    out.append((core, left, right, windows, key, first, n[i]))
+                    if len(out) >= 100_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+# ------------------------------------------------------------------------------------------------ difference cover
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with the places wanted of them -> the contexts' bytes."""
+def _symbols(core: int, left: bytes, right: bytes) -> np.ndarray:
+    """A string's symbols: bytes, and its core as 256 plus the core's number."""
+    out = np.empty(len(left) + len(right) + 1, np.int64)
+    out[: len(left)] = np.frombuffer(left, np.uint8)
+    out[len(left)] = 256 + core
+    out[len(left) + 1 :] = np.frombuffer(right, np.uint8)
+    return out
+
+
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strings -> the triples of symbols at the positions 1 and 2 modulo 3; beyond the end is -1."""
     for pdf in batches:
-        out = []
-        for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
-            raw = _bytes(text).tobytes()
-            out += [(w["gram"], w["ctx"], raw[w["start"] : w["end"]]) for w in wanted]
-        yield pd.DataFrame(out, columns=["gram", "ctx", "bytes"])
+        each = [np.r_[_symbols(c, a, z), -1, -1] for c, a, z in zip(pdf["core_id"], pdf["left"], pdf["right"], strict=True)]
+        at = [np.flatnonzero(np.arange(len(s) - 2) % 3) for s in each]
+        pick = lambda j: np.concatenate([s[p + j] for s, p in zip(each, at, strict=True)] or [np.empty(0, np.int64)])
+        yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), list(map(len, at))), "i": np.concatenate(at or [np.empty(0)]).astype(np.int32), "x0": pick(0), "x1": pick(1), "x2": pick(2)})
 
 
-def _window_names(raw: bytes, length: int) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8)
-    at = np.arange(len(b) - length + 1)
-    return names(prefix_sums(b), at, at + length)
+def _named(triples: DataFrame, name: str) -> DataFrame:
+    """(id, i, name) of triples (id, i, x0, x1, x2): names are in the order of the triples, equal for equal ones."""
+    keys = ["x0", "x1", "x2"]
+    order = triples.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(*keys).withColumn("name", F.monotonically_increasing_id())
+    return hot_join(triples, written(order, name), keys, ["id", "i"]).select("id", "i", "name")
 
 
-def _merge(length: int):
-    """Contexts grouped by gram -> their windows [first, last] that some window of the group equals."""
+def _by_string(named: DataFrame) -> DataFrame:
+    """(id, ranks): a map from position to name for each string; a string has fewer than twice ``WIDTH`` symbols."""
+    return named.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "name"))).alias("ranks"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        for g in _groups(batches, "gram"):
-            each = [_window_names(raw, length) for raw in g["bytes"]]
-            _, which, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-            twice, at = count[which] > 1, 0
-            for key, ctx, n in zip(g["gram"], g["ctx"], map(len, each), strict=True):
-                out += [(key, ctx, a, z) for a, z in _intervals(twice[at : at + n])]
-                at += n
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["gram", "ctx", "first", "last"])
-                out = []
-        yield pd.DataFrame(out, columns=["gram", "ctx", "first", "last"]).astype("int64")
 
-    return run
+def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strings with the ranks of their sampled suffixes -> a row a window, with what the merge compares."""
+    for pdf in batches:
+        out: list[tuple] = []
+        for key, core, left, right, windows, ranks in zip(pdf["id"], pdf["core_id"], pdf["left"], pdf["right"], pdf["windows"], pdf["ranks"], strict=True):
+            s, rank = _symbols(core, left, right), dict(ranks)
+            tag = int(core).to_bytes(8, "big")
+            for t in range(windows):
+                prefix = tag + bytes([len(left) - t]) + left[t:] + right[: t + WIDTH - 1 - len(left)]
+                out.append((key, t, t % 3, s[t], s[t + 1] if t + 1 < len(s) else -1, rank.get(t, -1), rank.get(t + 1, -1), rank.get(t + 2, -1), prefix))
+        yield pd.DataFrame(out, columns=["id", "t", "kind", "x0", "x1", "r0", "r1", "r2", "prefix"])
+
+
+#: What orders two suffixes, by their positions modulo 3: a rank where both have it, else symbols and the rank behind them.
+_COMPARED = {(0, 0): ("x0", "r1"), (0, 1): ("x0", "r1"), (0, 2): ("x0", "x1", "r2"), (1, 1): ("r0",), (1, 2): ("r0",), (2, 2): ("r0",)}
+
+
+def _before(some: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
+    """For each of ``rows`` the number of ``some`` that sort before it."""
+    out = np.zeros(len(rows), np.int64)
+    theirs, ours = some["kind"].to_numpy(), rows["kind"].to_numpy()
+    for a in range(3):
+        for b in range(3):
+            left, right = np.flatnonzero(theirs == a), np.flatnonzero(ours == b)
+            if len(left) and len(right):
+                cols = _COMPARED[min(a, b), max(a, b)]
+                keys = [np.r_[some[c].to_numpy()[left], rows[c].to_numpy()[right]] for c in cols]
+                # Own rows come first among equal ones, so that only smaller ones count.
+                theirs_too = np.r_[np.ones(len(left), np.int8), np.zeros(len(right), np.int8)]
+                order = np.lexsort([theirs_too, *keys[::-1]])
+                count = np.empty(len(order), np.int64)
+                count[order] = np.cumsum(theirs_too[order])
+                out[right] += count[len(left) :]
+    return out
 
 
-def _explode_windows(length: int):
+def _dealt(splits: pd.DataFrame):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for gram, ctx, raw in zip(pdf["gram"], pdf["ctx"], pdf["bytes"], strict=True):
-                n = _window_names(raw, length).view(np.int64)
-                yield pd.DataFrame({"gram": gram, "ctx": ctx, "first": np.arange(len(n)), "window": n})
+            pdf["part"] = _before(splits, pdf).astype(np.int32)
+            yield pdf
 
     return run
 
 
-def _merged(contexts: DataFrame, length: int) -> DataFrame:
-    """(gram, ctx, first, last) over contexts (gram, ctx, n_ctx, bytes), small groups in a task, large ones by a count."""
-    schema = "gram long, ctx long, first long, last long"
-    small = contexts.filter(F.col("n_ctx") <= GROUP_CONTEXTS).select("gram", "ctx", "bytes")
-    out = small.repartition("gram").sortWithinPartitions("gram").mapInPandas(_merge(length), schema)
-    large = contexts.filter(F.col("n_ctx") > GROUP_CONTEXTS).select("gram", "ctx", "bytes")
-    if large.isEmpty():
-        return out
-    windows = written(large.mapInPandas(_explode_windows(length), "gram long, ctx long, first long, window long"), "suffix-windows")
-    twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return out.union(windows.join(twice, ["gram", "window"], "left_semi").select("gram", "ctx", "first", F.col("first").alias("last")))
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Suffixes by part -> those whose prefix equals a neighbour's (edge 0), and each part's first and last (edge 1, 2)."""
+    for g in _groups(batches, "part"):
+        # Other ranks may split what is equal in 9 symbols; the parts' order and this one agree in them.
+        g = g.iloc[np.argsort(_before(g, g), kind="stable")]
+        prefix = g["prefix"].to_numpy()
+        same = prefix[1:] == prefix[:-1]
+        hit = np.r_[same, False] | np.r_[False, same]
+        out = [g[hit].assign(edge=0), g.iloc[:1].assign(edge=1), g.iloc[-1:].assign(edge=2)]
+        yield pd.concat(out)[["id", "t", "part", "edge", "prefix"]]
+
+
+def repeated_windows(strings: DataFrame) -> DataFrame:
+    """(id, t) of the windows of ``strings`` that equal another: strings have id, core_id, left, right, windows."""
+    spark = strings.sparkSession
+    triples = written(strings.mapInPandas(_sampled, "id long, i int, x0 long, x1 long, x2 long"), "suffix-triples")
+    ranks = _by_string(_named(triples, "suffix-names"))
+    behind = lambda k: F.coalesce(F.element_at("ranks", F.col("i") + k), F.lit(-1))
+    again = ranks.select("id", "ranks", F.explode(F.map_keys("ranks")).alias("i")).select("id", "i", behind(0).alias("x0"), behind(3).alias("x1"), behind(6).alias("x2"))
+    ranks = _by_string(_named(written(again, "suffix-triples"), "suffix-names"))
+    # A string of one symbol has no sampled position.
+    met = strings.join(ranks.hint("merge"), "id", "left").withColumn("ranks", F.coalesce("ranks", F.expr("cast(map() as map<int, bigint>)")))
+    fields = "id long, t int, kind int, x0 long, x1 long, r0 long, r1 long, r2 long"
+    suffixes = written(met.mapInPandas(_suffixes, f"{fields}, prefix binary"), "suffix-windows")
+    n = suffixes.count()
+    parts = min(MAX_PARTS, 1 + n // PART)
+    splits = pd.DataFrame(columns=["kind", "x0", "x1", "r0", "r1", "r2"], dtype=np.int64)
+    if parts > 1:
+        share = int(1_000_000 * min(1.0, SAMPLE_PER_PART * parts / n)) + 1
+        some = suffixes.filter(F.pmod(F.xxhash64("id", "t"), F.lit(1_000_000)) < share).select(*splits.columns).toPandas()  # about SAMPLE_PER_PART a part
+        some = some.iloc[np.argsort(_before(some, some), kind="stable")]
+        splits = some.iloc[np.unique(np.linspace(0, len(some) - 1, parts + 1).astype(int)[1:-1])] if len(some) else splits
+    dealt = suffixes.mapInPandas(_dealt(splits), f"{fields}, prefix binary, part int")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    merged = written(dealt.mapInPandas(_merge, "id long, t int, part int, edge int, prefix binary"), "suffix-merged")
+    edges = sorted((r.part, r.edge, r.prefix, r.id, r.t) for r in merged.filter("edge > 0").collect())  # two a part
+    border = [(x.pop(), x.pop()) for a, b in zip(edges, edges[1:], strict=False) if a[0] != b[0] and a[2] == b[2] for x in ([a[4], a[3]], [b[4], b[3]])]
+    return merged.filter("edge = 0").select("id", "t").union(spark.createDataFrame(border, "id long, t int"))
+
+
+# ------------------------------------------------------------------------------------------------ removal
+
+
+def _covered(spans, length: int) -> list[tuple[int, int]]:
+    """Maximal runs [start, end) of bytes that the windows [first, last] cover."""
+    if spans is None or not len(spans):
+        return []
+    first = np.array([s["first"] for s in spans], np.int64)
+    last = np.array([s["last"] for s in spans], np.int64) + length
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.r_[True, first[1:] > end[:-1]])
+    return list(zip(first[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist(), strict=True))
 
 
 def _remove(length: int):
@@ -186,54 +322,61 @@ def _remove(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, repeats in zip(pdf["text"], pdf["repeats"], strict=True):
-                b = _bytes(text)
-                depth = np.zeros(len(b) + 1, np.int32)
-                if repeats is not None and len(repeats):
-                    np.add.at(depth, [r["first"] for r in repeats], 1)
-                    np.add.at(depth, [r["last"] + length for r in repeats], -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                kept = b[~gone].tobytes()
-                out.append((len(b), int(gone.sum()), len(_intervals(gone)), hashlib.sha256(kept).hexdigest(), kept))
-            found = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
-            yield pd.concat([pdf[["id"]].reset_index(drop=True), found[["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]]], axis=1)
+            for key, text, repeats in zip(pdf["id"], pdf["text"], pdf["repeats"], strict=True):
+                b, gone = (text or "").encode("utf-8", "surrogatepass"), _covered(repeats, length)
+                starts = [0, *(z for _, z in gone)]
+                kept = b"".join(b[a:z] for a, z in zip(starts, [*(a for a, _ in gone), len(b)], strict=True))
+                out.append((key, len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, repeats) of rows (key, text) that hold a repeated string: repeats is an array of the windows [first, last]."""
+    """(key, repeats) of rows (key, text) that hold a repeated string: repeats is a set of windows [first, last]."""
     grams = docs.mapInPandas(_all_runs(length, gram, True), "gram long")
-    twice = grams.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("gram").alias("_gram"))
+    twice = written(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-grams")
     every = docs.mapInPandas(_all_runs(length, gram, False), "gram long, ctx long, key long, start int, windows int")
-    again = written(every.join(twice.hint("merge"), F.col("gram") == F.col("_gram"), "left_semi"), "suffix-runs")
+    again = written(hot_join(every, twice, ["gram"], ["key", "start"], "left_semi"), "suffix-runs")
     contexts = again.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at"))
-    contexts = written(contexts, "suffix-contexts")
-    several = contexts.groupBy("gram").agg(F.count("*").alias("n_ctx")).filter("n_ctx > 1").withColumnRenamed("gram", "_gram")
-    unlike = contexts.join(several, F.col("gram") == F.col("_gram")).select("gram", "ctx", "n_ctx", "at.key", "at.start", (F.col("at.start") + F.col("at.windows") - 1 + length).alias("end"))
-    wanted = unlike.groupBy("key").agg(F.collect_list(F.struct("gram", "ctx", "start", "end")).alias("wanted")).withColumnRenamed("key", "_key")
+    contexts = written(contexts.select("gram", "ctx", F.col("n").alias("times"), "at.key", "at.start", "at.windows"), "suffix-contexts")
+    whole = contexts.filter("times > 1").select("gram", "ctx", F.col("times").alias("n"))
+    spans = hot_join(again, whole, ["gram", "ctx"], ["key", "start"], "left_semi").select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
+
+    several = written(contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-several")
+    unlike = hot_join(contexts, several, ["gram"], ["ctx"], "left_semi")
+    wanted = unlike.groupBy("key").agg(F.collect_list(F.struct("gram", "start", "windows", F.col("times").alias("n"))).alias("wanted"))
     # Merge joins at every size: what is joined grows with the corpus, so it isn't broadcast where it happens to be small.
-    one = docs.join(wanted.hint("merge"), F.col("key") == F.col("_key")).select("text", "wanted")
-    cut = one.mapInPandas(_cut, "gram long, ctx long, bytes binary").dropDuplicates(["gram", "ctx"])  # repeated rows share a key
-    sizes = several.withColumnRenamed("_gram", "_g")
-    merged = written(_merged(cut.join(sizes, F.col("gram") == F.col("_g")).select("gram", "ctx", "n_ctx", "bytes"), length), "suffix-merged")
-    whole = contexts.filter("n > 1").select("gram", "ctx", F.lit(0).cast("long").alias("first"), (F.col("at.windows") - 1).cast("long").alias("last"))
-    parts = merged.join(contexts.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_anti").union(whole).toDF("_gram", "_ctx", "first", "last")
-    met = again.join(parts.hint("merge"), (F.col("gram") == F.col("_gram")) & (F.col("ctx") == F.col("_ctx")))
-    return met.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))).alias("repeats"))
+    cut = docs.join(wanted.hint("merge"), "key").select("key", "text", "wanted")
+    pieces = written(cut.mapInPandas(_cut(length, gram), "core binary, left binary, right binary, windows int, key long, first int, n long").withColumnRenamed("n", "times"), "suffix-bins")
+    same = ["core", "left", "right", "windows"]
+    alike = pieces.groupBy(*same).agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("at"))
+    alike = written(alike, "suffix-alike")
+    repeated = hot_join(pieces.filter("times = 1"), alike.filter("times > 1").select(*same, "n"), same, ["key", "first"], "left_semi")
+    spans = spans.union(repeated.select("key", "first", F.col("first") + F.col("windows") - 1))
+
+    cores = alike.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").withColumn("core_id", F.monotonically_increasing_id())
+    strings = hot_join(alike, written(cores, "suffix-cores"), ["core"], ["left", "right"])
+    strings = written(strings.select(F.monotonically_increasing_id().alias("id"), "core_id", "left", "right", "windows", "times", "at"), "suffix-strings")
+    found = repeated_windows(strings.drop("times", "at"))
+    single = strings.filter("times = 1").select("id", "at")
+    at = single.join(found.hint("merge"), "id").select("at.key", (F.col("at.first") + F.col("t")).alias("first"))
+    spans = spans.union(at.select("key", "first", F.col("first").alias("last")))
+    return spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("repeats"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (long), kept_sha256, kept_bytes (binary): one row a row of ``docs``.
 
     Every byte that a string of ``length`` bytes covers which also starts anywhere else, in the same text or another, is
-    removed; texts are judged whole, as UTF-8, on the input. Null and empty texts have no bytes. Repeated rows are
-    different documents, so their strings repeat. Other columns are not read. An empty table gives an empty result.
+    removed; texts are judged whole, as UTF-8, on the input. Null and empty texts have no bytes. Rows with a null id are
+    texts like others. Repeated rows are different documents, so their strings repeat. Long texts are hashed in slices.
+    Other columns are not read. An empty table gives an empty result. ``length`` must be at least ``WIDTH`` and ``gram``.
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    spans = repeated_spans(source.select("key", "text"), length=length, gram=gram).withColumnRenamed("key", "_key")
-    met = source.join(spans.hint("merge"), F.col("key") == F.col("_key"), "left").select("id", "text", "repeats")
+    spans = repeated_spans(source.select("key", "text"), length=length, gram=gram)
+    met = source.join(spans.hint("merge"), "key", "left").select("id", "text", "repeats")
     out = met.mapInPandas(_remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     return out.withColumnRenamed("id", id_col)
 

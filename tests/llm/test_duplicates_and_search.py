@@ -117,18 +117,55 @@ def test_repeated_strings_match_brute_force(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeats(texts, length)
 
 
-def test_large_groups_of_contexts_are_counted_alike(spark, monkeypatch):
+def removed(frame, **options):
+    got = suffix_dedup.without_repeats(frame, **options).collect()
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
+
+
+def test_repeated_strings_at_the_registered_length(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [word(n) for n in (199, 200, 201, 260, 700)]
+    texts = [None, "", word(5000), "ab" * 300]
+    for i in range(60):
+        texts.append(word(rng.randrange(150)) + shared[i % 5][rng.randrange(3) :] + word(rng.randrange(150)) + rng.choice(shared)[: rng.randrange(190, 700)])
+    texts += [texts[2], texts[9] + texts[9]]
+    assert removed(docs(spark, list(enumerate(texts)))) == repeats(texts, 200)
+
+
+def test_the_order_may_be_split_anywhere(spark, monkeypatch):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
     shared = word(70)
-    texts = [word(60) + shared + word(60) for _ in range(12)]
+    texts = [word(60) + shared + word(60) for _ in range(12)] + [word(3) + shared[rng.randrange(9) : 60 + rng.randrange(9)] + word(3) for _ in range(30)]
     frame = docs(spark, list(enumerate(texts)))
-    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", 2)
-    got = suffix_dedup.without_repeats(frame, length=50, gram=16).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeats(texts, 50)
+    monkeypatch.setattr(suffix_dedup, "PART", 7)
+    assert removed(frame, length=50, gram=16) == repeats(texts, 50)
     assert suffix_dedup.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    b = rng.integers(97, 100, 5000).astype(np.uint8)
+    whole = suffix_dedup.runs(b, 50, 16)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 600)
+    parts = suffix_dedup.runs(b, 50, 16)
+    window = lambda r: np.repeat(r[0], r[3])
+    assert (window(whole) == window(parts)).all() and parts[3].sum() == 4951
+    starts = np.concatenate([np.arange(s, s + n) for s, n in zip(parts[2], parts[3])])
+    assert (starts == np.arange(4951)).all()
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    from leafmill.llm import _shared
+
+    monkeypatch.setattr(_shared, "HOT_SHARE", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, 0) for k in range(2, 9)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 10)
+    got = _shared.hot_join(rows, table.filter("k <> 5"), ["k"], ["v"]).collect()
+    assert sorted((r.k, r.v, r.w) for r in got) == sorted([(1, i, 10) for i in range(50)] + [(k, 0, 10 * k) for k in range(2, 9) if k != 5])
+
+
 def test_neighbours_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     base = [[float(x) for x in v] for v in rng.standard_normal((300, 8)).astype(np.float32)]
