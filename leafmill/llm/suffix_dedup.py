@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -163,22 +164,26 @@ def bins(raw: bytes, gram_names: np.ndarray, start: np.ndarray, windows: np.ndar
                 yield int(some[j]), xxh3_128_digest(raw[core:end]), raw[a:core], raw[end : z + length], z - a + 1, a
 
 
+BINS = "core binary, left binary, right binary, windows int, key long, first int, times long"
+
+
 def _cut(length: int, gram: int):
     """Texts with the contexts wanted of them -> their bins."""
+    kinds = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("windows", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("times", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["core", "left", "right", "windows", "key", "first", "n"]
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out: list[tuple] = []
-            for key, text, wanted in zip(pdf["key"], pdf["text"], pdf["wanted"], strict=True):
-                field = lambda name, rows=wanted: np.array([w[name] for w in rows], np.int64)
-                n = field("n")
-                for i, core, left, right, windows, first in bins(_bytes(text).tobytes(), field("gram"), field("start"), field("windows"), length, gram):
-                    out.append((core, left, right, windows, key, first, n[i]))
+            for key, text, wanted in zip(batch["key"].to_pylist(), batch["text"], batch["wanted"], strict=True):
+                gram_names, start, windows, times = (wanted.values.field(name).to_numpy() for name in ("gram", "start", "windows", "times"))
+                raw, times = text.as_buffer().to_pybytes(), times.tolist()
+                for i, core, left, right, n, first in bins(raw, gram_names, start.astype(np.int64), windows.astype(np.int64), length, gram):
+                    out.append((core, left, right, n, key, first, times[i]))
                     if len(out) >= 100_000:
-                        yield pd.DataFrame(out, columns=columns)
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], kinds)
                         out = []
-            yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], kinds)
 
     return run
 
@@ -186,22 +191,19 @@ def _cut(length: int, gram: int):
 # ------------------------------------------------------------------------------------------------ difference cover
 
 
-def _symbols(core: int, left: bytes, right: bytes) -> np.ndarray:
-    """A string's symbols: bytes, and its core as 256 plus the core's number."""
-    out = np.empty(len(left) + len(right) + 1, np.int64)
-    out[: len(left)] = np.frombuffer(left, np.uint8)
-    out[len(left)] = 256 + core
-    out[len(left) + 1 :] = np.frombuffer(right, np.uint8)
-    return out
+def _symbols(core: int, left: bytes, right: bytes) -> list[int]:
+    """A string's symbols: bytes, its core as 256 plus the core's number, and -1 beyond the end."""
+    return [*left, 256 + core, *right, -1, -1]
 
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strings -> the triples of symbols at the positions 1 and 2 modulo 3; beyond the end is -1."""
+    """Strings -> the triples of symbols at the positions 1 and 2 modulo 3."""
     for pdf in batches:
-        each = [np.r_[_symbols(c, a, z), -1, -1] for c, a, z in zip(pdf["core_id"], pdf["left"], pdf["right"], strict=True)]
-        at = [np.flatnonzero(np.arange(len(s) - 2) % 3) for s in each]
-        pick = lambda j: np.concatenate([s[p + j] for s, p in zip(each, at, strict=True)] or [np.empty(0, np.int64)])
-        yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), list(map(len, at))), "i": np.concatenate(at or [np.empty(0)]).astype(np.int32), "x0": pick(0), "x1": pick(1), "x2": pick(2)})
+        out = []
+        for key, core, left, right in zip(pdf["id"].tolist(), pdf["core_id"].tolist(), pdf["left"], pdf["right"], strict=True):
+            s = _symbols(core, left, right)
+            out += [(key, i, s[i], s[i + 1], s[i + 2]) for i in range(1, len(s) - 2) if i % 3]
+        yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 5), columns=["id", "i", "x0", "x1", "x2"]).astype({"i": np.int32})
 
 
 def _named(triples: DataFrame, name: str) -> DataFrame:
@@ -218,15 +220,17 @@ def _by_string(named: DataFrame) -> DataFrame:
 
 def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Strings with the ranks of their sampled suffixes -> a row a window, with what the merge compares."""
+    columns = ["id", "t", "kind", "x0", "x1", "r0", "r1", "r2"]
     for pdf in batches:
         out: list[tuple] = []
-        for key, core, left, right, windows, ranks in zip(pdf["id"], pdf["core_id"], pdf["left"], pdf["right"], pdf["windows"], pdf["ranks"], strict=True):
-            s, rank = _symbols(core, left, right), dict(ranks)
-            tag = int(core).to_bytes(8, "big")
+        prefixes: list[bytes] = []
+        for key, core, left, right, windows, ranks in zip(pdf["id"].tolist(), pdf["core_id"].tolist(), pdf["left"], pdf["right"], pdf["windows"].tolist(), pdf["ranks"], strict=True):
+            s, rank, before = _symbols(core, left, right), dict(ranks), len(left)
+            tag = core.to_bytes(8, "big")
             for t in range(windows):
-                prefix = tag + bytes([len(left) - t]) + left[t:] + right[: t + WIDTH - 1 - len(left)]
-                out.append((key, t, t % 3, s[t], s[t + 1] if t + 1 < len(s) else -1, rank.get(t, -1), rank.get(t + 1, -1), rank.get(t + 2, -1), prefix))
-        yield pd.DataFrame(out, columns=["id", "t", "kind", "x0", "x1", "r0", "r1", "r2", "prefix"])
+                prefixes.append(tag + bytes([before - t]) + left[t:] + right[: t + WIDTH - 1 - before])
+                out.append((key, t, t % 3, s[t], s[t + 1], rank.get(t, -1), rank.get(t + 1, -1), rank.get(t + 2, -1)))
+        yield pd.DataFrame(np.array(out, np.int64).reshape(-1, len(columns)), columns=columns).astype({"t": np.int32, "kind": np.int32}).assign(prefix=prefixes)
 
 
 #: What orders two suffixes, by their positions modulo 3: a rank where both have it, else symbols and the rank behind them.
@@ -338,29 +342,29 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     twice = written(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-grams")
     every = docs.mapInPandas(_all_runs(length, gram, False), "gram long, ctx long, key long, start int, windows int")
     again = written(hot_join(every, twice, ["gram"], ["key", "start"], "left_semi"), "suffix-runs")
-    contexts = again.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at"))
-    contexts = written(contexts.select("gram", "ctx", F.col("n").alias("times"), "at.key", "at.start", "at.windows"), "suffix-contexts")
+    # Any occurrence will do; plain columns, unlike a struct, are aggregated by hash.
+    contexts = written(again.groupBy("gram", "ctx").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("key", "start", "windows")]), "suffix-contexts")
     whole = contexts.filter("times > 1").select("gram", "ctx", F.col("times").alias("n"))
     spans = hot_join(again, whole, ["gram", "ctx"], ["key", "start"], "left_semi").select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
 
     several = written(contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-several")
     unlike = hot_join(contexts, several, ["gram"], ["ctx"], "left_semi")
-    wanted = unlike.groupBy("key").agg(F.collect_list(F.struct("gram", "start", "windows", F.col("times").alias("n"))).alias("wanted"))
+    wanted = unlike.groupBy("key").agg(F.collect_list(F.struct("gram", "start", "windows", "times")).alias("wanted"))
     # Merge joins at every size: what is joined grows with the corpus, so it isn't broadcast where it happens to be small.
     cut = docs.join(wanted.hint("merge"), "key").select("key", "text", "wanted")
-    pieces = written(cut.mapInPandas(_cut(length, gram), "core binary, left binary, right binary, windows int, key long, first int, n long").withColumnRenamed("n", "times"), "suffix-bins")
+    pieces = written(cut.mapInArrow(_cut(length, gram), BINS), "suffix-bins")
     same = ["core", "left", "right", "windows"]
-    alike = pieces.groupBy(*same).agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("at"))
+    alike = pieces.groupBy(*same).agg(F.sum("times").alias("times"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("first").alias("first"))
     alike = written(alike, "suffix-alike")
     repeated = hot_join(pieces.filter("times = 1"), alike.filter("times > 1").select(*same, "n"), same, ["key", "first"], "left_semi")
     spans = spans.union(repeated.select("key", "first", F.col("first") + F.col("windows") - 1))
 
     cores = alike.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").withColumn("core_id", F.monotonically_increasing_id())
     strings = hot_join(alike, written(cores, "suffix-cores"), ["core"], ["left", "right"])
-    strings = written(strings.select(F.monotonically_increasing_id().alias("id"), "core_id", "left", "right", "windows", "times", "at"), "suffix-strings")
-    found = repeated_windows(strings.drop("times", "at"))
-    single = strings.filter("times = 1").select("id", "at")
-    at = single.join(found.hint("merge"), "id").select("at.key", (F.col("at.first") + F.col("t")).alias("first"))
+    strings = written(strings.select(F.monotonically_increasing_id().alias("id"), "core_id", "left", "right", "windows", "times", "key", "first"), "suffix-strings")
+    found = repeated_windows(strings.drop("times", "key", "first"))
+    single = strings.filter("times = 1").select("id", "key", "first")
+    at = single.join(found.hint("merge"), "id").select("key", (F.col("first") + F.col("t")).alias("first"))
     spans = spans.union(at.select("key", "first", F.col("first").alias("last")))
     return spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("repeats"))
 
