@@ -1,29 +1,51 @@
 """Secret scan: candidate strings by pattern, false positives removed by a random forest, in built-in functions.
 
-Candidates are long runs of key characters with a digit. A random forest (``pyspark.ml``) is trained on labelled
-findings, over length, character transitions, dictionary coverage, path and neighbouring words. The fitted trees become
-one SQL expression, so that scanning is a projection over whole texts: no Python, no shuffle, no limit on findings.
+Candidates are private key blocks, web tokens, keys of known issuers, whatever a keyword assigns, and long runs of key
+characters with a digit. A random forest (``pyspark.ml``) is trained on labelled findings, over length, character
+transitions, dictionary coverage, path and neighbouring words. The fitted trees become one SQL expression, so that
+scanning is a projection over whole texts: no Python, no shuffle, no limit on findings.
+
+No table labels secrets. The findings are labelled by how they were made: ``labelled_findings`` writes random keys and
+passwords, and digests, numbers, identifiers, placeholders and words, each in contexts of either kind, so that a keyword or
+an assignment alone decides nothing. ``LABELLED`` adds examples by hand. The tests hold other hand-labelled findings out.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import uuid
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of at least 14 key characters, one of them a digit, with base64 padding.
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{14,}+={0,2}"
+from leafmill.llm._shared import written
+
+#: Words that name a secret.
+NAMED = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer)"
+#: An assignment (group 1) behind a word that names a secret, blanks and a quote (group 2), and the value, of 6 characters
+#: or more (group 3). It starts at the assignment and looks back, as few characters of a text are one.
+ASSIGNED = "(=>|:=|[:=])(?<=(?i:" + NAMED + r")[A-Za-z0-9_]{0,24}[\"']?[ \t]{0,3}(?:=>|:=|[:=]))([ \t]{0,3}[\"']?)([^\s\"'`,;<>]{5,}[^\s\"'`,;<>.)\]}:])"
+#: Group 4: a private key block, a web token, a key of a known issuer, or a run of at least 14 key characters, one of them a digit.
+BARE = (
+    r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z0-9_+/\-]{10})(-----BEGIN[A-Z0-9 ]{0,40} PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]*?-----END[A-Z0-9 ]{0,40} PRIVATE KEY-----"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?"
+    r"|(?:gh[pousr]_|sk_live_|xox[abprs]-|AIza|AKIA)[A-Za-z0-9_-]{12,}"
+    r"|(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{14,}+={0,2})"
+)
+CANDIDATE = ASSIGNED + "|" + BARE
 BEFORE, AFTER = 48, 16  #: characters of context that are looked at
-TRAINING_DOCS = 40_000  #: documents that silver findings are taken from, about; chosen by a hash of the text
-TREES, DEPTH = 25, 6
+FINDINGS = 4_000  #: labelled findings that ``labelled_findings`` writes
+TREES, DEPTH = 25, 8
 MASK = "[SECRET]"
 
-KEYWORD = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer)"
+KEYWORD = "(?i)" + NAMED
 INNOCENT = r"(?i)(sha-?[0-9]*|md5|digest|checksum|commit|revision|uuid|guid|etag|isbn|order|invoice|phone|card|example|sample|dummy|placeholder)"
-ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
+ISSUED = r"^(AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36,}$|xox[abprs]-[A-Za-z0-9-]{10,}$|sk_live_[A-Za-z0-9]{16,}$|AIza[A-Za-z0-9_-]{35}$|eyJ[A-Za-z0-9_-]+\\.|-----BEGIN )"
+#: The most frequent pairs of letters in European text.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un ge sc la el di ta ent que".split()
 #: Common words inside identifiers and placeholders.
 DICTIONARY = (
     "able account address admin after backup before build cache change class client code config content count create data date default delete demo "
@@ -88,6 +110,10 @@ def feature_sql(token: str, before: str, after: str, path: str, words: list[str]
         "case_change": share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
         "syllables": share("[aeiou](?=[b-df-hj-np-tv-z])|[b-df-hj-np-tv-z](?=[aeiou])", low),
         "distinct": f"CAST(size(array_distinct(split({token}, ''))) AS DOUBLE) / {n}",
+        "pairs": share("(?=" + "|".join(PAIRS) + ")", low),
+        "letters_only": has("^[A-Za-z]+$", token),
+        "code": has("[(){}\\[\\]$<>*.]", token),
+        "issued": has(ISSUED, token),
         "hex": has("^[0-9a-fA-F]+$", token),
         "numeric": has("^[0-9+/=_-]+$", token),
         "dictionary": f"1D - CAST(char_length(regexp_replace({low}, {_quoted(known)}, '')) AS DOUBLE) / {n}",
@@ -107,7 +133,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = N
     """
     text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\x01\x02", "\x03\x03")
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-    out = docs.withColumn("_path", path).withColumn("_parts", F.split(F.regexp_replace(text, CANDIDATE, "\x01$0\x02"), "[\x01\x02]"))
+    out = docs.withColumn("_path", path).withColumn("_parts", F.split(F.regexp_replace(text, CANDIDATE, "$1$2\x01$3$4\x02"), "[\x01\x02]"))
     out = out.withColumn("_sizes", F.expr("CASE WHEN size(_parts) > 1 THEN transform(_parts, p -> char_length(p)) END"))
     found = (
         "CASE WHEN size(_parts) > 1 THEN transform(sequence(1, size(_parts) - 2, 2), i -> named_struct("
@@ -117,14 +143,74 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = N
     return out.withColumn("_found", F.expr(found)).drop("_path", "_sizes")
 
 
-def silver_findings(docs: DataFrame, text_col: str = "text", path_col: str | None = None, most: int = TRAINING_DOCS) -> DataFrame:
-    """Labelled findings of about ``most`` documents: by issuers' formats, or a keyword that assigns a dense value."""
-    n = docs.count()
-    some = docs if n <= most else docs.filter(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = candidates(some, text_col, path_col).select(F.explode("_found").alias("c")).select("c.token", "c.before", "c.after", "c.path").distinct()
-    assigned = F.col("before").rlike(KEYWORD + "[\"']?\\s*[:=]\\s*[\"']?$") & F.col("token").rlike("[0-9].*[0-9].*[0-9]") & F.col("token").rlike("[A-Za-z]")
-    label = (F.col("token").rlike(ISSUED) | assigned) & ~F.col("token").rlike(INNOCENT)
-    return rows.withColumn("label", label.cast("double"))
+def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
+    """``n`` findings (token, before, after, path, label), half of them secrets, made by rule; equal calls agree."""
+    rng = random.Random(seed)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    text = lambda letters, low, high=None: "".join(rng.choice(letters) for _ in range(rng.randint(low, high or low)))
+    word = lambda: rng.choice(DICTIONARY)
+    mixed, hexed = lower + upper + digits, "0123456789abcdef"
+    secrets = (
+        lambda: "AKIA" + text(upper + digits, 16),
+        lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + text(mixed, 36),
+        lambda: "sk_live_" + text(mixed, 20, 32),
+        lambda: "xoxb-" + text(digits, 10, 12) + "-" + text(mixed, 16, 24),
+        lambda: "eyJ" + text(mixed, 17, 40) + "." + text(mixed + "_-", 30, 90) + "." + text(mixed + "_-", 43),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + text(mixed + "+/", 64) + "\n" + text(mixed + "+/", 64) + "\n-----END RSA PRIVATE KEY-----",
+    )
+    secrets_by_context = (  # what only the words around give away
+        lambda: text(mixed + "+/", 38, 44),
+        lambda: text(hexed, 32),
+        lambda: text(hexed, 40),
+        lambda: text(mixed, 20, 32),
+        lambda: text(lower + upper, 16, 32),
+        lambda: text(lower + digits, 8, 16),
+        lambda: text(mixed + "!$%&*#@^_-", 8, 18),
+        lambda: word() + text(digits, 1, 4) + rng.choice("!?$%#*") + text(lower, 0, 3),
+        lambda: word().capitalize() + word().capitalize() + text(digits, 2, 4) + rng.choice(["", "!", "#"]),
+    )
+    others = (
+        lambda: str(uuid.UUID(int=rng.getrandbits(128), version=4)),
+        lambda: text(digits, 14, 19),
+        lambda: f"20{rng.randint(10, 29)}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}{text(digits, 6, 9)}",
+        lambda: "-".join(word() for _ in range(rng.randint(2, 5))) + "-" + text(digits, 1, 4),
+        lambda: "_".join(word() for _ in range(rng.randint(2, 5))) + text(digits, 1, 3),
+        lambda: "/".join(word() for _ in range(rng.randint(2, 5))) + "/" + text(digits, 1, 4),
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4))) + text(digits, 1, 2),
+    )
+    values = (  # what stands behind an assignment and is no secret
+        lambda: word(),
+        lambda: word() + word(),
+        lambda: "<" + word() + ">" if rng.random() < 0.1 else "your-" + word() + "-here" + text(digits, 0, 5),
+        lambda: rng.choice(["changeme", "required", "optional", "string", "undefined", "function", "invalid", "expired", "forgotten", "process.env." + word().upper(), "xxxxxxxx", "********", "${" + word().upper() + "}", "os.environ[" + word(), "getToken()", "self." + word(), "example_" + word()]),
+        lambda: "_".join([word(), word()]),
+        lambda: (name := "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s"]) for _ in range(rng.randint(3, 5)))) and rng.choice([name, name.capitalize()]),
+    )
+    digests = (lambda: text(hexed, 32), lambda: text(hexed, 40), lambda: text(hexed, 64), lambda: text(mixed + "+/", 43) + "=")
+    assigned = ("password=", "password: ", "passwd = ", "secret: '", 'token = "', "api_key=", "access_key: ", 'auth_token": "', "credential=", "pwd=", "private_key = ")
+    near = ("the token ", "bearer ", "use api key ", "secret ", "password ")
+    plain = ("", "see ", "and ", "of the ", "id ", "at ", "name = ", "value: ", "(")
+    innocent = ("commit ", "md5 checksum ", "sha256: ", "digest ", "revision = ", "order ", "invoice ", "etag: ", "uuid = ", "card ", "phone ", "sha1 ")
+    real, sample = ("", "", "conf/app.ini", "deploy.yaml", "src/main.py", "web"), ("docs/guide.md", "tests/test_app.py", "README.md", "examples/a.py", "")
+    after = lambda before: {"'": "'", '"': '"'}.get(before[-1:], rng.choice(["", " and", ".", ")", "\n"]))
+    out = []
+    for i in range(n):
+        kind = rng.random()
+        if i % 2:
+            if kind < 0.4:
+                token, before = rng.choice(secrets)(), rng.choice(assigned + near + plain)
+            else:
+                token, before = rng.choice(secrets_by_context)(), rng.choice(assigned + assigned + near)
+            path = rng.choice(real)
+        elif kind < 0.35:
+            token, before, path = rng.choice(others)(), rng.choice(plain + innocent + near + assigned[:3]), rng.choice(real + sample)
+        elif kind < 0.7:
+            token, before, path = rng.choice(values)(), rng.choice(assigned), rng.choice(real + sample)
+        else:
+            token, before, path = rng.choice(digests)(), rng.choice(innocent), rng.choice(real + sample)
+        lead = " ".join(word() for _ in range(rng.randint(0, 4)))
+        out.append((token, (lead + " " + before)[-BEFORE:] if lead else before, after(before), path, i % 2))
+    return out
 
 
 def _tree_sql(lines: list[str], names: list[str]) -> str:
@@ -157,27 +243,30 @@ class Forest:
 def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = 3, words: list[str] = DICTIONARY) -> Forest:
     """A forest from labelled findings (token, before, after, path, label 0 or 1); ``LABELLED`` is always added.
 
-    Each finding also counts once without its context, so that the value alone decides where no words help. Training
-    sorts the findings, a bounded set, into one partition, which makes reruns agree. Null fields count as empty.
+    Null fields count as empty; findings with another label or without a token are ignored, and an empty table leaves
+    ``LABELLED``. Findings, a bounded set, are sorted into one partition, which makes reruns agree, and written once.
     """
-    spark = findings.sparkSession
-    own = spark.createDataFrame([(*r[:4], float(r[4])) for r in LABELLED], "token string, before string, after string, path string, label double")
+    own = findings.sparkSession.createDataFrame([(*r[:4], float(r[4])) for r in LABELLED], "token string, before string, after string, path string, label double")
     cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("token", "before", "after", "path")]
     rows = findings.select(*cols, F.col("label").cast("double").alias("label")).filter("label IN (0, 1) AND token <> ''").union(own)
-    bare = rows.filter("char_length(token) >= 20 OR label = 0").select("token", F.lit("").alias("before"), F.lit("").alias("after"), F.lit("").alias("path"), "label")
-    rows = rows.union(bare).repartition(1).sortWithinPartitions("token", "before", "after", "path", "label")
+    rows = rows.repartition(1).sortWithinPartitions("token", "before", "after", "path", "label")
     sql = feature_sql("token", "before", "after", "path", words)
-    table = rows.select("label", *[F.expr(v).alias(k) for k, v in sql.items()])
+    table = written(rows.select("label", *[F.expr(v).alias(k) for k, v in sql.items()]), "secret-findings").coalesce(1)
     table = VectorAssembler(inputCols=list(sql), outputCol="features", handleInvalid="keep").transform(table).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(table)
     return Forest([_tree_sql(t.toDebugString.strip().split("\n")[1:], list(sql)) for t in model.trees], words)
 
 
+def trained(spark: SparkSession, n: int = FINDINGS) -> Forest:
+    """The forest of ``n`` findings made by rule."""
+    return train(spark.createDataFrame(labelled_findings(n), "token string, before string, after string, path string, label int"))
+
+
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """One row a candidate: id, start (long, 0-based code points), length (int), score (double), is_secret (boolean).
 
     Null and empty texts have no candidates; repeated rows give repeated findings; columns other than these three are
-    not read. Texts are searched whole. The code points U+0001 and U+0002 count as U+0003.
+    not read. Texts are searched whole. Candidates don't overlap; the leftmost comes first.
     """
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *([F.col(f"`{path_col}`").alias("_source")] if path_col else []))
     rows = forest.scored(source, "_text", "_source" if path_col else None).filter("size(_found) > 0")
@@ -186,19 +275,21 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 
 def redacted(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5, mask: str = MASK) -> DataFrame:
-    """``docs`` with the secrets in ``text_col`` replaced by ``mask``; texts without secrets are unchanged."""
+    """``docs`` with the secrets in ``text_col`` replaced by ``mask``.
+
+    Texts without secrets, null and empty ones are unchanged, all columns but the text too. Repeated rows are changed alike.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"), *([F.col(f"`{path_col}`").alias("_source")] if path_col else []))
     rows = forest.scored(rows, "_text", "_source" if path_col else None)
-    any_ = f"exists(_score, s -> s >= {threshold})"
-    new = f"array_join(transform(_parts, (p, i) -> IF(i % 2 = 1 AND get(_score, CAST((i - 1) / 2 AS INT)) >= {threshold}, {_quoted(mask)}, p)), '')"
-    text: Column = F.expr(f"CASE WHEN {any_} THEN {new} ELSE _text END")
+    hit = f"get(_score, CAST((i - 1) / 2 AS INT)) >= {threshold}"
+    # Texts that hold the marks themselves are put together from their own characters, which stand at the same places.
+    own = F.expr("transform(_parts, (p, i) -> substring(_text, 1 + aggregate(slice(_parts, 1, i), 0, (a, x) -> a + char_length(x)), char_length(p)))")
+    parts = F.when(F.col("_text").rlike("[\x01\x02]"), own).otherwise(F.col("_parts"))
+    rows = rows.withColumn("_parts", F.when(F.expr(f"exists(_score, s -> s >= {threshold})"), parts))
+    text: Column = F.expr(f"CASE WHEN _parts IS NULL THEN _text ELSE array_join(transform(_parts, (p, i) -> IF(i % 2 = 1 AND {hit}, {_quoted(mask)}, p)), '') END")
     return rows.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
-def trained_on(docs: DataFrame, text_col: str = "text", path_col: str | None = None) -> Forest:
-    return train(silver_findings(docs, text_col, path_col))
-
-
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return scan(docs, trained_on(docs, path_col="source"), path_col="source")
+    return scan(docs, trained(spark), path_col="source")
