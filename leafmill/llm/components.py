@@ -5,42 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._shared import written
+from leafmill.llm._shared import discard, hot_join, written
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, name: str) -> DataFrame:
+    """(a, n, m): each node's number of edges and smallest neighbour."""
+    return written(edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), name)
+
+
+def _large_star(edges: DataFrame, name: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m"))
-    return both.join(least, F.col("a") == F.col("_a")).filter("b > a AND b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+    met = hot_join(both, _least(both, name), ["a"], ["b"])
+    return met.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), "_m")
-    moved = down.join(least, F.col("a") == F.col("_a")).filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-    return moved.union(least.select("_a", "_m")).distinct()
+    least = _least(down, name)
+    moved = hot_join(down, least, ["a"], ["b"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b of one orderable type); component = its smallest node.
 
     Large-star and small-star steps alternate until the edges are stars around each component's smallest node. Minima
-    are aggregated on the map side and joins carry plain pairs, so AQE can split the join of a node with very many
-    edges. Each round is written to the shared folder, which cuts the lineage. Self-loops, repeated edges and both
+    are aggregated on the map side and a node with very many edges is joined in shares (``hot_join``). Each step is
+    written to the shared folder, which cuts the lineage, and the round before it is deleted. Self-loops, repeated edges and both
     directions of an edge are allowed; rows with a null end are ignored; an empty table gives an empty result.
     """
     # The edges may be costly to compute: they are written before anything reads them twice.
     own = written(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), name)
     loops = own.filter("a = b")
-    now = own.filter("a <> b")
+    now = first = own.filter("a <> b")
     mark = _mark(now)
     while mark[0]:
-        now = written(_small_star(_large_star(now)), name)
-        before, mark = mark, _mark(now)
+        large = written(_large_star(now, name), name)
+        small = written(_small_star(large, name), name)
+        discard(large)
+        if now is not first:
+            discard(now)
+        now, before, mark = small, mark, _mark(small)
         if mark == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))

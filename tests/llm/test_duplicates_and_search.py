@@ -59,6 +59,23 @@ def test_components_match_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_large_groups_match_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = []
+    for i in range(130):  # a chain that drifts away from its start, and copies of one text with few changes
+        if i % 3 == 0:
+            base = list(base)
+            base[rng.randrange(120)] = f"d{i}"
+        t = list(base)
+        if i % 4 == 0:
+            t[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(t))
+    monkeypatch.setattr(minhash_dedup, "WIDE", 12)
+    got = minhash_dedup.near_duplicates(docs(spark, list(enumerate(texts))), percent=90, leaf=4, block=16, trees=12).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, 90)
+
+
 def test_dedup_keeps_one_of_each_group(spark):
     texts = near_texts(4)
     want = brute(texts, 80)
