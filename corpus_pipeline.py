@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked."""
-    return _sized(secret_scan.redacted(docs, secret_scan.trained_on(docs, path_col="source"), path_col="source"))
+    return _sized(secret_scan.redacted(docs, secret_scan.trained(spark), path_col="source"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
