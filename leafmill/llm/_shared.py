@@ -58,10 +58,10 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[st
     columns ``spread`` and meet a copy of their key's row in each; the hot keys are at most ``HOT_SHARE``, so they alone
     are broadcast. ``table`` should be a written one, as it is read three times.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
+    total, most = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     hot = table.filter((F.col("n") > HOT_SHARE) & (F.col("n") * HOT_SHARE > total)).select(*keys, F.lit(True).alias("_hot"))
     table = table.drop("n")
-    if hot.isEmpty():
+    if most <= HOT_SHARE or most * HOT_SHARE <= total:
         return rows.join(table.hint("merge"), keys, how)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")

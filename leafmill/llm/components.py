@@ -12,21 +12,28 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def _least(edges: DataFrame, name: str) -> DataFrame:
-    """(a, n, m): each node's number of edges and smallest neighbour."""
-    return written(edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), name)
+SMALL = 20_000  #: edges, that one task joins as well as many, so that hot nodes aren't looked for
 
 
-def _large_star(edges: DataFrame, name: str) -> DataFrame:
+def _met(edges: DataFrame, small: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """Edges with m, the smallest neighbour of a; and (a, m)."""
+    least = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
+    if small:
+        return edges.join(least.drop("n"), "a"), least
+    least = written(least, name)
+    return hot_join(edges, least, ["a"], ["b"]), least
+
+
+def _large_star(edges: DataFrame, small: bool, name: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    met = hot_join(both, _least(both, name), ["a"], ["b"])
+    met, _ = _met(both, small, name)
     return met.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame, name: str) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down, name)
-    moved = hot_join(down, least, ["a"], ["b"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    met, least = _met(down, small, name)
+    moved = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -44,12 +51,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     now = first = own.filter("a <> b")
     mark = _mark(now)
     while mark[0]:
-        large = written(_large_star(now, name), name)
-        small = written(_small_star(large, name), name)
-        discard(large)
+        small = mark[0] <= SMALL
+        large = _large_star(now, small, name)
+        moved = written(_small_star(large if small else written(large, name), small, name), name)
         if now is not first:
             discard(now)
-        now, before, mark = small, mark, _mark(small)
+        now, before, mark = moved, mark, _mark(moved)
         if mark == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
