@@ -219,4 +219,27 @@ def test_recall_on_the_given_vectors(spark):
         s = x @ x[i]
         s[i] = -2
         hits += len(got[ids[i]] & set(ids[np.argsort(-s, kind="stable")[:5]]))
+    print("recall", hits / (5 * len(asked)))
     assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_small_shards_and_structured_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((30, 16))
+    x = (centre[rng.integers(0, 30, 1500)] + 0.2 * rng.standard_normal((1500, 16))).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = ann_search._unit(list(x))
+    centroids = ann_search.kmeans(unit, 38)
+    assert ann_search.probes_needed(unit, centroids, 5) < 0.4  # clusters need few lists
+    monkeypatch.setattr(ann_search, "CHUNK_ENTRIES", 40)
+    monkeypatch.setattr(ann_search, "CHUNK_QUERIES", 7)
+    got = {}
+    for r in ann_search.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    want = {}
+    for i in range(0, 1500, 50):
+        s = unit @ unit[i]
+        s[i] = -2
+        want[i] = list(np.argsort(-s, kind="stable")[:5])
+    assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    assert sum(len(set(got[i].values()) & set(want[i])) for i in want) >= 0.9 * 5 * len(want)
