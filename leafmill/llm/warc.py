@@ -1,13 +1,17 @@
 """WARC archives as a Spark data source, written and read by Python tasks.
 
 Reading: ``partitions`` plans the archive files, small ones together; ``pushFilters`` takes over predicates on fields
-of the record header. A task parses each record's header first, tests the predicates, and seeks over (or, compressed,
-discards) the block of a record that fails, or whose payload the schema does not ask for. Writing: each task writes its
-rows to archives of bounded size in a staging folder, and the commit moves them into place.
+of the record header. A task parses each record's header first, tests the predicates, and seeks over the block of a
+record that fails, or whose payload the schema does not ask for. Compressed archives are one gzip member a record; the
+writer notes a member's size in its header, so that the reader seeks to the next member and inflates no unwanted payload
+(members without a note are inflated to be skipped). Writing: each task writes its rows to archives of bounded size in a
+staging folder, and the commit moves them into place.
 
 ``register(spark)`` makes the format known as "warc". Columns: record_id, record_type, target_uri, date,
-payload_digest, refers_to (string), payload_bytes (long: of the full payload, also for revisits), payload (binary; null
-for revisits). A read may name any of these with ``.schema(...)``.
+payload_digest, refers_to (string), payload_bytes (long: of the full payload; for revisits as their HTTP header tells,
+null where it doesn't), payload (binary; null for revisits). A read may name any of these with ``.schema(...)``. What is no
+record, or is cut off, ends the job; with the option ``damaged`` set to ``count`` it becomes a row of record_type
+"damaged", and reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from __future__ import annotations
 import base64
 import gzip
 import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,7 +117,9 @@ def _header(stream) -> dict[str, str]:
     """Fields up to the blank line, names lower-cased; folded lines are joined."""
     out: dict[str, str] = {}
     last = ""
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := stream.readline()) not in (b"\r\n", b"\n"):
+        if not line:
+            raise ValueError("a WARC header is cut off")
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if text[:1] in (" ", "\t") and last:
             out[last] += " " + text.strip()
@@ -126,13 +134,60 @@ def _skip(stream, n: int) -> None:
     if stream.seekable() and not isinstance(stream, gzip.GzipFile):
         stream.seek(n, io.SEEK_CUR)
         return
-    while n > 0 and (got := stream.read(min(n, CHUNK))):
+    while n > 0:
+        if not (got := stream.read(min(n, CHUNK))):
+            raise ValueError("a WARC record is cut off")
         n -= len(got)
 
 
+#: Of the gzip header that the writer makes: magic, deflate, extra field; then the field's name and length.
+_MEMBER = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<H", 8)
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member of one record, with its own size and the record's in the extra field."""
+    deflate = zlib.compressobj(4, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(record) + deflate.flush()
+    size = len(_MEMBER) + 8 + len(body) + 8
+    return _MEMBER + struct.pack("<II", size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+class _Window(io.RawIOBase):
+    """The next ``left`` bytes of a stream."""
+
+    def __init__(self, raw, left: int):
+        self.raw, self.left = raw, left
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        got = self.raw.read(min(len(into), self.left))
+        into[: len(got)] = got
+        self.left -= len(got)
+        return len(got)
+
+
+def _members(raw) -> Iterator[tuple[object, bool]]:
+    """(stream, whether it holds one record) of the members of known size, and of all the rest from the first other one."""
+    at = 0
+    while True:
+        raw.seek(at)
+        head = raw.read(len(_MEMBER) + 8)
+        if not head:
+            return
+        raw.seek(at)
+        if not head.startswith(_MEMBER) or len(head) < len(_MEMBER) + 8:
+            yield gzip.GzipFile(fileobj=raw), False
+            return
+        size = struct.unpack_from("<I", head, len(_MEMBER))[0]
+        yield gzip.GzipFile(fileobj=_Window(raw, size)), True
+        at += size
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path, columns
+    def __init__(self, path: str, columns: list[str], count_damaged: bool = False):
+        self.path, self.columns, self.count_damaged = path, columns, count_damaged
         self.tests: list[tuple] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -164,44 +219,71 @@ class WarcReader(DataSourceReader):
         store, _ = _store(self.path)
         for name in partition.files:
             with store.open_input_file(name) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw, CHUNK)
-                yield from self.records(stream)
-
-    def records(self, stream) -> Iterator[tuple]:
-        http = {"payload", "payload_bytes"} & set(self.columns)
-        while line := stream.readline():
-            if not line.strip():
-                continue
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"not a WARC record: {line[:40]!r}")
-            head = _header(stream)
-            length = int(head.get("content-length", 0))
-            row = {c: head.get(field) for c, field in FIELDS.items()}
-            if row["payload_digest"]:
-                row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
-            if not all(test(row[c]) for c, test in self.tests):
-                _skip(stream, length)
+                if name.endswith(".gz"):
+                    for stream, one in _members(io.BufferedReader(raw, CHUNK)):
+                        yield from self.records(stream, one)
+                else:
+                    yield from self.records(io.BufferedReader(raw, CHUNK), False)
+
+    def records(self, stream, one: bool = False) -> Iterator[tuple]:
+        """Rows of the records in a stream, or of the ``one`` at its start."""
+        lost = False
+        while True:
+            try:
+                line = stream.readline()
+                if not line:
+                    return
+                if not line.strip() or lost and not line.startswith(b"WARC/"):
+                    continue
+                lost = False
+                row = self.record(line, stream, one)
+            except (ValueError, EOFError, OSError, zlib.error) as error:
+                if not self.count_damaged:
+                    raise ValueError(f"damaged archive: {error}") from error
+                if all(test({"record_type": "damaged"}.get(c)) for c, test in self.tests):
+                    yield tuple("damaged" if c == "record_type" else None for c in self.columns)
+                if not isinstance(error, ValueError) or one:
+                    return
+                lost = True
                 continue
-            if http:
-                length -= self.block(stream, head, length, row)
+            if row is not None:
+                yield row
+            if one:
+                return
+
+    def record(self, line: bytes, stream, one: bool) -> tuple | None:
+        """The row of the record that starts with ``line``, or None where a predicate fails."""
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:40]!r}")
+        head = _header(stream)
+        length = int(head.get("content-length", 0))
+        row = {c: head.get(field) for c, field in FIELDS.items()}
+        if row["payload_digest"]:
+            row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
+        wanted = all(test(row[c]) for c, test in self.tests)
+        if wanted and {"payload", "payload_bytes"} & set(self.columns):
+            length -= self.block(stream, head, length, row)
+        if not one:
             _skip(stream, length)
-            yield tuple(row.get(c) for c in self.columns)
+        return tuple(row.get(c) for c in self.columns) if wanted else None
 
     def block(self, stream, head: dict[str, str], length: int, row: dict) -> int:
         """Reads what is wanted of a record's block; bytes read."""
-        used, total = 0, length
+        used, told = 0, None
         if head.get("content-type", "").startswith("application/http"):
-            fields: dict[str, str] = {}
             while used < length and (line := stream.readline(length - used)):
                 used += len(line)
                 if line in (b"\r\n", b"\n"):
                     break
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                fields[name.strip().lower()] = value.strip()
-            total = int(fields.get("content-length", length - used))
-        row["payload_bytes"] = total
-        if "payload" in self.columns and row["record_type"] != "revisit":
+                name, _, value = line.partition(b":")
+                if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                    told = int(value)
+        revisit = row["record_type"] == "revisit"
+        row["payload_bytes"] = told if revisit else length - used
+        if "payload" in self.columns and not revisit:
             row["payload"] = stream.read(length - used)
+            if len(row["payload"]) < length - used:
+                raise ValueError("a WARC record is cut off")
             used = length
         return used
 
@@ -255,7 +337,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator) -> Written:
         store, root = _store(self.path)
-        pack = (lambda b: gzip.compress(b, 4, mtime=0)) if self.compress else (lambda b: b)
+        pack = member if self.compress else (lambda b: b)
         names: list[str] = []
         out, size = None, 0
         try:
@@ -303,7 +385,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """Options: path; compression (gzip, the default, or none)."""
+    """Options: path; compression (gzip, the default, or none) of writes; damaged (fail, the default, or count) of reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -313,7 +395,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], schema.fieldNames())
+        return WarcReader(self.options["path"], schema.fieldNames(), self.options.get("damaged", "fail") == "count")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], schema.fieldNames(), self.options.get("compression", "gzip") == "gzip", overwrite)

@@ -1,6 +1,7 @@
 """Packing, mixing, WARC archives and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import struct
@@ -135,6 +136,53 @@ def test_archives_round_trip(spark):
     assert spark.read.format("warc").option("path", empty).load().count() == 0
 
 
+def response(payload, told, block_more=b""):
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: " + told + b"\r\n\r\n" + payload
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (len(block) + len(block_more)) + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    warc.register(spark)
+    whole = response(b"0123456789", b"5") + response(b"abc", b"12, 12")
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole))  # one member, no sizes
+    (tmp_path / "c.warc.gz").write_bytes(warc.member(response(b"x" * 70_000, b"1")) + warc.member(response(b"yz", b"2")))
+    back = spark.read.format("warc").option("path", str(tmp_path)).load().select("payload_bytes", "payload").collect()
+    assert sorted((r.payload_bytes, len(r.payload)) for r in back) == [(2, 2), (3, 3), (3, 3), (10, 10), (10, 10), (70_000, 70_000)]
+
+
+def test_damaged_archives(spark, tmp_path):
+    warc.register(spark)
+    (tmp_path / "a.warc").write_bytes(response(b"one", b"3") + b"noise\r\nmore\r\n" + response(b"two", b"3") + response(b"cut", b"3", b"more")[:-9])
+    packed = warc.member(response(b"three", b"5"))
+    (tmp_path / "b.warc.gz").write_bytes(packed + packed[:-20])
+    read = spark.read.format("warc").option("path", str(tmp_path))
+    with pytest.raises(Exception, match="damaged archive"):
+        read.load().collect()
+    rows = read.option("damaged", "count").load().select("record_type", "payload").collect()
+    assert sorted(bytes(r.payload) for r in rows if r.record_type == "response") == [b"one", b"three", b"two"]
+    assert sum(r.record_type == "damaged" for r in rows) >= 2
+
+
+def test_unwanted_payloads_are_not_inflated(monkeypatch):
+    import io
+
+    raw = b"".join(warc.member(response(bytes([i]) * 3_000_000, b"9")) for i in range(4))
+    reader = warc.WarcReader("x", ["record_id"])
+    inflated = 0
+    real = gzip._GzipReader.read
+
+    def count(self, size=-1):
+        nonlocal inflated
+        out = real(self, size)
+        inflated += len(out)
+        return out
+
+    monkeypatch.setattr(gzip._GzipReader, "read", count)
+    rows = [r for stream, one in warc._members(io.BytesIO(raw)) for r in reader.records(stream, one)]
+    assert rows == [("<urn:page:1>",)] * 4 and 0 < inflated < 1_500_000
+
+
 def warc_id(urn):
     return int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
