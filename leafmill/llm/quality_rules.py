@@ -27,6 +27,14 @@ BOILERPLATE = (
     "terms of use",
     "we use cookies",
 )
+#: An end of a sentence, before a blank or the line's end; marks that end sentences in other scripts wherever
+#: they stand; and the letters of Thai and Lao, which write no such mark.
+ENDS = "[.!?\\x{2026}][\"')\\]\\x{BB}\\x{201D}\\x{2019}]*([\\x20\\x09-\\x0D]|$)"
+OTHER_ENDS = (
+    "[\\x{589}\\x{61D}-\\x{61F}\\x{6D4}\\x{700}-\\x{702}\\x{7F9}\\x{964}\\x{965}\\x{104A}\\x{104B}\\x{1362}\\x{1367}\\x{1368}\\x{166E}\\x{17D4}\\x{17D5}"
+    "\\x{1803}\\x{1809}\\x{1944}\\x{1945}\\x{203C}\\x{203D}\\x{2047}-\\x{2049}\\x{3002}\\x{A4FF}\\x{A60E}\\x{A60F}\\x{A6F3}\\x{A6F7}\\x{A876}\\x{A877}\\x{A8CE}\\x{A8CF}"
+    "\\x{A9C8}\\x{A9C9}\\x{AA5D}-\\x{AA5F}\\x{ABEB}\\x{FE52}\\x{FE56}\\x{FE57}\\x{FF01}\\x{FF0E}\\x{FF1F}\\x{FF61}\\x{E01}-\\x{E30}\\x{E81}-\\x{EB0}]"
+)
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
@@ -41,7 +49,7 @@ def _count(text: Column, pattern: str) -> Column:
 def line_fails(line: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
     """True for a line that holds a word and breaks a line rule.
 
-    punctuation: it has no sentence end at all, every tenth character or more is a symbol, or doubled exclamation or
+    punctuation: it has no sentence end of any script at all (so headings and list items without one go), every tenth character or more is a symbol, or doubled exclamation or
     question marks end three words or more and at least every fifth word;
     navigation: three separators (``|``, ``>``, ``»``, ``•``, ``·``) or more stand between spaces, at least one for
     every four words;
@@ -50,7 +58,7 @@ def line_fails(line: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Colu
     n_words = _count(line, "[^\\x20\\x09-\\x0D]+")
     separators = _count(line, "[ \\t][|>\\x{BB}\\x{2022}\\x{B7}][ \\t]")
     marks = _count(line, "[!?][!?]")
-    no_sentence = ~line.rlike("[.!?\\x{2026}][\"')\\]\\x{BB}\\x{201D}\\x{2019}]*([\\x20\\x09-\\x0D]|$)")
+    no_sentence = ~line.rlike(ENDS) & ~line.rlike(OTHER_ENDS)
     symbols = _count(line, SYMBOLS) * 10 >= F.char_length(line)
     shouting = (marks >= 3) & (marks * 5 >= n_words)
     navigation = (separators >= 3) & (separators * 4 >= n_words)
@@ -139,7 +147,12 @@ def judge(
 
 
 def clean(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
-    """The documents that pass, with their failing lines removed; the columns of ``docs``."""
+    """The documents that pass, with their failing lines removed; the columns of ``docs``.
+
+    Null and empty texts go; repeated rows are judged one by one; an empty table gives an empty result. Failing lines
+    include headings and list items without a sentence end. A script that writes no blanks has few words, as the base
+    rules count them, whatever its sentences.
+    """
     # A column that isn't deterministic keeps the filter above the judgement; pushed down, it would judge twice and inline
     # every step into the next.
     judged = judge(docs, text_col, **rules).withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0 AND quality_verdict.kept")
@@ -154,6 +167,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 _PHRASES = "|".join(BOILERPLATE)
+_ENDS_SQL = ENDS.replace("'", "''")
 OP1_SQL = f"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -175,7 +189,7 @@ WITH t AS (
   FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS n FROM w)
 ), judged AS (
   SELECT doc_id, l, n, length(l) AS chars,
-    NOT regexp_matches(l, '[.!?\\x{{2026}}]["'')\\]\\x{{BB}}\\x{{201D}}\\x{{2019}}]*([\\x20\\x09-\\x0D]|$)')
+    NOT regexp_matches(l, '{_ENDS_SQL}') AND NOT regexp_matches(l, '{OTHER_ENDS}')
     OR len(regexp_extract_all(l, '{SYMBOLS}')) * 10 >= length(l)
     OR (marks >= 3 AND marks * 5 >= nw)
     OR (sep >= 3 AND sep * 4 >= nw)

@@ -23,29 +23,36 @@ _META = "(?is)<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments, at least ``/``."""
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part))
+    folded = F.concat(F.aggregate(F.slice(F.split(path, "/"), 2, 1_000_000), F.lit(""), step), F.when(path.rlike("/[.][.]?$"), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.contains("/."), folded).otherwise(path)
+
+
 def with_parts(rows: DataFrame, url_col: str, prefix: str = "") -> DataFrame:
     """Adds host, path and alias of a url (names after ``prefix``).
 
     host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or
     the end; both empty without ``://`` or for null. alias: what names a url in an edge, its host, path and query without
-    scheme and fragment; null without a host.
+    scheme, default port and fragment, dot segments resolved, an empty path being ``/``; null without a host.
     """
     # One step a column, so that none is computed more than once.
     url, rest, host, path = f"`{url_col}`", f"{prefix}rest", f"{prefix}host", f"{prefix}path"
     rows = rows.withColumn(rest, F.expr(f"CASE WHEN locate('://', {url}) > 0 THEN substring({url}, locate('://', {url}) + 3) ELSE '' END"))
     rows = rows.withColumn(host, F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), _UPPER, _LOWER))
     rows = rows.withColumn(path, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
-    alias = F.when(F.col(host) != "", F.concat(host, path, F.regexp_extract(rest, "^[^?#]*(\\?[^#]*)", 1)))
+    alias = F.when(F.col(host) != "", F.concat(F.regexp_replace(host, ":(80|443)$", ""), _resolved(F.col(path)), F.regexp_extract(rest, "^[^?#]*(\\?[^#]*)", 1)))
     return rows.withColumn(f"{prefix}alias", alias).drop(rest)
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) urls of the canonical links and meta refreshes in pages; relative targets are made absolute."""
-    html = F.col("html")
+    # Cheap tests first: only pages with such a tag are searched by pattern. Comments hold no tags.
+    html = F.when(F.col("html").contains("<!--"), F.regexp_replace("html", "(?s)<!--.*?-->", "")).otherwise(F.col("html"))
     rows = pages.select(F.col(f"`{url_col}`").alias("src"), F.col(f"`{html_col}`").alias("html"))
-    # Cheap tests first: only pages with such a tag are searched by pattern.
-    canonical = F.when(F.lower(html).contains("canonical"), F.regexp_extract(F.regexp_extract(html, _LINK, 0), "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
-    refresh = F.when(F.lower(html).contains("refresh"), F.regexp_extract(F.regexp_extract(html, _META, 0), "(?i)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
+    canonical = F.when(F.lower("html").contains("canonical"), F.regexp_extract(F.regexp_extract(html, _LINK, 0), "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
+    refresh = F.when(F.lower("html").contains("refresh"), F.regexp_extract(F.regexp_extract(html, _META, 0), "(?i)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
     found = rows.select("src", F.explode(F.array(canonical, refresh)).alias("target")).filter("target <> ''")
     found = with_parts(found.withColumn("target", F.regexp_replace("target", "&amp;", "&")), "src", "src_")
     found = found.withColumn("scheme", F.regexp_extract("src", "^([^:]*)://", 1)).withColumn("folder", F.regexp_replace("src_path", "[^/]*$", ""))
@@ -54,6 +61,7 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat("scheme", F.lit(":"), "target"))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, "src_path", target))
         .otherwise(F.concat(root, F.when(F.col("folder") == "", F.lit("/")).otherwise(F.col("folder")), target))
     )
     return found.select("src", dst.alias("dst")).filter("dst IS NOT NULL")
@@ -142,7 +150,17 @@ def _rule_case(value) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in longest) + " END"
 
 
-_REACHED = """
+def _node(host: str, path: str, query: str) -> str:
+    """The SQL of an alias."""
+    folded = (
+        f"list_reduce(list_prepend('', string_split({path}, '/')[2:]), lambda done, part: CASE WHEN part = '.' THEN done "
+        "WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END)"
+        f" || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END"
+    )
+    return f"CASE WHEN {host} <> '' THEN regexp_replace({host}, ':(80|443)$', '') || CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') THEN {folded} ELSE {path} END || {query} END"
+
+
+_REACHED = f"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) END AS rest FROM pages
 ), hp AS (
@@ -151,15 +169,16 @@ WITH RECURSIVE parts AS (
 ), targets AS (
   SELECT url AS src, host AS src_host, path AS src_path, unnest([
     regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS raw FROM hp
+    regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS raw FROM (SELECT url, host, path, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM hp)
 ), absolute AS (
   SELECT src, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t
     WHEN starts_with(t, '//') THEN regexp_extract(src, '^([^:]*)://', 1) || ':' || t
     WHEN starts_with(t, '/') THEN regexp_extract(src, '^([^:]*)://', 1) || '://' || src_host || t
+    WHEN starts_with(t, '?') THEN regexp_extract(src, '^([^:]*)://', 1) || '://' || src_host || src_path || t
     ELSE regexp_extract(src, '^([^:]*)://', 1) || '://' || src_host || coalesce(nullif(regexp_replace(src_path, '[^/]*$', ''), ''), '/') || t END AS dst
   FROM (SELECT src, src_host, src_path, replace(raw, '&amp;', '&') AS t FROM targets WHERE raw <> '')
 ), ends AS (
-  SELECT DISTINCT u, host, path, CASE WHEN host <> '' THEN host || path || query END AS node FROM (
+  SELECT DISTINCT u, host, path, {_node('host', 'path', 'query')} AS node FROM (
     SELECT u, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
       coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1), '') AS query
     FROM (SELECT u, CASE WHEN strpos(u, '://') > 0 THEN substring(u, strpos(u, '://') + 3) END AS rest FROM (SELECT src AS u FROM absolute UNION SELECT dst FROM absolute)))
@@ -175,7 +194,7 @@ OP8_SQL = f"""{_REACHED}
 ), spread AS (
   SELECT r.node, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM reach r JOIN judged j ON r.other = j.node GROUP BY r.node
 ), own AS (
-  SELECT page_id, host, path, CASE WHEN host <> '' THEN host || path || query END AS node, {_rule_case(lambda h, p, v: h + p)} AS rule, {_rule_case(lambda h, p, v: v)} AS v FROM hp
+  SELECT page_id, host, path, {_node('host', 'path', 'query')} AS node, {_rule_case(lambda h, p, v: h + p)} AS rule, {_rule_case(lambda h, p, v: v)} AS v FROM hp
 )
 SELECT page_id, host, path, rule, coalesce(own.v, spread.v, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'own' WHEN spread.v IS NOT NULL THEN 'alias' ELSE 'default' END AS via
 FROM own LEFT JOIN spread USING (node)
