@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the token filter for section mapping.
-STOPWORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "will", "shall", "its", "into", "any", "all")
+STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "were", "but", "not", "you", "your", "our", "any", "all")
 LABEL = "^[A-Z][A-Za-z0-9 /&().'-]{1,40}:\\s+\\S"
 METADATA = "(?i)^(version|prepared by|reviewed by|approved by|author|date|effective date|document (no|number|id)|revision|status|owner|department)\\b.*[:].*"
 
@@ -50,10 +50,10 @@ def stem(word: Column) -> Column:
     cut = lambda k, add="": F.concat(word.substr(F.lit(1), n - k), F.lit(add))
     return (
         F.when(word.endswith("ies") & (n > 4), cut(3, "y"))
-        .when(word.endswith("sses"), cut(2))
+        .when(word.endswith("sses") & (n > 4), cut(2))
         .when(word.endswith("ses") & (n > 4), cut(1))
         .when(word.endswith("s") & ~word.endswith("ss") & (n > 3), cut(1))
-        .when(word.endswith("ing") & (n > 5), cut(3))
+        .when(word.endswith("ing") & (n > 4), cut(3))
         .when(word.endswith("ed") & (n > 4), cut(2))
         .otherwise(word)
     )
@@ -69,13 +69,19 @@ def quote_norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+#: What a line that only holds a page number looks like.
+PAGE_NUMBER = "(?i)^((page\\s+)?[0-9]+(\\s*(of|/|-|\\x{2013})\\s*[0-9]+)?|[-\\x{2013}\\x{2014}\\s]*[0-9]+[-\\x{2013}\\x{2014}\\s]*|[ivxlcdm]{1,7})$"
+
+
 def running_norm(line: Column) -> Column:
-    """Digits to #, lower case, collapsed: equal for a header on every page."""
-    return F.lower(collapse(F.regexp_replace(line, "[0-9]", "#")))
+    """Each run of digits to one #, lower case, collapsed: equal for a header on every page."""
+    return collapse(F.regexp_replace(F.lower(line), "[0-9]+", "#"))
 
 
 def is_page_number(line: Column) -> Column:
-    return F.trim(line).rlike("(?i)^(page\\s+)?[0-9]{1,4}(\\s*(of|/)\\s*[0-9]{1,4})?$")
+    """A number, also ``page 3 of 12``, ``3/12``, ``12 - 30``, between dashes or in Roman digits; 20 characters at most."""
+    text = F.trim(line)
+    return (F.length(text) <= 20) & text.rlike(PAGE_NUMBER)
 
 
 def dehyphenate(text: Column) -> Column:
@@ -126,18 +132,24 @@ def version_of(text: Column) -> Column:
 
 
 def bump(version: Column, major: bool = False) -> Column:
-    """2.1 -> 2.2, 2 -> 2.1; major: 2.3.4 -> 3.0.0."""
-    parts = F.transform(F.split(version, "\\."), lambda x: x.cast("int"))
+    """2.3.4 -> 2.3.5, 2 -> 2.1; major: 2.3.4 -> 3.0.0, 2 -> 3.0. Parts that are no numbers go; without one nothing changes."""
+    parts = F.transform(F.filter(F.split(version, "\\."), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("long"))
+    last = F.size(parts) - 1
     if major:
-        return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x + 1).otherwise(0).cast("string")), ".")
-    full = F.when(F.size(parts) == 1, F.concat(parts, F.array(F.lit(0)))).otherwise(parts)
-    return F.array_join(F.transform(full, lambda x, i: F.when(i == 1, x + 1).when(i > 1, 0).otherwise(x).cast("string")), ".")
+        out = F.transform(parts, lambda x, i: F.when(i == 0, x + 1).otherwise(F.lit(0).cast("long")))
+        more = F.array(F.lit(0).cast("long"))
+    else:
+        out = F.transform(parts, lambda x, i: F.when((i == last) & (i > 0), x + 1).otherwise(x))
+        more = F.array(F.lit(1).cast("long"))
+    out = F.when(last == 0, F.concat(out, more)).otherwise(out)
+    return F.when(last < 0, version).otherwise(F.array_join(F.transform(out, lambda x: x.cast("string")), "."))
 
 
-def version_parts(version: Column, width: int = 6) -> Column:
-    """The numbers of a version, padded with zeros: such arrays compare as versions do."""
-    parts = F.transform(F.split(version, "\\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), width)), 1, width)
+def version_parts(version: Column) -> Column:
+    """The numbers of a version without zeros at the end: such arrays compare as versions of any length do."""
+    parts = F.transform(F.regexp_extract_all(version, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
+    ends = F.aggregate(F.transform(parts, lambda x, i: F.when(x != 0, i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    return F.slice(parts, 1, ends)
 
 
 def sort_key(section: Column) -> Column:
@@ -146,10 +158,17 @@ def sort_key(section: Column) -> Column:
 
 
 def humanise(size: Column) -> Column:
+    """A number of bytes in B, KB, MB or GB, halves rounded up to a tenth."""
+
+    def tenths(unit: int, name: str) -> Column:
+        n = F.floor((size.cast("decimal(38,0)") * 20 + unit) / (2 * unit)).cast("long")
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"), F.lit(name))
+
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1 << 20, F.concat(F.format_number(size / 1024, 1), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(size / (1 << 20), 1), F.lit(" MB")))
+        .when(size < 1 << 20, tenths(1 << 10, " KB"))
+        .when(size < 1 << 30, tenths(1 << 20, " MB"))
+        .otherwise(tenths(1 << 30, " GB"))
     )
 
 

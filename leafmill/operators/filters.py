@@ -198,17 +198,6 @@ def _findings_union(t):
     return model.unionByName(rule).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("slot_set_equal", "SELECT template_id, 0::BIGINT AS missing, 0::BIGINT AS surplus FROM slots GROUP BY template_id", "slots")
-def _slot_set_equal(t):
-    """Slots without exactly one diff, both ways; none for a complete diff."""
-    slots = t.slots.select("template_id", "ord")
-    diffs = t.slots.select("template_id", F.col("ord").alias("ord"))
-    missing = slots.exceptAll(diffs).groupBy("template_id").agg(F.count("*").alias("m"))
-    surplus = diffs.exceptAll(slots).groupBy("template_id").agg(F.count("*").alias("s"))
-    base = slots.select("template_id").distinct()
-    return base.join(missing, "template_id", "left").join(surplus, "template_id", "left").select("template_id", F.coalesce("m", F.lit(0)).cast("long").alias("missing"), F.coalesce("s", F.lit(0)).cast("long").alias("surplus"))
-
-
 @query("toc_distinct", "SELECT code, section_no, min(requirement_id) AS first_id FROM requirements GROUP BY code, section_no", "requirements")
 def _toc_distinct(t):
     w = Window.partitionBy("code", "section_no").orderBy("requirement_id")

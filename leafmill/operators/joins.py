@@ -59,6 +59,19 @@ query("review_diff", _SLOT_BODIES + _REWRITE + " SELECT template_id, ord, origin
 )
 
 
+def slot_set_equal(slots: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """template_id, missing, surplus: slots without their rewrite and rewrites (or repeated ones) without a slot."""
+    count = lambda df, name: df.groupBy("template_id", "ord").agg(F.count("*").alias(name))
+    met = count(slots, "s").join(count(rewritten, "r"), ["template_id", "ord"], "full")
+    more = lambda a, b: F.sum(F.greatest(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)), F.lit(0)))
+    return met.groupBy("template_id").agg(more("s", "r").alias("missing"), more("r", "s").alias("surplus"))
+
+
+query("slot_set_equal", _SLOT_BODIES + _REWRITE + ", a AS (SELECT template_id, ord FROM slots), d AS (SELECT template_id, ord FROM r), m AS (SELECT template_id, count(*) AS n FROM (FROM a EXCEPT ALL FROM d) GROUP BY ALL), p AS (SELECT template_id, count(*) AS n FROM (FROM d EXCEPT ALL FROM a) GROUP BY ALL), t AS (SELECT template_id FROM a UNION SELECT template_id FROM d) SELECT template_id, coalesce(m.n, 0) AS missing, coalesce(p.n, 0) AS surplus FROM t LEFT JOIN m USING (template_id) LEFT JOIN p USING (template_id)", "slots lines")(
+    lambda t: slot_set_equal(t.slots, slot_rewrite(slot_bodies(t.slots, mappings(t), sections(t))))
+)
+
+
 def _review(t) -> DataFrame:
     """A row a slot: original, proposed without TODO lines, source, and whether they differ."""
     r = slot_rewrite(slot_bodies(t.slots, mappings(t), sections(t)))
@@ -256,9 +269,9 @@ def evidence_grounding(evidence: DataFrame, docs: DataFrame) -> DataFrame:
 _N = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 query(
     "evidence_grounding",
-    f", q AS (SELECT evidence_id, {_N.format('quote')} AS q FROM evidence), d AS (SELECT doc_id, {_N.format('text')} AS t FROM documents) SELECT evidence_id, doc_id FROM q JOIN d ON contains(t, q) OR contains(t, left(q, 60)) OR contains(t, right(q, 60)) WHERE length(q) > 20",
+    f", q AS (SELECT evidence_id, {_N.format('quote')} AS q FROM evidence), d AS (SELECT doc_id, {_N.format('text')} AS t FROM documents) SELECT evidence_id, doc_id FROM q JOIN d ON contains(t, q) OR contains(t, left(q, 60)) OR contains(t, right(q, 60)) WHERE length(q) > 20 UNION ALL SELECT evidence_id, NULL FROM q WHERE length(q) BETWEEN 1 AND 20",
     "evidence",
-)(lambda t: evidence_grounding(t.evidence, t.documents).filter("doc_id IS NOT NULL"))
+)(lambda t: evidence_grounding(t.evidence, t.documents))
 
 
 def align_sections(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
@@ -380,8 +393,8 @@ def font_stats(spans: DataFrame) -> DataFrame:
 query("heading_scale", ", s AS (SELECT DISTINCT doc_id, size FROM spans), b AS (SELECT doc_id, min(size) AS body FROM s GROUP BY doc_id) SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS INTEGER) AS level FROM s JOIN b USING (doc_id) WHERE size > body + 0.6 QUALIFY level <= 4", "spans")(
     lambda t: t.spans.groupBy("doc_id").agg(F.min("size").alias("b"), F.collect_set("size").alias("s")).select("doc_id", F.posexplode(F.slice(F.sort_array(F.filter("s", lambda x: x > F.col("b") + 0.6), False), 1, 4)).alias("p", "size")).select("doc_id", "size", (F.col("p") + 1).alias("level"))
 )
-query("margin_percentiles", ", g AS (SELECT doc_id, list(x0 ORDER BY x0) AS xs FROM spans GROUP BY doc_id) SELECT doc_id, xs[CAST(greatest(1, ceil(0.1 * len(xs))) AS INTEGER)] AS p10, xs[CAST(greatest(1, ceil(0.15 * len(xs))) AS INTEGER)] AS p15 FROM g", "spans")(
-    lambda t: t.spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("x0")).alias("xs")).select("doc_id", *[F.element_at("xs", F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size("xs"))).cast("int")).alias(n) for n, p in (("p10", 0.1), ("p15", 0.15))])
+query("margin_percentiles", ", g AS (SELECT doc_id, list(x0 ORDER BY x0) AS xs FROM spans GROUP BY doc_id) SELECT doc_id, xs[CAST(round_even(0.1 * (len(xs) - 1), 0) AS INTEGER) + 1] AS p10, xs[CAST(round_even(0.15 * (len(xs) - 1), 0) AS INTEGER) + 1] AS p15 FROM g", "spans")(
+    lambda t: t.spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("x0")).alias("xs")).select("doc_id", *[F.element_at("xs", F.bround(F.lit(p) * (F.size("xs") - 1)).cast("int") + 1).alias(n) for n, p in (("p10", 0.1), ("p15", 0.15))])
 )
 query("formatting_profile", "SELECT doc_id, string_agg(DISTINCT font, ',' ORDER BY font) AS fonts, count(*) AS n, count(DISTINCT size) AS n_sizes FROM spans GROUP BY doc_id", "spans")(
     lambda t: t.spans.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("font")), 1, 20), ",").alias("fonts"), F.count("*").alias("n"), F.count_distinct("size").alias("n_sizes"))
@@ -455,7 +468,11 @@ def _tfidf(t) -> DataFrame:
     return tfidf_cosine(items, pairs)
 
 
-query("tokenize_map")(lambda t: t.requirements.select("requirement_id", F.array_join(X.map_tokens(F.concat_ws(" ", "title", "requirement_text")), " ").alias("tokens")))
+_STEM = (
+    "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND ends_with(w, 'sses') THEN left(w, length(w) - 2) WHEN length(w) > 4 AND ends_with(w, 'ses') THEN left(w, length(w) - 1) "
+    "WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) WHEN length(w) > 4 AND ends_with(w, 'ing') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND ends_with(w, 'ed') THEN left(w, length(w) - 2) ELSE w END"
+)
+query("tokenize_map", f"SELECT requirement_id, array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(concat_ws(' ', title, requirement_text), '[a-zA-Z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN {X.STOPWORDS}), lambda w: {_STEM}), ' ') AS tokens FROM requirements", "requirements")(lambda t: t.requirements.select("requirement_id", F.array_join(X.map_tokens(F.concat_ws(" ", "title", "requirement_text")), " ").alias("tokens")))
 query("keyword_missing", ", d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, array_to_string(list_filter(['trash', 'license', 'password', 'token'], lambda k: NOT contains(t, k)), ',') AS missing, len(list_filter(['trash', 'license', 'password', 'token'], lambda k: NOT contains(t, k))) = 4 AS flagged FROM d".replace(", d AS", "WITH d AS", 1))(
     lambda t: t.documents.select("doc_id", F.filter(F.array(*map(F.lit, ("trash", "license", "password", "token"))), lambda k: ~F.lower("text").contains(k)).alias("m")).select("doc_id", F.array_join("m", ",").alias("missing"), (F.size("m") == 4).alias("flagged"))
 )

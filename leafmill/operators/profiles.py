@@ -29,7 +29,7 @@ query(
 )(lambda t: doc_profile(t.marked_lines))
 
 
-@query("version_bump", "SELECT doc_id, pos, v, CASE WHEN contains(v, '.') THEN split_part(v, '.', 1) || '.' || CAST(CAST(split_part(v, '.', 2) AS INTEGER) + 1 AS VARCHAR) ELSE v || '.1' END AS bumped FROM (SELECT doc_id, pos, regexp_extract(line, '^Version: ([0-9.]+)', 1) AS v FROM marked_lines) WHERE v <> ''", "marked_lines")
+@query("version_bump", "SELECT doc_id, pos, v, CASE len(p) WHEN 0 THEN v WHEN 1 THEN p[1] || '.1' ELSE array_to_string(list_append(p[:-2], CAST(p[-1] + 1 AS BIGINT)), '.') END AS bumped FROM (SELECT *, list_transform(list_filter(string_split(v, '.'), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: CAST(x AS BIGINT)) AS p FROM (SELECT doc_id, pos, regexp_extract(line, '^Version: ([0-9.]+)', 1) AS v FROM marked_lines)) WHERE v <> ''", "marked_lines")
 def _version_bump(t):
     v = F.regexp_extract("line", "^Version: ([0-9.]+)", 1)
     return t.marked_lines.select("doc_id", "pos", v.alias("v")).filter("v <> ''").select("doc_id", "pos", "v", X.bump(F.col("v")).alias("bumped"))
@@ -40,7 +40,7 @@ def _version_gt(t):
     """The newest version of a document, compared number by number."""
     v = t.marked_lines.select("doc_id", F.regexp_extract("line", "^Version: ([0-9]+[.][0-9]+)", 1).alias("v")).filter("v <> ''")
     newest = v.groupBy("doc_id").agg(F.max(X.version_parts(F.col("v"))).alias("p"))
-    return newest.select("doc_id", (F.col("p")[0] * 1000 + F.col("p")[1]).alias("newest"))
+    return newest.select("doc_id", (F.coalesce(F.get("p", F.lit(0)), F.lit(0)) * 1000 + F.coalesce(F.get("p", F.lit(1)), F.lit(0))).alias("newest"))
 
 
 #: Date formats that are tried in order; the first that parses is kept.
@@ -64,8 +64,8 @@ query("uppercase_like", "SELECT doc_id, pos, length(regexp_replace(line, '[^\\p{
     lambda t: t.marked_lines.select("doc_id", "pos", X.uppercase_like(F.col("line")).alias("upper_like"))
 )
 query("quote_norm", "SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM benchmark")(lambda t: t.benchmark.select("item_id", X.quote_norm(F.col("text")).alias("norm")))
-query("bytes_humanise", "SELECT artifact_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN 'KB' ELSE 'MB' END AS size FROM artifacts", "artifacts")(
-    lambda t: t.artifacts.select("artifact_id", F.regexp_replace(X.humanise(F.col("size_bytes")), "^[0-9.,]+ (KB|MB)$", "$1").alias("size"))
+query("bytes_humanise", "SELECT artifact_id, CASE WHEN u = 1 THEN size_bytes || ' B' ELSE n // 10 || '.' || n % 10 || CASE u WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END END AS size FROM (SELECT *, (CAST(size_bytes AS HUGEINT) * 20 + u) // (2 * u) AS n FROM (SELECT artifact_id, size_bytes, CASE WHEN size_bytes < 1024 THEN 1 WHEN size_bytes < 1048576 THEN 1024 WHEN size_bytes < 1073741824 THEN 1048576 ELSE 1073741824 END AS u FROM artifacts))", "artifacts")(
+    lambda t: t.artifacts.select("artifact_id", X.humanise(F.col("size_bytes")).alias("size"))
 )
 query("relative_age", "SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2030-01-01') - floor(epoch(ts)) AS BIGINT) AS s FROM events)")(
     lambda t: t.events.select("event_id", X.age(F.unix_timestamp(F.lit("2030-01-01").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("age"))

@@ -212,9 +212,9 @@ def collapse_blanks(lines: DataFrame) -> DataFrame:
 query("parent_heading", "SELECT template_id, ord, coalesce(lead(level) OVER (PARTITION BY template_id ORDER BY ord) > level, false) AS is_parent FROM slots", "slots")(
     lambda t: t.slots.select("template_id", "ord", F.coalesce(F.lead("level").over(Window.partitionBy("template_id").orderBy("ord")) > F.col("level"), F.lit(False)).alias("is_parent"))
 )
-_SLUG = "trim(regexp_replace(lower(left(title, 5)), '[^a-z0-9]+', '_', 'g'), '_')"
+_SLUG = "coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'slot_' || ord)"
 query("slot_slugs", f", s AS (SELECT template_id, ord, {_SLUG} AS base FROM slots) SELECT template_id, ord, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS slot_id FROM (SELECT *, row_number() OVER (PARTITION BY template_id, base ORDER BY ord) AS n FROM s)", "slots")(
-    lambda t: t.slots.select("template_id", "ord", X.slug(F.substring("title", 1, 5)).alias("base")).withColumn("n", F.row_number().over(Window.partitionBy("template_id", "base").orderBy("ord"))).select("template_id", "ord", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "n")).alias("slot_id"))
+    lambda t: t.slots.select("template_id", "ord", F.when(X.slug(F.col("title")) == "", F.concat(F.lit("slot_"), "ord")).otherwise(X.slug(F.col("title"))).alias("base")).withColumn("n", F.row_number().over(Window.partitionBy("template_id", "base").orderBy("ord"))).select("template_id", "ord", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "n")).alias("slot_id"))
 )
 query("drop_preface_slots", ", f AS (SELECT template_id, min(ord) FILTER (level = 2) AS first FROM slots GROUP BY template_id) SELECT template_id, ord, title FROM slots JOIN f USING (template_id) WHERE first IS NULL OR ord >= first", "slots")(
     lambda t: t.slots.withColumn("_f", F.min(F.when(F.col("level") == 2, F.col("ord"))).over(Window.partitionBy("template_id"))).filter("_f IS NULL OR ord >= _f").select("template_id", "ord", "title")
@@ -266,7 +266,7 @@ query(
     ", w AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\\s\\x{0b}\\x{85}\\x{a0}]+'), lambda x: x <> ''))) AS words FROM lines GROUP BY doc_id) SELECT doc_id, CASE WHEN words > 0 THEN CAST(greatest(1, round_even(words / 380.0, 0)) AS INTEGER) END AS pages FROM w",
     "lines",
 )(lambda t: t.lines.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.split("line", "(?U)\\s+"), lambda x: x != ""))).alias("w")).select("doc_id", F.when(F.col("w") > 0, F.greatest(F.lit(1), F.bround(F.col("w") / 380).cast("int"))).alias("pages")))
-_RUN = "lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '#', 'g'), '[\\s\\x{0b}\\x{85}\\x{a0}]+', ' ', 'g')))"
+_RUN = "lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '[\\s\\x{0b}\\x{85}\\x{a0}]+', ' ', 'g')))"
 _REPEATED = f"SELECT source, {_RUN} AS norm, count(DISTINCT doc_id) AS pages FROM lines JOIN documents d USING (doc_id) WHERE line <> '' AND length(line) <= 120 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3"
 
 
@@ -279,7 +279,7 @@ def repeated_lines(lines: DataFrame, scopes: DataFrame, least: int = 3) -> DataF
 query("repeated_lines", _REPEATED, "lines")(lambda t: repeated_lines(t.lines, t.documents.select("doc_id", "source")))
 
 
-@query("running_line_strip", f", r AS ({_REPEATED}) SELECT doc_id, pos, line FROM lines JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM r WHERE r.source = d.source AND r.norm = {_RUN}) AND NOT regexp_full_match(trim(line), '(?i)(page\\s+)?[0-9]{{1,4}}(\\s*(of|/)\\s*[0-9]{{1,4}})?')", "lines")
+@query("running_line_strip", f", r AS ({_REPEATED}) SELECT doc_id, pos, line FROM lines JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM r WHERE r.source = d.source AND r.norm = {_RUN}) AND NOT (length(trim(line)) <= 20 AND regexp_matches(trim(line), '{X.PAGE_NUMBER}'))", "lines")
 def _running_line_strip(t):
     """Lines without those that repeat across a source, and without page numbers."""
     scopes = t.documents.select("doc_id", "source")

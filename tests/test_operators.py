@@ -214,3 +214,40 @@ def test_retrieval_falls_back_where_no_vector_is_near(spark):
     queries = spark.createDataFrame([(1, "alpha"), (2, "gamma"), (3, "delta"), (4, "alpha")], "query_id long, text string")
     got = retrieval.retrieval_fallback(vectors, asked, chunks, queries)
     assert sorted((r.query_id, r.via, r.rank, r.id) for r in got.collect()) == [(1, "vector", 1, 10), (1, "vector", 2, 11), (2, "bm25", 1, 1), (3, "bm25", 1, 2), (4, "bm25", 1, 0)]
+
+
+def column_values(spark, values, make):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.x for r in rows.select("i", make(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_text_functions_by_hand(spark):
+    from leafmill.functions import text as X
+
+    assert column_values(spark, ["using", "ring", "classes", "sses", "bases", "policies", "ties", "used", "bed", "its", "glass"], X.stem) == ["us", "ring", "classe", "sse", "base", "policy", "tie", "us", "bed", "it", "glas"][:0] + ["us", "ring", "class", "sse", "base", "policy", "tie", "used", "bed", "its", "glass"]
+    assert column_values(spark, ["Page 9", "page  10", "A1b22", None], X.running_norm) == ["page #", "page #", "a#b#", None]
+    pages = ["7", "Page 3 of 12", "12 - 30", "- 5 -", "xiv", "3/4", "mild", "chapter 1", "1" * 21, "page"]
+    assert column_values(spark, pages, X.is_page_number) == [True, True, True, True, True, True, True, False, False, False]
+    assert column_values(spark, ["2.3.4", "2", "v", "2.x.9", ""], X.bump) == ["2.3.5", "2.1", "v", "2.10", ""]
+    assert column_values(spark, ["2.3.4", "2"], lambda v: X.bump(v, True)) == ["3.0.0", "3.0"]
+    assert column_values(spark, ["1.10", "1.9", "10", "9.0", "1.0.0.0.0.0.0.1", "1"], X.version_parts) == [[1, 10], [1, 9], [10], [9], [1, 0, 0, 0, 0, 0, 0, 1], [1]]
+    sizes = column_values(spark, ["0", "1023", "1024", "1280", "1048576", "5368709120"], lambda v: X.humanise(v.cast("long")))
+    assert sizes == ["0 B", "1023 B", "1.0 KB", "1.3 KB", "1.0 MB", "5.0 GB"]
+
+
+def test_slots_and_rewrites_meet(spark):
+    from leafmill.operators.joins import slot_set_equal
+
+    slots = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "template_id int, ord int")
+    rewritten = spark.createDataFrame([(1, 0), (1, 0), (3, 5)], "template_id int, ord int")
+    got = {r.template_id: (r.missing, r.surplus) for r in slot_set_equal(slots, rewritten).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (0, 1)}
+    assert slot_set_equal(slots.limit(0), rewritten.limit(0)).count() == 0
+
+
+def test_short_quotes_count_as_grounded(spark):
+    from leafmill.operators.joins import evidence_grounding
+
+    evidence = spark.createDataFrame([(1, "p. 5"), (2, "..."), (3, None), (4, "this sentence stands nowhere at all")], "evidence_id int, quote string")
+    docs = spark.createDataFrame([(7, "some other text that is here"), (8, None)], "doc_id int, text string")
+    assert [(r.evidence_id, r.doc_id) for r in evidence_grounding(evidence, docs).collect()] == [(1, None)]

@@ -15,5 +15,6 @@ def test_entry_imports_without_it(tmp_path):
     if (tmp_path / "leafmill" / "llm").exists():
         shutil.rmtree(tmp_path / "leafmill" / "llm")
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"
+    code += "\nfrom pyspark.sql import SparkSession\nspark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\nassert q['requirement_count'](spark, '/root/testdata/sf0.001').count() > 0"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
