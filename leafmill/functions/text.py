@@ -73,6 +73,10 @@ def quote_norm(text: Column) -> Column:
 PAGE_NUMBER = "(?i)^((page\\s+)?[0-9]+(\\s*(of|/|-|\\x{2013})\\s*[0-9]+)?|[-\\x{2013}\\x{2014}\\s]*[0-9]+[-\\x{2013}\\x{2014}\\s]*|[ivxlcdm]{1,7})$"
 
 
+#: A number, or a capital, with dotted parts, before a title.
+NUMBERED = "^\\s*((?:[0-9]+|[A-Z])(?:\\.[0-9A-Za-z]+)*)\\.?\\s+\\S"
+
+
 def running_norm(line: Column) -> Column:
     """Each run of digits to one #, lower case, collapsed: equal for a header on every page."""
     return collapse(F.regexp_replace(F.lower(line), "[0-9]+", "#"))
@@ -94,6 +98,34 @@ def uppercase_like(text: Column) -> Column:
     return (letters > 0) & (upper >= 0.85 * letters) & (F.size(F.split(collapse(text), " ")) <= 12)
 
 
+def numbering_depth(text: Column) -> Column:
+    """Dotted parts of a leading number or capital before a title (3.2.1 Scope -> 3, A.1 Data -> 2); 0 without one."""
+    n = F.regexp_extract(text, NUMBERED, 1)
+    return F.when(n == "", 0).otherwise(F.size(F.split(n, "\\.")))
+
+
+def level_of_ratio(ratio: Column) -> Column:
+    """Heading level of a font size that is so many times the body's."""
+    return F.when(ratio >= 1.8, 1).when(ratio >= 1.4, 2).when(ratio >= 1.2, 3).otherwise(4)
+
+
+def is_header_row(cells: Column) -> Column:
+    """A table row with no empty cell and none over 60 characters, at least half of whose cells start in upper case.
+
+    Null cells count as empty; a row without cells is none.
+    """
+    trimmed = F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    whole = ~F.exists(trimmed, lambda c: (c == "") | (F.length(c) > 60))
+    titled = F.size(F.filter(trimmed, lambda c: c.rlike("^[\\p{Lu}\\p{Lt}]") | is_upper(c)))
+    return (F.size(cells) > 0) & whole & (titled >= F.greatest(F.lit(1), F.floor(F.size(cells) / 2)))
+
+
+def padded(grid: Column) -> Column:
+    """Rows of a grid (array of arrays of strings) filled up with empty cells to the longest."""
+    width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
+    return F.transform(grid, lambda row: F.concat(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), width - F.size(row))))
+
+
 def xml_safe(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "\x0b\x0c", "  "), "[\\x00-\\x08\\x0E-\\x1F\\x7F]", "")
 

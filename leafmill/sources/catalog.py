@@ -94,17 +94,30 @@ query(
 )(lambda t: export_catalog(t.runs, t.artifacts))
 
 
+#: The columns of the flat export, in order, and those of a finding that it takes from the citation.
+CSV_COLUMNS = "section dimension status severity confidence requirement_title doc_location evidence rationale suggested_fix citation_section citation_quote".split()
+
+
+def findings_flat(findings: DataFrame) -> DataFrame:
+    """The columns of the flat export: the citation's section and quote beside the finding's own; missing ones are null."""
+    have = set(findings.columns)
+    own = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    cited = lambda f: F.col(f"citation.{f}").cast("string") if "citation" in have else F.lit(None).cast("string")
+    special = {"section": F.coalesce(own("section"), own("section_no")), "citation_section": cited("guideline_section"), "citation_quote": cited("quote")}
+    return findings.select(*[special.get(c, own(c)).alias(c) for c in CSV_COLUMNS])
+
+
 def findings_csv(findings: DataFrame, path: str) -> None:
-    """The flat export of findings."""
-    findings.select("run_id", "finding_id", "section_no", "requirement_title", "dimension", "severity", "status", "confidence", "evidence").write.csv(path, header=True)
+    """Writes the flat export of findings, with a header; quotes and line breaks in texts survive."""
+    findings_flat(findings).write.csv(path, header=True, escape='"', quoteAll=True)
 
 
-@query("findings_csv_sink", "SELECT run_id, finding_id, section_no, status FROM findings", "findings")
+@query("findings_csv_sink", "SELECT section_no AS section, dimension, status, severity, confidence, requirement_title, NULL::VARCHAR AS doc_location, evidence, NULL::VARCHAR AS rationale, NULL::VARCHAR AS suggested_fix, section_no AS citation_section, evidence AS citation_quote FROM findings", "findings")
 def _findings_csv_sink(t):
     path = scratch(t.spark, "findings")
-    findings_csv(t.findings, path)
-    back = t.spark.read.csv(path, header=True, schema="run_id long, finding_id string, section_no string, requirement_title string, dimension string, severity string, status string, confidence double, evidence string")
-    return back.select("run_id", "finding_id", "section_no", "status")
+    findings_csv(t.findings.withColumn("citation", F.struct(F.col("section_no").alias("guideline_section"), F.col("evidence").alias("quote"))), path)
+    schema = ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in CSV_COLUMNS)
+    return t.spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True)
 
 
 def report_json(findings: DataFrame) -> DataFrame:

@@ -251,3 +251,33 @@ def test_short_quotes_count_as_grounded(spark):
     evidence = spark.createDataFrame([(1, "p. 5"), (2, "..."), (3, None), (4, "this sentence stands nowhere at all")], "evidence_id int, quote string")
     docs = spark.createDataFrame([(7, "some other text that is here"), (8, None)], "doc_id int, text string")
     assert [(r.evidence_id, r.doc_id) for r in evidence_grounding(evidence, docs).collect()] == [(1, None)]
+
+
+def test_heading_scores_by_hand(spark):
+    from leafmill.operators.joins import heading_score
+
+    schema = "doc_id int, page int, ord int, size double, bold boolean, text string"
+    rows = [(1, 1, 0, 10.0, False, "plain body text that most characters have"), (1, 1, 1, 16.0, True, "1.2 Scope"), (1, 1, 2, 11.5, False, "METHODS AND DATA"), (1, 1, 3, 10.0, True, " "), (1, 2, 4, 10.0, False, "Results"), (1, 2, 5, 10.0, False, None)]
+    spans = spark.createDataFrame(rows, schema)
+    outline = spark.createDataFrame([(1, 2, "Results  of the study")], "doc_id int, page int, title string")
+    assert {r.ord: r.score for r in heading_score(spans).collect()} == {0: 0.0, 1: 1.05, 2: 0.55, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert {r.ord: r.score for r in heading_score(spans, outline).collect()}[4] == 0.8
+    assert heading_score(spans.limit(0)).count() == 0
+
+
+def test_layout_functions_by_hand(spark):
+    from leafmill.functions import text as X
+
+    assert column_values(spark, ["3.2.1 Scope", "A.1 Data", "1. Aim", "7", "Scope", None], X.numbering_depth)[:5] == [3, 2, 1, 0, 0]
+    assert column_values(spark, ["1.8", "1.4", "1.2", "1.1"], lambda v: X.level_of_ratio(v.cast("double"))) == [1, 2, 3, 4]
+    rows = spark.createDataFrame([(0, ["Name", "Unit", "n"]), (1, ["Name", ""]), (2, ["a", "b"]), (3, ["A", None]), (4, []), (5, ["X" * 61])], "i int, c array<string>")
+    assert [r.h for r in rows.select("i", X.is_header_row(F.col("c")).alias("h")).orderBy("i").collect()] == [True, False, False, False, False, False]
+    grid = spark.createDataFrame([([["a"], ["b", None, "c"], []],), ([],)], "g array<array<string>>")
+    assert [r.p for r in grid.select(X.padded(F.col("g")).alias("p")).collect()] == [[["a", "", ""], ["b", "", "c"], ["", "", ""]], []]
+
+
+def test_flat_export_takes_the_citation(spark, tmp_path):
+    rows = spark.createDataFrame([("4", 'say "x",\nthen y', ("1.1", "q"))], "section_no string, evidence string, citation struct<guideline_section: string, quote: string>")
+    catalog.findings_csv(rows, str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out"), header=True, escape='"', multiLine=True).collect()
+    assert back[0].asDict() == {**dict.fromkeys(catalog.CSV_COLUMNS), "section": "4", "evidence": 'say "x",\nthen y', "citation_section": "1.1", "citation_quote": "q"}
