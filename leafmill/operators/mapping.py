@@ -352,7 +352,7 @@ query("glossary_head", "SELECT r_name AS profile_id, CAST(row_number() OVER (PAR
 
 # ------------------------------------------------------------------------------------------ retrieval and rules
 
-query("bm25_score", _BM25 + "SELECT query_id, doc_id, pos, score FROM s WHERE score > 0", "chunks")(lambda t: bm25(t.chunks, benchmark_queries(t), 1 << 30).drop("rank"))
+query("bm25_score", _BM25 + "SELECT query_id, doc_id, pos, score FROM s WHERE score > 0", "chunks")(lambda t: bm25(t.chunks, benchmark_queries(t), None))
 query("retrieval_cross", _BM25 + "SELECT query_id, count(*) AS n, max(score) AS best FROM top WHERE rank <= 20 AND score > 0 GROUP BY query_id", "chunks")(
     lambda t: bm25(t.chunks, benchmark_queries(t), 20).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 )

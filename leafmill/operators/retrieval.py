@@ -28,29 +28,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
+def term_counts(words: str) -> Column:
+    """A struct (term, tf) for each distinct term of the array column ``words``, counted within the row."""
+    return F.expr(f"transform(array_distinct({words}), x -> named_struct('term', x, 'tf', size({words}) - size(array_remove({words}, x))))")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 4, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(query_id, rank, doc_id, pos, score): for each query (query_id, text) its k best chunks of positive score.
 
-    Postings are cut to the terms that queries use before they are counted; scores come from an equi-join on the term, so
-    no query meets a chunk that shares none of its terms. Repeated query terms count repeatedly. A negative idf is
-    replaced by ``EPSILON`` times the mean idf of all terms.
+    Terms are counted within each chunk, so that document frequencies are plain counts, added up on the map side, and a
+    posting needs no aggregation. Scores come from an equi-join on the term, so no query meets a chunk that shares none
+    of its terms. Repeated query terms count repeatedly. A negative idf is replaced by ``EPSILON`` times the mean idf of
+    all terms. Ranks are taken within ``per``; without ``k`` all scores come back, unranked.
     """
     words = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("double"))
     stats = words.agg(F.count("*").cast("double").alias("n_chunks"), F.avg("n").alias("avgdl"))
-    each = words.select("doc_id", "pos", "n", F.explode("w").alias("term"))
-    frequency = each.groupBy("term").agg(F.count_distinct(F.struct("doc_id", "pos")).cast("double").alias("df"))
+    each = words.select("doc_id", "pos", "n", F.inline(term_counts("w")))
+    frequency = each.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighted = frequency.join(F.broadcast(stats), how="cross").withColumn("idf", idf)  # one row of totals
     mean = weighted.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = weighted.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean), how="cross")
     terms = terms.select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    postings = each.join(terms.select("term"), "term", "left_semi").groupBy("doc_id", "pos", "n", "term").agg(F.count("*").alias("tf"))
-    scored = postings.join(terms, "term").join(asked, "term")
+    scored = each.join(terms, "term").join(asked, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
-    total = scored.groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "pos")
-    return total.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("score") > 0)).select("query_id", "rank", "doc_id", "pos", "score")
+    total = scored.groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    if k is None:
+        return total
+    w = Window.partitionBy(*per).orderBy(F.desc("score"), "doc_id", "pos")
+    return total.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "pos", "score")
 
 
 _BM25 = """
@@ -129,7 +136,7 @@ query(
     "doc_frequency",
     ", e AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_-]+')) AS term FROM chunks) SELECT term, count(DISTINCT (doc_id, pos)) AS df, count(*) AS tf FROM e GROUP BY term",
     "chunks",
-)(lambda t: t.chunks.select("doc_id", "pos", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count_distinct("doc_id", "pos").alias("df"), F.count("*").alias("tf")))
+)(lambda t: t.chunks.select(tokens(F.col("text")).alias("w")).select(F.inline(term_counts("w"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -164,13 +171,19 @@ for _name, _k in (("vector_search", 5), ("vector_topk", 3)):
 
 @query(
     "retrieval_fallback",
-    _BM25 + ", v AS (SELECT item_id AS query_id, CAST(vec_id AS BIGINT) AS id FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 3 = 0) SELECT query_id, 'vector' AS via, id, NULL AS pos FROM v UNION ALL SELECT query_id, 'bm25', doc_id, pos FROM top WHERE rank <= 4 AND score > 0 AND query_id NOT IN (SELECT query_id FROM v)",
-    "chunks",
+    _BM25
+    + ", n AS (SELECT q.id AS query_id, h.id, round(list_dot_product(q.vector::DOUBLE[], h.vector::DOUBLE[]) / (sqrt(list_dot_product(q.vector::DOUBLE[], q.vector::DOUBLE[])) * sqrt(list_dot_product(h.vector::DOUBLE[], h.vector::DOUBLE[]))), 6) AS score "
+    "FROM hits q JOIN hits h USING (collection) WHERE q.id IN (SELECT item_id FROM benchmark) AND h.id NOT IN (SELECT item_id FROM benchmark)), "
+    "v AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM n QUALIFY rank <= 4), v4 AS (SELECT * FROM v WHERE score >= 0.25) "
+    "SELECT query_id, 'vector' AS via, id, NULL AS pos, rank FROM v4 UNION ALL SELECT query_id, 'bm25', doc_id, pos, rank FROM top WHERE rank <= 4 AND score > 0 AND query_id NOT IN (SELECT query_id FROM v4)",
+    "chunks hits",
 )
 def _retrieval_fallback(t):
-    """The SQL gives a vector to every third item, and its vector half is the nearest vector: the item's own."""
-    asked = t.hits.join(t.benchmark.filter("item_id % 3 = 0"), F.col("id") == F.col("item_id"), "left_semi").selectExpr("id AS query_id", "collection", "vector AS query")
-    return retrieval_fallback(t.hits, asked, t.chunks, benchmark_queries(t), k=1).select("query_id", "via", "id", "pos")
+    """Every item's vector is searched among the vectors that belong to no item; a hit is a cosine of 0.25 or more."""
+    items = t.benchmark.select(F.col("item_id").alias("id"))
+    asked = t.hits.join(items, "id", "left_semi").selectExpr("id AS query_id", "collection", "vector AS query")
+    found = retrieval_fallback(t.hits.join(items, "id", "left_anti"), asked, t.chunks, benchmark_queries(t), floor=0.25)
+    return found.select("query_id", "via", "id", "pos", "rank")
 
 
 def retrieval_fallback(vectors: DataFrame, asked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 4, floor: float = 0.5) -> DataFrame:
@@ -184,11 +197,30 @@ def retrieval_fallback(vectors: DataFrame, asked: DataFrame, chunks: DataFrame,
     return v.union(b.select("query_id", F.lit("bm25").alias("via"), F.col("doc_id").alias("id"), "pos", "rank", "score"))
 
 
-@query("audit_context", _BM25 + ", whole AS (SELECT doc_id, text FROM documents WHERE length(text) <= 3000) SELECT 'whole' AS kind, doc_id AS id, text AS context FROM whole UNION ALL SELECT 'chunks', query_id, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) FROM top JOIN chunks c USING (doc_id, pos) WHERE rank <= 10 AND score > 0 GROUP BY query_id", "chunks")
-def _audit_context(t):
-    """Short documents whole; for queries the best chunks."""
-    whole = t.documents.filter(F.length("text") <= 3000).select(F.lit("whole").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("context"))
-    return whole.union(_doc_chunk_topk(t).select(F.lit("chunks"), "query_id", "context"))
+#: A document of so many characters goes to an audit whole, a longer one as so many chunks a query.
+WHOLE_DOCUMENT, CONTEXT_CHUNKS = 30_000, 10
+
+
+def audit_context(docs: DataFrame, queries: DataFrame, whole: int = WHOLE_DOCUMENT, k: int = CONTEXT_CHUNKS) -> DataFrame:
+    """(doc_id, query_id, context): what an audit reads of each document.
+
+    A document of at most ``whole`` characters is read whole, once for all queries (query_id is null). Of a longer one each
+    query reads its k best chunks (900 characters, 120 shared with the next), best first, joined by blank lines; a query
+    that none of its chunks answers has no row. A null text has none either, an empty one is read as it is.
+    """
+    short = docs.filter(F.length("text") <= whole).select("doc_id", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("text").alias("context"))
+    pieces = chunk(docs.filter(F.length("text") > whole), 900, 120)
+    met = bm25(pieces, queries, k, per=("query_id", "doc_id")).join(pieces, ["doc_id", "pos"])
+    best = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
+    return short.union(met.groupBy("doc_id", "query_id").agg(F.array_join(best, "\n\n").alias("context")))
+
+
+_LONG = f", long_chunks AS (SELECT doc_id, i AS pos, substring(t, CAST(i * 780 + 1 AS INTEGER), 900) AS text FROM (SELECT doc_id, t, unnest(range(CAST((length(t) - 1) // 780 AS BIGINT) + 1)) AS i FROM (SELECT doc_id, trim(regexp_replace(text,'[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}]+',' ','g')) AS t FROM documents WHERE length(text) > {WHOLE_DOCUMENT}) WHERE length(t) > 0))"
+query(
+    "audit_context",
+    "WITH " + _LONG[2:] + _BM25.replace("FROM chunks)", "FROM long_chunks)").replace("PARTITION BY query_id ORDER", "PARTITION BY query_id, doc_id ORDER")
+    + f"SELECT doc_id, NULL AS query_id, text AS context FROM documents WHERE length(text) <= {WHOLE_DOCUMENT} UNION ALL SELECT doc_id, query_id, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) FROM top JOIN long_chunks c USING (doc_id, pos) WHERE rank <= {CONTEXT_CHUNKS} AND score > 0 GROUP BY doc_id, query_id",
+)(lambda t: audit_context(t.documents, benchmark_queries(t)))
 
 
 @query("corpus_index", "SELECT concat(doc_id, '#', pos) AS chunk_id, doc_id, length(text) AS n_chars FROM chunks", "chunks")

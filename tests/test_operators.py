@@ -281,3 +281,12 @@ def test_flat_export_takes_the_citation(spark, tmp_path):
     catalog.findings_csv(rows, str(tmp_path / "out"))
     back = spark.read.csv(str(tmp_path / "out"), header=True, escape='"', multiLine=True).collect()
     assert back[0].asDict() == {**dict.fromkeys(catalog.CSV_COLUMNS), "section": "4", "evidence": 'say "x",\nthen y', "citation_section": "1.1", "citation_quote": "q"}
+
+
+def test_an_audit_reads_short_documents_whole_and_long_ones_by_chunks(spark):
+    long = "alpha " * 200 + "beta " * 200 + "gamma " * 200
+    docs = spark.createDataFrame([(1, "alpha"), (2, long), (3, ""), (4, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "beta"), (8, "delta")], "query_id long, text string")
+    got = {(r.doc_id, r.query_id): r.context for r in retrieval.audit_context(docs, queries, whole=1000, k=1).collect()}
+    assert set(got) == {(1, None), (2, 7), (3, None)} and got[1, None] == "alpha" and got[3, None] == ""
+    assert got[2, 7] in long and len(got[2, 7]) == 900 and "beta" in got[2, 7]
