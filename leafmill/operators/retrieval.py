@@ -28,30 +28,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def term_counts(words: str) -> Column:
-    """A struct (term, tf) for each distinct term of the array column ``words``, counted within the row."""
-    return F.expr(f"transform(array_distinct({words}), x -> named_struct('term', x, 'tf', size({words}) - size(array_remove({words}, x))))")
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 4, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(query_id, rank, doc_id, pos, score): for each query (query_id, text) its k best chunks of positive score.
 
-    Terms are counted within each chunk, so that document frequencies are plain counts, added up on the map side, and a
-    posting needs no aggregation. Scores come from an equi-join on the term, so no query meets a chunk that shares none
-    of its terms. Repeated query terms count repeatedly. A negative idf is replaced by ``EPSILON`` times the mean idf of
-    all terms. Ranks are taken within ``per``; without ``k`` all scores come back, unranked.
+    Document frequencies are plain counts of each chunk's distinct terms, added up on the map side. Postings are cut to
+    the terms that queries use before they are counted; scores come from an equi-join on the term, so no query meets a
+    chunk that shares none of its terms. Repeated query terms count repeatedly. A negative idf is replaced by ``EPSILON``
+    times the mean idf of all terms. Ranks are taken within ``per``; without ``k`` all scores come back, unranked.
     """
     words = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("double"))
     stats = words.agg(F.count("*").cast("double").alias("n_chunks"), F.avg("n").alias("avgdl"))
-    each = words.select("doc_id", "pos", "n", F.inline(term_counts("w")))
-    frequency = each.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighted = frequency.join(F.broadcast(stats), how="cross").withColumn("idf", idf)  # one row of totals
     mean = weighted.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = weighted.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean), how="cross")
     terms = terms.select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    scored = each.join(terms, "term").join(asked, "term")
+    each = words.select("doc_id", "pos", "n", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = each.groupBy("doc_id", "pos", "n", "term").agg(F.count("*").alias("tf"))
+    scored = postings.join(terms, "term").join(asked, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
     total = scored.groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     if k is None:
@@ -136,7 +132,14 @@ query(
     "doc_frequency",
     ", e AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_-]+')) AS term FROM chunks) SELECT term, count(DISTINCT (doc_id, pos)) AS df, count(*) AS tf FROM e GROUP BY term",
     "chunks",
-)(lambda t: t.chunks.select(tokens(F.col("text")).alias("w")).select(F.inline(term_counts("w"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
+)(lambda t: document_frequency(t.chunks))
+
+
+def document_frequency(chunks: DataFrame) -> DataFrame:
+    """(term, df, tf): chunks that hold a term and its occurrences, by one aggregation; a first occurrence marks its chunk."""
+    each = chunks.select(tokens(F.col("text")).alias("w")).select("w", F.posexplode("w").alias("at", "term"))
+    return each.groupBy("term").agg(F.count_if(F.array_position("w", F.col("term")) == F.col("at") + 1).alias("df"), F.count("*").alias("tf"))
+
 
 
 def cosine(a: Column, b: Column) -> Column:
