@@ -186,11 +186,6 @@ def _latest_artifact(t):
 
 # ------------------------------------------------------------------------------------------ set operations
 
-query("present_sections", f"SELECT DISTINCT run_id, {_TOP} AS section FROM findings WHERE status IN ('compliant','partial') UNION SELECT run_id, '1' FROM runs", "findings runs")(
-    lambda t: t.findings.filter(F.col("status").isin("compliant", "partial")).select("run_id", top_section().alias("section")).union(t.runs.select("run_id", F.lit("1"))).distinct()
-)
-
-
 @query("findings_union", "SELECT source, count(*) AS n FROM (SELECT 'model' AS source FROM findings WHERE requirement_id IS NOT NULL UNION ALL SELECT 'rule' FROM findings WHERE requirement_id IS NULL) GROUP BY source", "findings")
 def _findings_union(t):
     model = t.findings.filter("requirement_id IS NOT NULL").withColumn("source", F.lit("model"))

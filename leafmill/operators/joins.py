@@ -174,20 +174,23 @@ query(
 )(lambda t: verdict_overturn(t.findings, t.findings.filter("status = 'non_compliant' AND severity = 'critical'").selectExpr("finding_id", "CASE ord % 3 WHEN 0 THEN 'compliant' WHEN 1 THEN 'partial' ELSE 'non_compliant' END AS second", "ord % 2 = 0 AS grounded")))
 
 
-@query(
-    "section_coverage_gap",
-    f", tops AS (SELECT DISTINCT split_part(section_no, '.', 1) AS section FROM requirements), seen AS (SELECT DISTINCT run_id, {_TOP} AS section FROM findings WHERE status IN ('compliant','partial')), r AS (SELECT run_id FROM runs WHERE flow = 'compliance') "
-    "SELECT run_id, section, 'major' AS severity, 0.85::DOUBLE AS confidence FROM r CROSS JOIN tops ANTI JOIN seen USING (run_id, section)",
-    "findings requirements runs",
-)
-def _section_coverage_gap(t):
-    """Top-level guideline sections of which a run has no finding that is at least partial."""
-    tops = t.requirements.select(F.split("section_no", "\\.")[0].alias("section")).distinct()  # the sections of guidelines: a few a guideline
-    r = t.runs.filter("flow = 'compliance'").select("run_id")
-    seen = t.findings.filter(F.col("status").isin("compliant", "partial")).select("run_id", top_section().alias("section")).distinct()
-    listed = tops.agg(F.collect_set("section").alias("all"))
-    wanted = r.join(F.broadcast(listed)).select("run_id", F.explode("all").alias("section"))
-    return wanted.join(seen, ["run_id", "section"], "left_anti").select("run_id", "section", F.lit("major").alias("severity"), F.lit(0.85).alias("confidence"))
+def present_sections(findings: DataFrame, alignment: DataFrame) -> DataFrame:
+    """(run_id, section): top-level sections of which a run has a finding that is at least partial, or an aligned heading.
+
+    ``findings`` hold run_id, status, section_no and ``alignment`` run_id, section_no; a blank section counts as '—'.
+    """
+    found = findings.filter(F.col("status").isin("compliant", "partial"))
+    return found.select("run_id", top_section().alias("section")).union(alignment.select("run_id", top_section().alias("section"))).distinct()
+
+
+def section_coverage_gap(runs: DataFrame, guideline: DataFrame, present: DataFrame) -> DataFrame:
+    """Top-level sections (numbers without a dot) of a run's guideline that are not ``present``, as major findings.
+
+    ``runs`` hold run_id and their guideline g, ``guideline`` (g, no, title); a null number is no section.
+    """
+    wanted = runs.join(guideline.filter(F.col("no").rlike("^[0-9]+$")).select("g", F.col("no").alias("section")).distinct(), "g")
+    gaps = wanted.join(present, ["run_id", "section"], "left_anti")
+    return gaps.select("run_id", "section", F.lit("major").alias("severity"), F.lit(0.85).alias("confidence"))
 
 
 #: (characters a fragment has at least, of a gram, grams in a window): grams + window - 1 is the first number.
@@ -274,36 +277,73 @@ query(
 )(lambda t: evidence_grounding(t.evidence, t.documents))
 
 
-def align_sections(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """For each left (id, title) the right (id, title) of its group g with the largest token overlap; first wins.
+def align_sections(guideline: DataFrame, headings: DataFrame, least: float = 0.5) -> DataFrame:
+    """(g, doc_id, no, id, score): for each document and section of its guideline the best heading of ``least`` or more.
 
-    Overlap is |A and B| / min(|A|, |B|); candidates come from an equi-join on group and token.
+    ``guideline`` is (g, no, title) with one row a number, ``headings`` (g, doc_id, id, heading). A heading that is the
+    number, or goes on after it with a blank or a dot, scores 1 (so section 9 meets 9.4); any other the overlap of tokens,
+    |A and B| / min(|A|, |B|). Of equal scores the smallest id wins; headings that share an id are scored one by one. Sections without a number and blank headings take
+    no part. Candidates come from equi-joins on the guideline and a number, or a token.
     """
-    a = left.select("g", F.col("id").alias("a"), audit_tokens(F.col("title")).alias("ta")).withColumn("na", F.size("ta"))
-    b = right.select("g", F.col("id").alias("b"), audit_tokens(F.col("title")).alias("tb")).withColumn("nb", F.size("tb"))
-    pairs = a.withColumn("tok", F.explode("ta")).join(b.withColumn("tok", F.explode("tb")), ["g", "tok"]).groupBy("g", "a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    scored = pairs.withColumn("score", F.round(F.col("n") / F.least("na", "nb"), 3)).filter(F.col("score") >= least)
-    return scored.groupBy("g", "a").agg(F.max_by(F.struct("b", "score"), F.struct("score", -F.col("b"))).alias("x")).select("g", "a", "x.b", "x.score")
+    g = guideline.filter(F.coalesce("no", F.lit("")) != "").select("g", "no", audit_tokens(F.coalesce("title", F.lit(""))).alias("ta")).withColumn("na", F.size("ta"))
+    d = headings.select("g", "doc_id", "id", F.trim("heading").alias("head")).filter("head <> ''").distinct()
+    longest = g.agg(F.coalesce(F.max(F.length("no")), F.lit(1)).alias("longest"))  # one row
+    ends = F.expr("filter(sequence(1, least(length(head), longest)), i -> substring(head, i + 1, 1) IN ('', ' ', '.'))")
+    begun = d.join(F.broadcast(longest)).select("g", "doc_id", "id", "head", F.explode(ends).alias("i")).select("g", "doc_id", "id", F.expr("substring(head, 1, i)").alias("no"))
+    numbered = begun.join(g.select("g", "no"), ["g", "no"]).select("g", "doc_id", "no", "id", F.lit(1.0).alias("score"))
+    words = d.select("g", "doc_id", "id", "head", audit_tokens(F.col("head")).alias("tb")).withColumn("nb", F.size("tb"))
+    met = words.withColumn("tok", F.explode("tb")).join(g.withColumn("tok", F.explode("ta")), ["g", "tok"])
+    overlap = met.groupBy("g", "doc_id", "no", "id", "head", "na", "nb").agg(F.count("*").alias("n")).select("g", "doc_id", "no", "id", (F.col("n") / F.least("na", "nb")).alias("score"))
+    best = numbered.union(overlap.filter(F.col("score") >= least)).groupBy("g", "doc_id", "no").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("x"))
+    return best.select("g", "doc_id", "no", "x.id", F.round("x.score", 3).alias("score"))
 
 
 _TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 3 OR regexp_full_match(x, '[0-9]+')))"
+_GUIDE = ", guide AS (SELECT code AS g, section_no AS no, min(title) AS title FROM requirements GROUP BY ALL UNION ALL SELECT code, split_part(section_no, '.', 1), min(title) FROM requirements GROUP BY ALL)"
+_ALIGN = (
+    _GUIDE + ", heads AS (SELECT concat('G', f.run_id % 4) AS g, f.run_id AS doc_id, f.ord AS id, trim(CASE WHEN f.ord % 2 = 0 THEN concat(coalesce(f.section_no, ''), ' ', q.title) ELSE q.title END) AS head FROM findings f JOIN runs r ON r.run_id = f.run_id AND r.flow = 'compliance' JOIN requirements q ON q.requirement_id = f.requirement_id), "
+    f"gt AS (SELECT *, {_TOKS.format('title')} AS ta FROM guide), ht AS (SELECT *, {_TOKS.format('head')} AS tb FROM heads), "
+    "pa AS (SELECT g, doc_id, no, id, CASE WHEN head = no OR starts_with(head, no || ' ') OR starts_with(head, no || '.') THEN 1 ELSE len(list_intersect(ta, tb)) / least(len(ta), len(tb)) END AS s FROM gt JOIN ht USING (g)), "
+    "al AS (SELECT g, doc_id, no, id, round(s, 3) AS score FROM pa WHERE s >= 0.5 QUALIFY row_number() OVER (PARTITION BY g, doc_id, no ORDER BY s DESC, id) = 1)"
+)
+
+
+def guideline_sections(t) -> DataFrame:
+    """Each guideline's sections and, by their first number, top-level sections."""
+    r = t.requirements.selectExpr("code AS g", "section_no AS no", "title")
+    return r.groupBy("g", "no").agg(F.min("title").alias("title")).union(r.groupBy("g", F.split("no", "\\.")[0]).agg(F.min("title")))
+
+
+def _compliance_runs(t) -> DataFrame:
+    return t.runs.filter("flow = 'compliance'").selectExpr("run_id", "concat('G', run_id % 4) AS g")
+
+
+def _alignment(t) -> DataFrame:
+    heads = t.findings.join(_compliance_runs(t), "run_id").join(t.requirements.select("requirement_id", "title"), "requirement_id")
+    return align_sections(guideline_sections(t), heads.selectExpr("g", "run_id AS doc_id", "ord AS id", "CASE WHEN ord % 2 = 0 THEN concat(coalesce(section_no, ''), ' ', title) ELSE title END AS heading"))
+
+
+def _present(t) -> DataFrame:
+    return present_sections(t.findings, _alignment(t).select(F.col("doc_id").alias("run_id"), F.col("no").alias("section_no")))
+
+
+_PRESENT = _ALIGN + f", pr AS (SELECT run_id, {_TOP} AS section FROM findings WHERE status IN ('compliant','partial') UNION SELECT doc_id, split_part(no, '.', 1) FROM al)"
+query("align_sections", _ALIGN + " SELECT * FROM al", "requirements findings runs")(_alignment)
+query("present_sections", _PRESENT + " SELECT * FROM pr", "requirements findings runs")(_present)
 query(
-    "align_sections",
-    f", a AS (SELECT section_no AS g, requirement_id AS a, {_TOKS.format('title')} AS ta FROM requirements WHERE requirement_id % 3 = 0), b AS (SELECT section_no AS g, requirement_id AS b, {_TOKS.format('title')} AS tb FROM requirements WHERE requirement_id % 3 <> 0), "
-    "p AS (SELECT g, a, b, round(len(list_intersect(ta, tb)) / least(len(ta), len(tb)), 3) AS score FROM a JOIN b USING (g)) SELECT * FROM p WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY g, a ORDER BY score DESC, b) = 1",
-    "requirements",
-)(lambda t: align_sections(t.requirements.filter("requirement_id % 3 = 0").selectExpr("section_no AS g", "requirement_id AS id", "title"), t.requirements.filter("requirement_id % 3 <> 0").selectExpr("section_no AS g", "requirement_id AS id", "title")))
+    "section_coverage_gap",
+    _PRESENT + " SELECT r.run_id, no AS section, 'major' AS severity, 0.85::DOUBLE AS confidence FROM runs r JOIN guide ON g = concat('G', r.run_id % 4) WHERE flow = 'compliance' AND regexp_full_match(no, '[0-9]+') AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.run_id = r.run_id AND pr.section = no)",
+    "requirements findings runs",
+)(lambda t: section_coverage_gap(_compliance_runs(t), guideline_sections(t), _present(t)))
 
 
 def det_findings(requirements: DataFrame, alignment: DataFrame) -> DataFrame:
-    """Findings of rules: page limits and cross-references, by the type of a requirement's constraint."""
+    """Findings of page limits, by the type of a requirement's constraint; without pages or a number not applicable."""
     kind, value = F.get_json_object("constraint_spec", "$.type"), F.get_json_object("constraint_spec", "$.value")
-    met = requirements.filter(kind.isin("max_pages", "min_pages", "cross_reference")).join(alignment, "section_no", "left")
+    met = requirements.filter(kind.isin("max_pages", "min_pages")).join(alignment, "section_no", "left")
     n = value.try_cast("int")
     status = (
-        F.when((kind == "cross_reference") & (F.coalesce(value, F.lit("")) == ""), "non_compliant")
-        .when(kind == "cross_reference", "compliant")
-        .when(F.col("pages").isNull(), "not_applicable")
+        F.when(F.col("pages").isNull() | n.isNull(), "not_applicable")
         .when((kind == "max_pages") & (F.col("pages") > n), "non_compliant")
         .when((kind == "min_pages") & (F.col("pages") < n), "partial")
         .otherwise("compliant")
@@ -314,7 +354,7 @@ def det_findings(requirements: DataFrame, alignment: DataFrame) -> DataFrame:
 query(
     "det_page_limits",
     ", al AS (SELECT section_no, CAST(count(*) % 5 AS INTEGER) AS pages FROM findings WHERE section_no IS NOT NULL GROUP BY section_no HAVING count(*) % 7 <> 0), k AS (SELECT *, json_extract_string(constraint_spec, '$.type') AS kind, json_extract_string(constraint_spec, '$.value') AS v FROM requirements) "
-    "SELECT requirement_id, kind AS constraint_type, CASE WHEN kind = 'cross_reference' AND coalesce(v, '') = '' THEN 'non_compliant' WHEN kind = 'cross_reference' THEN 'compliant' WHEN pages IS NULL THEN 'not_applicable' WHEN kind = 'max_pages' AND pages > TRY_CAST(v AS INTEGER) THEN 'non_compliant' WHEN kind = 'min_pages' AND pages < TRY_CAST(v AS INTEGER) THEN 'partial' ELSE 'compliant' END AS status, 0.95::DOUBLE AS confidence FROM k LEFT JOIN al USING (section_no) WHERE kind IN ('max_pages','min_pages','cross_reference')",
+    "SELECT requirement_id, kind AS constraint_type, CASE WHEN pages IS NULL OR TRY_CAST(v AS INTEGER) IS NULL THEN 'not_applicable' WHEN kind = 'max_pages' AND pages > TRY_CAST(v AS INTEGER) THEN 'non_compliant' WHEN kind = 'min_pages' AND pages < TRY_CAST(v AS INTEGER) THEN 'partial' ELSE 'compliant' END AS status, 0.95::DOUBLE AS confidence FROM k LEFT JOIN al USING (section_no) WHERE kind IN ('max_pages','min_pages')",
     "requirements findings",
 )(lambda t: det_findings(t.requirements, t.findings.filter("section_no IS NOT NULL").groupBy("section_no").agg(F.count("*").alias("n")).filter("n % 7 <> 0").select("section_no", (F.col("n") % 5).cast("int").alias("pages"))))
 query("run_detail", "SELECT r.run_id, r.flow, r.status, count(DISTINCT finding_id) AS n_findings, coalesce((SELECT string_agg(kind, ',' ORDER BY artifact_id) FROM artifacts a WHERE a.run_id = r.run_id), '') AS artifacts FROM runs r LEFT JOIN findings f ON f.run_id = r.run_id GROUP BY r.run_id, r.flow, r.status", "runs findings artifacts")(
@@ -405,9 +445,35 @@ query("style_profile", ", w AS (SELECT doc_id, font, sum(length(text) * CASE WHE
 query("style_dedup_registry", ", k AS (SELECT doc_id, concat_ws('|', font, CAST(CAST(size AS INTEGER) AS VARCHAR), CAST(bold AS VARCHAR)) AS key, min(ord) AS first FROM spans GROUP BY ALL) SELECT doc_id, key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, key) AS INTEGER) AS style FROM k", "spans")(
     lambda t: t.spans.groupBy("doc_id", F.concat_ws("|", "font", F.col("size").cast("int").cast("string"), F.col("bold").cast("string")).alias("key")).agg(F.min("ord").alias("first")).select("doc_id", "key", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "key")).alias("style"))
 )
-query("style_ref_remap", ", styles AS (SELECT DISTINCT font FROM spans WHERE font <> 'Georgia') SELECT s.doc_id, s.ord, coalesce(st.font, 'Arial') AS font FROM spans s LEFT JOIN styles st USING (font)", "spans")(
-    lambda t: t.spans.join(t.spans.filter("font <> 'Georgia'").select("font", F.col("font").alias("have")).distinct(), "font", "left").select("doc_id", "ord", F.coalesce("have", F.lit("Arial")).alias("font"))
-)
+def style_ref_remap(elements: DataFrame, styles: DataFrame) -> DataFrame:
+    """(doc_id, ord, style): each element's style in a target's styles.
+
+    ``elements`` are (doc_id, ord, heading, ref), ``styles`` (doc_id, n, style) in the order n, equal ones by name. A reference that the target
+    has stays; else a heading takes the first style named like a heading and others the first that is not, or the
+    target's first style where it has none of that kind; null without any style.
+    """
+    first = lambda cond: F.min_by("style", F.when(cond, F.struct("n", "style")))
+    head = F.lower("style").contains("head")
+    firsts = styles.groupBy("doc_id").agg(first(head).alias("h"), first(~head).alias("b"), first(F.lit(True)).alias("any"))
+    have = styles.select("doc_id", F.col("style").alias("ref"), F.lit(True).alias("has")).distinct()
+    met = elements.join(have, ["doc_id", "ref"], "left").join(firsts, "doc_id", "left")
+    other = F.coalesce(F.when(F.col("heading"), F.col("h")).otherwise(F.col("b")), F.col("any"))
+    return met.select("doc_id", "ord", F.when(F.col("has"), F.col("ref")).otherwise(other).alias("style"))
+
+
+query(
+    "style_ref_remap",
+    ", e AS (SELECT doc_id, ord, page, bold, CASE WHEN bold THEN 'Heading ' || font ELSE font END AS ref FROM spans), st AS (SELECT doc_id, ref AS style, min(ord) AS n FROM e WHERE page = 1 GROUP BY ALL), "
+    "f AS (SELECT doc_id, arg_min(style, (n, style)) FILTER (contains(lower(style), 'head')) AS h, arg_min(style, (n, style)) FILTER (NOT contains(lower(style), 'head')) AS b, arg_min(style, (n, style)) AS a FROM st GROUP BY doc_id) "
+    "SELECT e.doc_id, e.ord, CASE WHEN st.style IS NOT NULL THEN e.ref WHEN bold THEN coalesce(h, a) ELSE coalesce(b, a) END AS style FROM e LEFT JOIN st ON st.doc_id = e.doc_id AND st.style = e.ref LEFT JOIN f ON f.doc_id = e.doc_id",
+    "spans",
+)(lambda t: _restyled(t))
+
+
+def _restyled(t) -> DataFrame:
+    """Spans against the styles of their document's first page."""
+    e = t.spans.selectExpr("doc_id", "ord", "page", "bold AS heading", "CASE WHEN bold THEN concat('Heading ', font) ELSE font END AS ref")
+    return style_ref_remap(e, e.filter("page = 1").groupBy("doc_id", F.col("ref").alias("style")).agg(F.min("ord").alias("n")))
 
 
 def heading_score(spans: DataFrame, outline: DataFrame | None = None) -> DataFrame:

@@ -359,10 +359,20 @@ query("retrieval_cross", _BM25 + "SELECT query_id, count(*) AS n, max(score) AS
 query("guideline_search", _BM25 + "SELECT query_id, rank, 'section ' || pos AS citation, left(c.text, 600) AS text FROM top JOIN chunks c USING (doc_id, pos) WHERE rank <= 5 AND score > 0", "chunks")(
     lambda t: bm25(t.chunks, benchmark_queries(t), 5).join(t.chunks, ["doc_id", "pos"]).select("query_id", "rank", F.concat(F.lit("section "), "pos").alias("citation"), F.substring("text", 1, 600).alias("text"))
 )
-query("legacy_result_score", ", f AS (SELECT DISTINCT l_orderkey % 50 + 1 AS template_id, l_partkey % 25 AS ord FROM lineitem WHERE l_linenumber = 1) SELECT s.template_id, round(CAST(count(f.ord) AS DOUBLE) / count(*), 3) AS score FROM slots s LEFT JOIN f ON f.template_id = s.template_id AND f.ord = s.ord WHERE required GROUP BY s.template_id", "slots")(
-    lambda t: t.slots.filter("required").join(t.lineitem.filter("l_linenumber = 1").selectExpr("l_orderkey % 50 + 1 AS template_id", "l_partkey % 25 AS ord", "1 AS has").distinct(), ["template_id", "ord"], "left")
-    .groupBy("template_id").agg(F.round(F.count("has") / F.count("*"), 3).alias("score"))
-)
+def legacy_result(runs: DataFrame, flags: DataFrame) -> DataFrame:
+    """(run_id, overall, critical, major, minor, info) of runs that only have flags and a coverage.
+
+    ``runs`` are (run_id, score, required_total, missing), ``flags`` (run_id, kind). The stored score counts; without one
+    it is the share of required slots that are not missing, 0 where none is required. A kind gives a severity: missing
+    critical, guidance info, all others minor.
+    """
+    severity = F.when(F.col("kind") == "missing", "critical").when(F.col("kind") == "guidance", "info").otherwise("minor")
+    counts = flags.select("run_id", severity.alias("s")).groupBy("run_id").agg(*[F.count_if(F.col("s") == x).alias(x) for x in ("critical", "major", "minor", "info")])
+    share = F.when(F.col("required_total") > 0, (F.col("required_total") - F.coalesce("missing", F.lit(0))) / F.col("required_total"))
+    none = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("critical", "major", "minor", "info")]
+    return runs.join(counts, "run_id", "left").select("run_id", F.round(F.coalesce(F.col("score").cast("double"), share, F.lit(0.0)), 6).alias("overall"), *none)
+
+
 query("style_source_classify", "SELECT page_id, len(list_distinct(regexp_extract_all(lower(html), '#[0-9a-f]{6}'))) AS colours, len(regexp_extract_all(lower(html), '[0-9]+ ?pt\\b')) AS points, contains(html, 'font') OR contains(html, 'margin') AS styled, CASE WHEN len(regexp_extract_all(lower(html), '[0-9]+ ?pt\\b')) >= 3 THEN 'guideline' ELSE 'example' END AS decision FROM pages")(
     lambda t: t.pages.select("page_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("#[0-9a-f]{6}"), F.lit(0)))).cast("long").alias("colours"), F.size(F.regexp_extract_all(F.lower("html"), F.lit("[0-9]+ ?pt\\b"), F.lit(0))).cast("long").alias("points"), (F.col("html").contains("font") | F.col("html").contains("margin")).alias("styled"))
     .withColumn("decision", F.when(F.col("points") >= 3, "guideline").otherwise("example"))
@@ -370,9 +380,30 @@ query("style_source_classify", "SELECT page_id, len(list_distinct(regexp_extract
 query("style_rule_extract", ", r AS (SELECT page_id, unnest(regexp_extract_all(html, '([a-z-]+):[^;{}]*', 1)) AS prop FROM pages) SELECT prop, count(DISTINCT page_id) AS pages, count(*) AS uses FROM r WHERE prop IN ('margin', 'padding', 'color', 'font', 'width', 'https', 'http') GROUP BY prop".replace(", r AS", "WITH r AS", 1))(
     lambda t: t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("([a-z-]+):[^;{}]*"), F.lit(1))).alias("prop")).filter(F.col("prop").isin("margin", "padding", "color", "font", "width", "https", "http")).groupBy("prop").agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("uses"))
 )
-query("det_cross_reference", ", k AS (SELECT *, json_extract_string(constraint_spec, '$.type') AS kind, json_extract_string(constraint_spec, '$.value') AS v FROM requirements) SELECT requirement_id, CASE WHEN coalesce(v, '') = '' THEN 'non_compliant' ELSE 'compliant' END AS status, 0.95::DOUBLE AS confidence FROM k WHERE kind = 'cross_reference'", "requirements")(
-    lambda t: t.requirements.filter(F.get_json_object("constraint_spec", "$.type") == "cross_reference").select("requirement_id", F.when(F.coalesce(F.get_json_object("constraint_spec", "$.value"), F.lit("")) == "", "non_compliant").otherwise("compliant").alias("status"), F.lit(0.95).alias("confidence"))
-)
+def det_cross_reference(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, target, status, confidence): whether a document's text names what its guideline wants referenced.
+
+    ``docs`` are (doc_id, g, text), ``targets`` (g, target), a few a guideline. An empty or null target is never met.
+    """
+    met = docs.join(targets.distinct(), "g")
+    named = F.coalesce((F.col("target") != "") & F.col("text").contains(F.col("target")), F.lit(False))
+    return met.select("doc_id", "target", F.when(named, "compliant").otherwise("non_compliant").alias("status"), F.lit(0.95).alias("confidence"))
+
+
+query(
+    "det_cross_reference",
+    ", k AS (SELECT DISTINCT code AS g, unnest([json_extract_string(constraint_spec, '$.value'), split_part(title, ' ', 2)]) AS target FROM requirements WHERE json_extract_string(constraint_spec, '$.type') = 'cross_reference') SELECT doc_id, target, CASE WHEN target <> '' AND contains(coalesce(text, ''), target) THEN 'compliant' ELSE 'non_compliant' END AS status, 0.95::DOUBLE AS confidence FROM documents JOIN k ON g = concat('G', doc_id % 4)",
+    "requirements",
+)(lambda t: _cross_references(t))
+
+
+def _cross_references(t) -> DataFrame:
+    """The values of the constraints and the last words of their titles, against every document."""
+    r = t.requirements.filter(F.get_json_object("constraint_spec", "$.type") == "cross_reference")
+    targets = r.select(F.col("code").alias("g"), F.explode(F.array(F.get_json_object("constraint_spec", "$.value"), F.split_part("title", F.lit(" "), F.lit(2)))).alias("target"))
+    return det_cross_reference(t.documents.selectExpr("doc_id", "concat('G', doc_id % 4) AS g", "text"), targets)
+
+
 def det_abbreviations(docs: DataFrame) -> DataFrame:
     """doc_id, status, confidence of the rule on abbreviations, a row a document: it is met where the text names them."""
     named = F.coalesce(F.col("text"), F.lit("")).rlike("(?i)abbreviation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -138,9 +138,19 @@ def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 query("version_diff")(lambda t: version_diff(t.doc_versions.filter("version = 1"), t.doc_versions.filter("version = 2")))
-query("changed_sections", "SELECT o.doc_id, count(*) AS n FROM doc_versions o JOIN doc_versions n ON o.doc_id = n.doc_id AND o.pos = n.pos AND o.version = 1 AND n.version = 2 WHERE o.line <> n.line GROUP BY o.doc_id", "doc_versions")(
-    lambda t: t.doc_versions.filter("version = 1").select("doc_id", "pos", F.col("line").alias("a")).join(t.doc_versions.filter("version = 2").select("doc_id", "pos", F.col("line").alias("b")), ["doc_id", "pos"]).filter("a <> b").groupBy("doc_id").agg(F.count("*").alias("n"))
-)
+query(
+    "changed_sections",
+    ", c AS (SELECT doc_id, line, count(*) FILTER (version = 1) AS o, count(*) FILTER (version = 2) AS n FROM doc_versions GROUP BY doc_id, line) SELECT doc_id, CAST(sum(greatest(o - n, 0)) AS BIGINT) AS n_removed, CAST(sum(greatest(n - o, 0)) AS BIGINT) AS n_added FROM c WHERE o <> n GROUP BY doc_id",
+    "doc_versions",
+)(lambda t: changed_sections(t.doc_versions))
+
+
+def changed_sections(versions: DataFrame) -> DataFrame:
+    """(doc_id, n_removed, n_added) of documents whose lines differ: lines of version 1 or 2 alone, repeats counted."""
+    c = versions.groupBy("doc_id", "line").agg(F.count_if(F.col("version") == 1).alias("o"), F.count_if(F.col("version") == 2).alias("n")).filter("o <> n")
+    return c.groupBy("doc_id").agg(F.sum(F.expr("greatest(o - n, 0)")).alias("n_removed"), F.sum(F.expr("greatest(n - o, 0)")).alias("n_added"))
+
+
 query("base_version_pick", "SELECT project_id, arg_max(run_id, created_at * 0 + run_id) AS base, count(*) + 1 AS target FROM (SELECT project_id, run_id, 0 AS created_at FROM runs) GROUP BY project_id", "runs")(
     lambda t: t.runs.groupBy("project_id").agg(F.max("run_id").alias("base"), (F.count("*") + 1).alias("target"))
 )
@@ -155,16 +165,69 @@ query("audit_digest", "SELECT run_id, left(string_agg(finding_id || ' ' || statu
     )
 )
 query("rag_gap_count", "SELECT template_id, count(*) FILTER (ord % 4 = 2) AS n_rag FROM slots GROUP BY template_id", "slots")(lambda t: t.slots.groupBy("template_id").agg(F.count_if(F.col("ord") % 4 == 2).alias("n_rag")))
-query("slot_flags", ", b AS (SELECT template_id, ord, required, coalesce(line, '') AS body FROM slots s LEFT JOIN lines l ON l.doc_id = s.template_id AND l.pos = s.ord) SELECT template_id, ord, unnest(list_filter([CASE WHEN required AND trim(body) = '' THEN 'empty' END, CASE WHEN contains(body, '[TODO]') THEN 'todo' END, CASE WHEN trim(body) <> '' AND length(body) < 60 THEN 'short' END], lambda x: x IS NOT NULL)) AS flag FROM b", "slots lines")(
-    lambda t: slot_flags(t.slots.join(t.lines.selectExpr("doc_id AS template_id", "pos AS ord", "line"), ["template_id", "ord"], "left").withColumn("body", F.coalesce("line", F.lit(""))))
+def slot_flags(slots: DataFrame, rules: Sequence[str] = ()) -> DataFrame:
+    """(template_id, ord, kind, note): what is wrong with a slot's body, a row a note.
+
+    ``slots`` hold template_id, ord, title, required, keywords (an array) and body. A required slot is empty, or a body is
+    a placeholder, or shorter than 60 characters; none of the expected keywords occurs in it; or one of the first ten
+    ``rules`` of the form 'must include: X' is broken, by an empty body too. A note's kind is missing, length or format.
+    A null body counts as empty, null keywords as none.
+    """
+    body, title, low = F.trim(F.coalesce("body", F.lit(""))), F.col("title"), F.lower(F.trim(F.coalesce("body", F.lit(""))))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    state = (
+        F.when(F.col("required") & (body == ""), said("Required section '", title, "' is empty."))
+        .when(low.startswith("[todo"), said("Section '", title, "' is a TODO placeholder."))
+        .when((body != "") & (F.length(body) < 60), said("Section '", title, "' is suspiciously short (", F.length(body).cast("string"), " chars)."))
+    )
+    silent = (F.size("keywords") > 0) & (body != "") & ~F.exists("keywords", lambda k: low.contains(F.lower(k)))
+    notes = [state, F.when(silent, said("Section '", title, "' does not mention any expected keyword."))]
+    for rule in rules[:10]:
+        needle = rule.split(":", 1)[1].strip().lower() if rule.lower().startswith("must include:") else ""
+        if needle:
+            notes.append(F.when(~low.contains(needle), F.lit(f"Format rule violated: {rule}")))
+    each = slots.select("template_id", "ord", F.explode(F.array_compact(F.array(*notes))).alias("note"))
+    kind = F.when(F.lower("note").rlike("empty|missing"), "missing").when(F.lower("note").rlike("short|length"), "length").otherwise("format")
+    return each.select("template_id", "ord", kind.alias("kind"), "note")
+
+
+_FLAGS = (
+    ", b AS (SELECT template_id, ord, title, required, trim(coalesce(CASE WHEN ord = 7 THEN '[TODO] ' || line ELSE line END, '')) AS body, CASE WHEN ord % 2 = 0 THEN [lower(title), 'The'] ELSE [] END AS kw FROM slots s LEFT JOIN lines l ON l.doc_id = s.template_id AND l.pos = s.ord), "
+    "nt AS (SELECT template_id, ord, CASE WHEN required AND body = '' THEN 'Required section ''' || title || ''' is empty.' WHEN starts_with(lower(body), '[todo') THEN 'Section ''' || title || ''' is a TODO placeholder.' WHEN body <> '' AND length(body) < 60 THEN 'Section ''' || title || ''' is suspiciously short (' || length(body) || ' chars).' END AS note FROM b "
+    "UNION ALL SELECT template_id, ord, 'Section ''' || title || ''' does not mention any expected keyword.' FROM b WHERE len(kw) > 0 AND body <> '' AND len(list_filter(kw, lambda k: contains(lower(body), lower(k)))) = 0 "
+    "UNION ALL SELECT template_id, ord, 'Format rule violated: Must include: of' FROM b WHERE NOT contains(lower(body), 'of')), "
+    "fl AS (SELECT template_id, ord, CASE WHEN regexp_matches(lower(note), 'empty|missing') THEN 'missing' WHEN regexp_matches(lower(note), 'short|length') THEN 'length' ELSE 'format' END AS kind, note FROM nt WHERE note IS NOT NULL)"
 )
 
 
-def slot_flags(slots: DataFrame) -> DataFrame:
-    """A row for each thing wrong with a slot's body."""
-    body = F.col("body")
-    flags = F.array(F.when(F.col("required") & (F.trim(body) == ""), "empty"), F.when(body.contains("[TODO]"), "todo"), F.when((F.trim(body) != "") & (F.length(body) < 60), "short"))
-    return slots.select("template_id", "ord", F.explode(F.array_compact(flags)).alias("flag"))
+def _filled(t) -> DataFrame:
+    """Slots with a line of the document of their template's number as body; every other slot expects keywords."""
+    met = t.slots.join(t.lines.selectExpr("doc_id AS template_id", "pos AS ord", "line"), ["template_id", "ord"], "left")
+    return met.selectExpr("template_id", "ord", "title", "required", "CASE WHEN ord = 7 THEN concat('[TODO] ', line) ELSE line END AS body", "CASE WHEN ord % 2 = 0 THEN array(lower(title), 'The') ELSE array() END AS keywords")
+
+
+def _flags(t) -> DataFrame:
+    return slot_flags(_filled(t), ["Must include: of", "Use short words"])
+
+
+query("slot_flags", _FLAGS + " SELECT * FROM fl", "slots lines")(_flags)
+query(
+    "legacy_result_score",
+    _FLAGS + ", r AS (SELECT template_id AS run_id, CASE WHEN template_id % 5 = 0 THEN 0.25 END AS score, count(*) FILTER (required) AS required_total, count(*) FILTER (required AND body = '') AS missing FROM b GROUP BY template_id), "
+    "c AS (SELECT template_id AS run_id, count(*) FILTER (kind = 'missing') AS critical, count(*) FILTER (kind IN ('length', 'format')) AS minor FROM fl GROUP BY template_id) "
+    "SELECT run_id, round(coalesce(CAST(score AS DOUBLE), (required_total - missing) / required_total, 0), 6) AS overall, coalesce(critical, 0) AS critical, 0 AS major, coalesce(minor, 0) AS minor, 0 AS info FROM r LEFT JOIN c USING (run_id)",
+    "slots lines",
+)(lambda t: _legacy(t))
+
+
+def _legacy(t) -> DataFrame:
+    """Templates as runs with flags; every fifth has a stored score."""
+    from leafmill.operators.mapping import legacy_result
+
+    empty = F.trim(F.coalesce("body", F.lit(""))) == ""
+    runs = _filled(t).groupBy(F.col("template_id").alias("run_id")).agg(F.count_if("required").alias("required_total"), F.count_if(F.col("required") & empty).alias("missing"))
+    runs = runs.withColumn("score", F.when(F.col("run_id") % 5 == 0, F.lit(0.25)))
+    return legacy_result(runs, _flags(t).select(F.col("template_id").alias("run_id"), "kind"))
 
 
 query("requirement_extract", "SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^[-*] ') THEN 'bullet' ELSE 'modal' END AS kind, left(line, 200) AS title FROM marked_lines WHERE (regexp_matches(line, '^[-*] ') AND length(line) BETWEEN 6 AND 240) OR regexp_matches(line, '(?i)\\b(must|shall|should)\\b')", "marked_lines")(
@@ -173,9 +236,33 @@ query("requirement_extract", "SELECT doc_id, pos, CASE WHEN regexp_matches(line,
 query("suggestion_clean", "SELECT conv_id, turn, left(content, 80) AS title, left(content, 280) AS detail FROM history WHERE trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3", "history")(
     lambda t: t.history.filter(F.trim("content") != "").withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("_n <= 3").select("conv_id", "turn", F.substring("content", 1, 80).alias("title"), F.substring("content", 1, 280).alias("detail"))
 )
-query("best_section", ", h AS (SELECT doc_id, pos, len(list_filter(['the', 'of', 'and'], lambda k: contains(lower(line), k))) AS hits FROM lines) SELECT doc_id, arg_max(pos, (hits, -pos)) AS pos, max(hits) AS hits FROM h GROUP BY doc_id", "lines")(
-    lambda t: t.lines.select("doc_id", "pos", F.size(F.filter(F.array(F.lit("the"), F.lit("of"), F.lit("and")), lambda k: F.lower("line").contains(k))).cast("long").alias("hits")).groupBy("doc_id").agg(F.max_by("pos", F.struct("hits", -F.col("pos"))).alias("pos"), F.max("hits").alias("hits"))
-)
+def best_section(sections: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, pos, hits): the section (doc_id, pos, text) with the most of a question's words; the first wins, even with 0.
+
+    ``asked`` is (doc_id, query), a question a document. Words are runs of a-z and digits; a question's have three
+    characters at least. Null texts and questions have no words.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    wanted = asked.select("doc_id", F.filter(words("query"), lambda x: F.length(x) >= 3).alias("q"))
+    met = sections.join(wanted, "doc_id").select("doc_id", "pos", F.size(F.array_intersect(words("text"), "q")).cast("long").alias("hits"))
+    return met.groupBy("doc_id").agg(F.max_by("pos", F.struct("hits", -F.col("pos"))).alias("pos"), F.max("hits").alias("hits"))
+
+
+query(
+    "best_section",
+    ", m AS (SELECT count(*) AS n FROM benchmark), q AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')), lambda x: length(x) >= 3) AS q FROM documents d, m JOIN benchmark b ON b.item_id = d.doc_id % n), "
+    "h AS (SELECT doc_id, pos, len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')), q)) AS hits FROM lines JOIN q USING (doc_id)) SELECT doc_id, arg_max(pos, (hits, -pos)) AS pos, max(hits) AS hits FROM h GROUP BY doc_id",
+    "lines",
+)(lambda t: _best_sections(t))
+
+
+def _best_sections(t) -> DataFrame:
+    """Lines as sections; each document is asked the item of its number modulo the number of items."""
+    n = t.benchmark.agg(F.count("*").alias("n"))  # one row
+    items = t.documents.select("doc_id").join(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"))
+    return best_section(t.lines.withColumnRenamed("line", "text"), items.join(t.benchmark.select("item_id", F.col("text").alias("query")), "item_id"))
+
+
 query("compliance_summary_table", ", s AS (SELECT run_id, dimension, count(*) AS total, count(*) FILTER (status IN ('partial','non_compliant')) AS issues FROM findings GROUP BY ALL) SELECT run_id, dimension, total, issues, CASE WHEN issues = 0 THEN 'ok' WHEN issues < total THEN 'partial' ELSE 'open' END AS state FROM s", "findings")(
     lambda t: t.findings.groupBy("run_id", "dimension").agg(F.count("*").alias("total"), F.count_if(is_issue()).alias("issues")).withColumn("state", F.when(F.col("issues") == 0, "ok").when(F.col("issues") < F.col("total"), "partial").otherwise("open"))
 )

@@ -196,9 +196,32 @@ def publish(guidelines: DataFrame, changes) -> DataFrame:
     return guidelines.select("code", F.when(F.coalesce(known, F.lit(False)), new).otherwise(F.col("status")).alias("status"), F.coalesce(new.isNotNull() & ~known, F.lit(False)).alias("rejected"))
 
 
-query("cascade_delete", ", dead AS (SELECT project_id FROM projects WHERE project_id % 10 = 0) SELECT project_id, count(*) AS n_runs FROM runs WHERE project_id NOT IN (SELECT project_id FROM dead) GROUP BY project_id", "projects runs")(
-    lambda t: t.runs.join(t.projects.filter("project_id % 10 = 0").select("project_id"), "project_id", "left_anti").groupBy("project_id").agg(F.count("*").alias("n_runs"))
-)
+def cascade_delete(dead: DataFrame, runs: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What stays of ``runs`` and its ``children`` (tables with a run_id) when the projects ``dead`` go, by anti-joins.
+
+    Rows of a null project or run, and children of a run that is in no table, stay.
+    """
+    gone = runs.join(dead.select("project_id").distinct(), "project_id", "left_semi").select("run_id").distinct()
+    kept = {name: df.join(gone, "run_id", "left_anti") for name, df in children.items()}
+    return {"runs": runs.join(dead.select("project_id").distinct(), "project_id", "left_anti"), **kept}
+
+
+query(
+    "cascade_delete",
+    ", gone AS (SELECT run_id FROM runs JOIN projects USING (project_id) WHERE project_id % 10 = 0), k AS (SELECT 'runs' AS child, run_id FROM runs UNION ALL SELECT 'findings', run_id FROM findings UNION ALL SELECT 'artifacts', run_id FROM artifacts) SELECT child, run_id, count(*) AS n FROM k WHERE run_id NOT IN (SELECT run_id FROM gone) GROUP BY ALL",
+    "projects runs findings artifacts",
+)(lambda t: _after_delete(t))
+
+
+def _after_delete(t) -> DataFrame:
+    """Rows that stay of each table, by run, when every tenth project goes."""
+    kept = cascade_delete(t.projects.filter("project_id % 10 = 0"), t.runs, {"findings": t.findings, "artifacts": t.artifacts})
+    one, *others = [df.select(F.lit(name).alias("child"), "run_id") for name, df in kept.items()]
+    for other in others:
+        one = one.union(other)
+    return one.groupBy("child", "run_id").agg(F.count("*").alias("n"))
+
+
 query("version_append", ", v AS (SELECT project_id, count(*) AS version FROM runs WHERE status = 'done' GROUP BY project_id) SELECT r.run_id, project_id, coalesce(version, 0) + row_number() OVER (PARTITION BY project_id ORDER BY r.run_id) AS version FROM runs r LEFT JOIN v USING (project_id) WHERE status = 'running'", "runs")(
     lambda t: t.runs.filter("status = 'running'").join(t.runs.filter("status = 'done'").groupBy("project_id").agg(F.count("*").alias("v")), "project_id", "left").select("run_id", "project_id", (F.coalesce("v", F.lit(0)) + F.row_number().over(Window.partitionBy("project_id").orderBy("run_id"))).alias("version"))
 )

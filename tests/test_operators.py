@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
-from leafmill.operators import joins, retrieval, scoring, structure
+from leafmill.operators import joins, profiles, retrieval, scoring, structure
 from leafmill.sources import catalog
 
 
@@ -56,9 +56,14 @@ def test_bm25_by_hand(spark):
 
 
 def test_alignment_takes_the_first_best(spark):
-    a = spark.createDataFrame([("g", 1, "study title")], "g string, id long, title string")
-    b = spark.createDataFrame([("g", 5, "title page study name"), ("g", 4, "title study"), ("h", 1, "study title")], "g string, id long, title string")
-    assert tuple(joins.align_sections(a, b).first()) == ("g", 1, 4, 1.0)
+    a = spark.createDataFrame([("g", "1", "study title"), ("g", "9", "safety"), ("g", None, "study"), ("g", "4.1", None)], "g string, no string, title string")
+    b = spark.createDataFrame(
+        [("g", 1, 5, "title page study name"), ("g", 1, 4, "title study"), ("g", 1, 6, "9.4 Methods"), ("g", 1, 7, "safety"), ("g", 1, 8, "4.10 x"), ("g", 1, 9, None), ("g", 2, 1, "4.1"), ("g", 2, 2, " "), ("h", 1, 1, "study title")],
+        "g string, doc_id long, id long, heading string",
+    )
+    got = sorted((r.doc_id, r.no, r.id, r.score) for r in joins.align_sections(a, b).collect())
+    assert got == [(1, "1", 4, 1.0), (1, "9", 6, 1.0), (2, "4.1", 1, 1.0)]
+    assert joins.align_sections(a.limit(0), b).count() == 0
 
 
 def test_upsert_last_write_wins(spark):
@@ -290,3 +295,42 @@ def test_an_audit_reads_short_documents_whole_and_long_ones_by_chunks(spark):
     got = {(r.doc_id, r.query_id): r.context for r in retrieval.audit_context(docs, queries, whole=1000, k=1).collect()}
     assert set(got) == {(1, None), (2, 7), (3, None)} and got[1, None] == "alpha" and got[3, None] == ""
     assert got[2, 7] in long and len(got[2, 7]) == 900 and "beta" in got[2, 7]
+
+
+def test_coverage_counts_findings_and_aligned_headings(spark):
+    findings = spark.createDataFrame([(1, "partial", "2.1"), (1, "non_compliant", "3"), (2, "compliant", None)], "run_id long, status string, section_no string")
+    present = joins.present_sections(findings, spark.createDataFrame([(1, "4.2")], "run_id long, section_no string"))
+    assert {tuple(r) for r in present.collect()} == {(1, "2"), (1, "4"), (2, "—")}
+    guide = spark.createDataFrame([("g", n, "t") for n in ("2", "3", "4", "5.1", "A", None)], "g string, no string, title string")
+    gaps = joins.section_coverage_gap(spark.createDataFrame([(1, "g"), (3, "h")], "run_id long, g string"), guide, present)
+    assert [(r.run_id, r.section) for r in gaps.collect()] == [(1, "3")]
+
+
+def test_slot_flags_by_hand(spark):
+    long = "of course " * 7
+    slots = spark.createDataFrame(
+        [(1, 1, "A", True, ["x"], " "), (1, 2, "B", True, None, "[todo: of"), (1, 3, "C", False, ["Zeta", "Course"], long), (1, 4, "D", False, ["zeta"], long), (1, 5, "E", False, [], "of"), (1, 6, "F", False, None, None)],
+        "template_id int, ord int, title string, required boolean, keywords array<string>, body string",
+    )
+    got = sorted((r.ord, r.kind, r.note) for r in profiles.slot_flags(slots, ["Must include: of"]).collect())
+    assert got == [
+        (1, "format", "Format rule violated: Must include: of"), (1, "missing", "Required section 'A' is empty."), (2, "format", "Section 'B' is a TODO placeholder."),
+        (4, "format", "Section 'D' does not mention any expected keyword."), (5, "length", "Section 'E' is suspiciously short (2 chars)."), (6, "format", "Format rule violated: Must include: of"),
+    ]
+
+
+def test_references_styles_and_scores_by_hand(spark):
+    from leafmill.operators import mapping
+
+    docs = spark.createDataFrame([(1, "g", "see 16.1.1"), (2, "g", "see 16x1x1"), (3, "g", None)], "doc_id long, g string, text string")
+    got = mapping.det_cross_reference(docs, spark.createDataFrame([("g", "16.1.1"), ("g", "")], "g string, target string"))
+    assert sorted((r.doc_id, r.target) for r in got.filter("status = 'compliant'").collect()) == [(1, "16.1.1")] and got.count() == 6
+    styles = spark.createDataFrame([(1, 2, "Heading 1"), (1, 1, "Body"), (2, 1, "Body")], "doc_id long, n int, style string")
+    elements = spark.createDataFrame([(1, 1, True, "Title"), (1, 2, False, None), (1, 3, True, "Body"), (2, 1, True, "Title"), (3, 1, True, "Title")], "doc_id long, ord int, heading boolean, ref string")
+    assert [r.style for r in joins.style_ref_remap(elements, styles).orderBy("doc_id", "ord").collect()] == ["Heading 1", "Body", "Body", "Body", None]
+    runs = spark.createDataFrame([(1, None, 4, 1), (2, 0.9, 4, 4), (3, None, 0, 0)], "run_id long, score double, required_total int, missing int")
+    flags = spark.createDataFrame([(1, "missing"), (1, "length"), (1, "guidance"), (1, None)], "run_id long, kind string")
+    assert [tuple(r) for r in mapping.legacy_result(runs, flags).orderBy("run_id").collect()] == [(1, 0.75, 1, 0, 2, 1), (2, 0.9, 0, 0, 0, 0), (3, 0.0, 0, 0, 0, 0)]
+    sections = spark.createDataFrame([(1, 0, "no"), (1, 1, "blood of mice"), (1, 2, "mice blood"), (2, 0, None), (2, 1, "x")], "doc_id long, pos int, text string")
+    asked = spark.createDataFrame([(1, "Blood of mice"), (2, "of")], "doc_id long, query string")
+    assert sorted(tuple(r) for r in profiles.best_section(sections, asked).collect()) == [(1, 1, 2), (2, 0, 0)]
