@@ -7,6 +7,7 @@ from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
 from leafmill.llm.secret_scan import op9_secret_scan
+from leafmill.llm.spelling import OP13_SQL, op13_spelling_variants
 from leafmill.llm.suffix_dedup import op5_suffix_dedup
 from leafmill.llm.toxicity import op10_toxicity
 from leafmill.llm.url_filters import OP8_SQL, op8_url_filters
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
@@ -30,4 +32,5 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
