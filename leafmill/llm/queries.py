@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from leafmill.llm.ann_search import op3_ann_search
+from leafmill.llm.manifest import OP12_SQL, op12_merkle_manifest
 from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
@@ -32,5 +34,6 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op12_merkle_manifest": OP12_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
