@@ -6,6 +6,7 @@ from leafmill.llm.manifest import OP12_SQL, op12_merkle_manifest
 from leafmill.llm.minhash_dedup import op4_minhash_dedup
 from leafmill.llm.mixing import OP7_SQL, op7_mix_sources
 from leafmill.llm.packing import op2_best_fit_packing
+from leafmill.llm.quality_model import op11_quality_classifier
 from leafmill.llm.quality_rules import OP1_SQL, op1_quality_rules
 from leafmill.llm.secret_scan import op9_secret_scan
 from leafmill.llm.spelling import OP13_SQL, op13_spelling_variants
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
