@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.alignment import block_align  # noqa: F401
 from leafmill.operators.joins import tfidf_cosine
 from leafmill.operators.retrieval import _BM25, benchmark_queries, bm25
 from leafmill.operators.structure import _ROLE, islands, line_roles
@@ -251,47 +252,6 @@ def toc_heading_match(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     return met.select("doc_id", "page", "ord", F.when(text == F.col("title"), "equal").otherwise("prefix").alias("kind")).distinct()
 
 
-def in_order_pairs(olds, news) -> list[tuple[int, int]]:
-    """Indices of the longest in-order pairing of like blocks of two lists of rows with a line."""
-    a, b = ([set(r["line"].lower().split()) for r in rows] for rows in (olds, news))
-    like = lambda x, y: x == y or (x | y and len(x & y) >= 0.5 * len(x | y))
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if like(a[i], b[j]) else 0)
-    i, j, out = 0, 0, []
-    while i < len(a) and j < len(b):
-        if like(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for doc, olds, news in zip(pdf["doc_id"], pdf["olds"], pdf["news"], strict=True):
-            out += [(doc, olds[i]["pos"], news[j]["pos"]) for i, j in in_order_pairs(olds, news)]
-        yield pd.DataFrame(out, columns=["doc_id", "old_pos", "new_pos"])
-
-
-def block_align(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, old_pos, new_pos): the longest in-order pairing of like blocks (half of their words in common).
-
-    Blocks that are equal at equal positions pair by a join; only the rest of a document goes to the alignment.
-    """
-    same = old.join(new, ["doc_id", "pos", "line"], "left_semi").select("doc_id", F.col("pos").alias("old_pos"), F.col("pos").alias("new_pos"))
-    left = old.join(new, ["doc_id", "pos", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("olds"))
-    right = new.join(old, ["doc_id", "pos", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("news"))
-    return same.union(left.join(right, "doc_id").mapInPandas(_align, "doc_id long, old_pos int, new_pos int"))
-
-
-query("block_align")(lambda t: block_align(t.doc_versions.filter("version = 1").select("doc_id", "pos", "line"), t.doc_versions.filter("version = 2").select("doc_id", "pos", "line")))
-
 # ------------------------------------------------------------------------------------------ layout folds
 
 

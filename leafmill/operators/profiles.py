@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
-from leafmill.operators.mapping import in_order_pairs
+from leafmill.operators.alignment import equal_pairs, in_order_pairs
 from leafmill.operators.scoring import is_issue
 from leafmill.plans.registry import query
 
@@ -93,19 +93,6 @@ query("section_changed", ", o AS (SELECT doc_id, line, count(*) AS o FROM doc_ve
 )
 
 
-def _common_words(x: list[str], y: list[str]) -> int:
-    """Length of the longest common subsequence, over the bits of one integer."""
-    at: dict[str, int] = {}
-    for i, w in enumerate(x):
-        at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(x)) - 1
-    row = full
-    for w in y:
-        hit = row & at.get(w, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(x) - row.bit_count()
-
-
 def _word_ops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
@@ -113,7 +100,7 @@ def _word_ops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, y = ([r["line"].split() for r in rows] for rows in (olds, news))
             pairs = in_order_pairs(olds, news)
             for i, j in pairs:
-                kept = _common_words(x[i], y[j])
+                kept = len(equal_pairs(x[i], y[j]))
                 out.append((doc, olds[i]["pos"], news[j]["pos"], kept, len(x[i]) - kept, len(y[j]) - kept))
             gone, come = set(range(len(x))) - {i for i, _ in pairs}, set(range(len(y))) - {j for _, j in pairs}
             out += [(doc, olds[i]["pos"], None, 0, len(x[i]), 0) for i in sorted(gone)]
