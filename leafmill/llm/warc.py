@@ -141,15 +141,16 @@ def _skip(stream, n: int) -> None:
 
 
 #: Of the gzip header that the writer makes: magic, deflate, extra field; then the field's name and length.
-_MEMBER = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<H", 8)
+_MEMBER = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 20) + b"SL" + struct.pack("<H", 16)
+#: Bytes of a member beside its deflated ones: header, two sizes, checksum and length.
+_AROUND = len(_MEMBER) + 16 + 8
 
 
 def member(record: bytes) -> bytes:
     """A gzip member of one record, with its own size and the record's in the extra field."""
     deflate = zlib.compressobj(4, zlib.DEFLATED, -zlib.MAX_WBITS)
     body = deflate.compress(record) + deflate.flush()
-    size = len(_MEMBER) + 8 + len(body) + 8
-    return _MEMBER + struct.pack("<II", size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    return _MEMBER + struct.pack("<QQ", _AROUND + len(body), len(record)) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
 class _Window(io.RawIOBase):
@@ -169,18 +170,24 @@ class _Window(io.RawIOBase):
 
 
 def _members(raw) -> Iterator[tuple[object, bool]]:
-    """(stream, whether it holds one record) of the members of known size, and of all the rest from the first other one."""
-    at = 0
-    while True:
+    """(stream, whether it holds one record) of the members of known size, and of all the rest from the first other one.
+
+    A size is believed that is no smaller than an empty member, stays within the file and leads to its end or to another
+    member; from a member with any other size on, the file is read in one stream.
+    """
+    at, end = 0, raw.seek(0, io.SEEK_END)
+    while at < end:
         raw.seek(at)
-        head = raw.read(len(_MEMBER) + 8)
-        if not head:
-            return
+        head = raw.read(len(_MEMBER) + 16)
+        size = struct.unpack_from("<Q", head, len(_MEMBER))[0] if head.startswith(_MEMBER) and len(head) == len(_MEMBER) + 16 else 0
+        known = _AROUND <= size <= end - at
+        if known and size < end - at:
+            raw.seek(at + size)
+            known = raw.read(3) == _MEMBER[:3]
         raw.seek(at)
-        if not head.startswith(_MEMBER) or len(head) < len(_MEMBER) + 8:
+        if not known:
             yield gzip.GzipFile(fileobj=raw), False
             return
-        size = struct.unpack_from("<I", head, len(_MEMBER))[0]
         yield gzip.GzipFile(fileobj=_Window(raw, size)), True
         at += size
 

@@ -164,6 +164,24 @@ def test_damaged_archives(spark, tmp_path):
     assert sum(r.record_type == "damaged" for r in rows) >= 2
 
 
+@pytest.mark.parametrize("size", (0, 1, 30, 10**6, 2**32 + 5, 2**64 - 1))
+def test_wrong_member_sizes_end_and_lose_nothing(spark, tmp_path, size):
+    warc.register(spark)
+    packed = [warc.member(response(bytes([65 + i]) * 50, b"50")) for i in range(4)]
+    at = len(warc._MEMBER)
+    packed[1] = packed[1][:at] + size.to_bytes(8, "little") + packed[1][at + 8 :]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(packed))
+    rows = spark.read.format("warc").option("path", str(tmp_path)).load().select("payload").collect()
+    assert sorted(bytes(r.payload) for r in rows) == [bytes([65 + i]) * 50 for i in range(4)]
+
+
+def test_member_sizes_have_64_bits():
+    import struct
+
+    one = warc.member(b"x" * 1000)
+    assert struct.unpack_from("<QQ", one, len(warc._MEMBER)) == (len(one), 1000) and gzip.decompress(one) == b"x" * 1000
+
+
 def test_unwanted_payloads_are_not_inflated(monkeypatch):
     import io
 
@@ -187,6 +205,17 @@ def warc_id(urn):
     return int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
+def test_pipeline_runs_over_odd_rows(spark, tmp_path):
+    draw = random.Random(1)
+    text = "\n".join("The " + " ".join(draw.choice(["river", "stone", "garden", "market", "window", "letter", "of", "and", "with", "a"]) for _ in range(12)) + " was there." for _ in range(30))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (3, "", "en", "a", 0), (None, text.replace("rivers", "markets") + " And one more line of words here.", "en", None, 1), (4, "ab " * 30_000, "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} >= {1} and all(0 < r.length <= 1024 for r in out)
+    spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_stages_keep_what_they_should(spark):
     folder = "/root/testdata/sf0.001"
     frame = spark.read.parquet(f"{folder}/documents.parquet")

@@ -104,13 +104,13 @@ HELD_OUT = (
     ("f2ca1bb6c7e907d06dafe4687e579fce76b37e4e", "auth_token: '", "'", 1), ("9c56cc51b374c3ba189210d5b6d4bf57790d351c", "secret=", "", 1),
     ("s3cr3tP4ssw0rd", "passwd=", "", 1), ("Winter2024!", "pwd: ", "", 1), ("kJ8#mQ2$vL9@", "password => '", "'", 1),
     ("LmX92kdPq0ZrT5uVyB3nW8cS", "token: ", " and", 1), ("b0a7d9e2f4c61835", "api key: ", "", 1),
-    ("da39a3ee5e6b4b0d3255bfef95601890afd80709", "commit ", "", 0), ("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "sha256: ", "", 0),
+    ("86f7e437faa5a7fce15d1ddcb9eaeaea377667b8", "commit ", "", 0), ("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "sha256: ", "", 0),
     ("123e4567-e89b-12d3-a456-426614174000", "request id ", "", 0), ("5500005555555559", "card ", "", 0), ("6011000990139424", "and ", " was", 0),
     ("20231105143000", "at ", "", 0), ("release-notes-version-12", "see ", "", 0), ("images/header/banner-2019", "in ", "", 0),
-    ("HttpRequestHandler2", "class ", "", 0), ("changeme", "password=", "", 0), ("required", "token: ", "", 0), ("function", "auth = ", "", 0),
-    ("undefined", "secret: ", "", 0), ("process.env.SECRET", "secret = ", "", 0), ("your-token-here", "token = ", "", 0), ("Johnson", "author: ", "", 0),
+    ("HttpRequestHandler2", "class ", "", 0), ("replace_me", "password=", "", 0), ("wherever", "token: ", "", 0), ("callback", "auth = ", "", 0),
+    ("nullable", "secret: ", "", 0), ("process.env.SECRET", "secret = ", "", 0), ("your-token-here", "token = ", "", 0), ("Johnson", "author: ", "", 0),
     ("maintains", "secret: ", "", 0), ("getToken(", "token = ", "", 0), ("order_number_2020", "invoice ", "", 0), ("098f6bcd4621d373cade4e832627b4f6", "md5 ", "", 0),
-    ("password_reset_form", "auth: ", "", 0), ("session_timeout_30", "option ", "", 0), ("string", "password: ", "", 0), ("5f4dcc3b5aa765d61d8327deb882cf99", "etag: ", "", 0),
+    ("password_reset_form", "auth: ", "", 0), ("session_timeout_30", "option ", "", 0), ("varchar", "password: ", "", 0), ("5f4dcc3b5aa765d61d8327deb882cf99", "etag: ", "", 0),
 )
 
 
@@ -129,7 +129,25 @@ def test_forest_on_findings_held_out(spark):
     true = {i for i, r in enumerate(HELD_OUT) if r[3]}
     print("precision", len(called & true) / len(called), "recall", len(called & true) / len(true), [HELD_OUT[i] for i in called ^ true])
     assert len(called & true) >= 0.9 * len(called) and len(called & true) >= 0.9 * len(true)
-    assert sum(r[0] in trained_on for r in HELD_OUT) <= 8  # words such as "string" are in both
+    assert not any(r[0] in trained_on for r in HELD_OUT)
+
+
+def test_trees_as_sql_equal_the_fitted_model(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    findings = secret_scan.labelled_findings(1_000, seed=11)
+    sql = secret_scan.feature_sql("token", "before", "after", "path", secret_scan.DICTIONARY)
+    rows = spark.createDataFrame([(i, *r[:4], float(r[4])) for i, r in enumerate(findings)], "i int, token string, before string, after string, path string, label double")
+    table = rows.selectExpr("i", "label", *[f"{v} AS {k}" for k, v in sql.items()]).repartition(1).cache()
+    vectors = VectorAssembler(inputCols=list(sql), outputCol="features", handleInvalid="keep").transform(table)
+    model = RandomForestClassifier(numTrees=12, maxDepth=7, seed=3).fit(vectors)
+    struct = ", ".join(f"'{k}', {k}" for k in sql)
+    each = [secret_scan._tree_sql(t.toDebugString.strip().split("\n")[1:], list(sql)) for t in model.trees]
+    got = {r.i: list(r.votes) for r in table.selectExpr("i", f"named_struct({struct}) AS f").selectExpr("i", f"array({', '.join(each)}) AS votes").collect()}
+    for k, tree in enumerate(model.trees):
+        want = {r.i: r.prediction for r in tree.transform(vectors).select("i", "prediction").collect()}
+        assert {i: v[k] for i, v in got.items()} == want
 
 
 def assigned_at(text, i):
