@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.plans.registry import query
+from leafmill.plans.shared import written
 
 #: Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -28,28 +29,71 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 4, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """(query_id, rank, doc_id, pos, score): for each query (query_id, text) its k best chunks of positive score.
+#: Postings, for each of the k, that the floor of a query's k-th score is taken from. Results don't depend on it.
+SEED_POSTINGS = 64
+#: Scores are compared with the floor with this much room, as they are rounded to six places.
+ROOM = 1e-5
+
 
-    Document frequencies are plain counts of each chunk's distinct terms, added up on the map side. Postings are cut to
-    the terms that queries use before they are counted; scores come from an equi-join on the term, so no query meets a
-    chunk that shares none of its terms. Repeated query terms count repeatedly. A negative idf is replaced by ``EPSILON``
-    times the mean idf of all terms. Ranks are taken within ``per``; without ``k`` all scores come back, unranked.
+def _postings(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: chunks (c, doc_id, pos), postings (c, term, impact) of the terms that queries use, queries' terms.
+
+    A posting's impact is its part of a score without the term's idf. A query's term has its weight (times x idf) and df.
     """
-    words = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("double"))
+    each_chunk = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("double")).withColumn("c", F.monotonically_increasing_id())
+    words = written(each_chunk, "bm25-words")
     stats = words.agg(F.count("*").cast("double").alias("n_chunks"), F.avg("n").alias("avgdl"))
     frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weighted = frequency.join(F.broadcast(stats), how="cross").withColumn("idf", idf)  # one row of totals
-    mean = weighted.agg(F.avg("idf").alias("mean_idf"))
+    weighted = written(frequency.join(F.broadcast(stats), how="cross").select("term", "df", idf.alias("idf")), "bm25-terms")  # one row of totals
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = weighted.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean), how="cross")
-    terms = terms.select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    each = words.select("doc_id", "pos", "n", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = each.groupBy("doc_id", "pos", "n", "term").agg(F.count("*").alias("tf"))
-    scored = postings.join(terms, "term").join(asked, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
-    total = scored.groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    weight = F.col("times") * F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
+    mean = weighted.agg(F.avg("idf").alias("mean_idf"))
+    terms = written(asked.join(weighted, "term").join(F.broadcast(mean), how="cross").select("query_id", "term", weight.alias("weight"), "df"), "bm25-query-terms")
+    each = words.select("c", "n", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    counted = each.groupBy("c", "n", "term").agg(F.count("*").alias("tf")).join(F.broadcast(stats), how="cross")
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
+    return words.select("c", "doc_id", "pos"), written(counted.select("c", "term", impact.alias("impact")), "bm25-postings"), terms
+
+
+def _added(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, c, part): what the terms add to the score of each chunk that has one of them.
+
+    Postings are dealt by chunk; where the terms are few enough to be broadcast, sums need no other exchange.
+    """
+    met = postings.repartition("c").join(terms.select("query_id", "term", "weight"), "term")
+    return met.groupBy("c", "query_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"))
+
+
+def _floors(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): a score that k chunks of a query have at least, by its rarest terms; no row where they have fewer.
+
+    Only chunks at or above the floor need to be ranked, which spares most of the sort.
+    """
+    own = Window.partitionBy("query_id")
+    before = F.coalesce(F.sum("df").over(own.orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    seeds = terms.withColumn("seed", before < SEED_POSTINGS * k)
+    # A term's impact is at most K1 + 1, so terms of negative weight take away that much of it at most.
+    low = seeds.filter("NOT seed").groupBy("query_id").agg(F.sum(F.least(F.lit(0.0), F.col("weight") * (K1 + 1))).alias("low"))
+    first = _added(postings, seeds.filter("seed")).withColumn("_n", F.row_number().over(own.orderBy(F.desc("part")))).filter(F.col("_n") == k)
+    return first.join(low, "query_id", "left").select("query_id", (F.col("part") + F.coalesce("low", F.lit(0.0)) - ROOM).alias("floor"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 4, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(query_id, rank, doc_id, pos, score): for each query (query_id, text) its k best chunks of positive score.
+
+    Texts are tokenised once. Document frequencies are plain counts of each chunk's distinct terms, added up on the map
+    side. Scores come from an equi-join on the term, so no query meets a chunk that shares none of its terms. Ranks are
+    taken within ``per``; those of a query among the chunks that reach a floor that k chunks are known to reach.
+    Repeated query terms count repeatedly. A negative idf is replaced by ``EPSILON`` times the mean idf of all terms. Ties
+    go to the smaller doc_id and pos; without ``k`` all scores come back, unranked. Null texts have no terms.
+    """
+    ids, postings, terms = _postings(chunks, queries)
+    parts = _added(postings, terms)
+    if k is not None and per == ("query_id",):
+        floor = written(_floors(postings, terms, k), "bm25-floors")
+        parts = parts.join(floor, "query_id", "left").filter("floor IS NULL OR part >= floor")
+    total = parts.select("query_id", "c", F.round("part", 6).alias("score")).filter("score > 0").join(ids, "c").select("query_id", "doc_id", "pos", "score")
     if k is None:
         return total
     w = Window.partitionBy(*per).orderBy(F.desc("score"), "doc_id", "pos")

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.plans.registry import query
+from leafmill.plans.shared import new_folder as scratch
 
 MAX_UPLOAD = 100 << 20
 ALLOWED = ("docx", "doc", "pdf", "txt")
 PROFILE = "name string, corpus_path string, glossary map<string,string>, format_rules array<string>"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="leafmill-")
-    return f"{base.rstrip('/')}/leafmill-{name}-{uuid.uuid4().hex}"
-
-
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text) of all .txt files under a folder; doc_id is the path below it; unreadable files are skipped."""
     files = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
