@@ -247,7 +247,8 @@ def _fragment_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def evidence_grounding(evidence: DataFrame, docs: DataFrame) -> DataFrame:
-    """(evidence_id, doc_id) where a quote stands in a document after normalisation, whole or by its first or last 60.
+    """(evidence_id, doc_id) where a quote stands in a document after normalisation, whole or by its first or last 60,
+    without blanks at their ends.
 
     Quotes of at most 20 characters are too short to verify and count as grounded, in no document: their doc_id is null.
     The first and last 60 characters of a quote meet texts on a fingerprint, an equi-join: the smallest gram hash of a
@@ -256,7 +257,7 @@ def evidence_grounding(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     q = evidence.select("evidence_id", norm("quote").alias("q")).filter("q <> ''")
     short = q.filter(F.length("q") <= 20).select("evidence_id")
-    parts = q.filter(F.length("q") > 20).select("evidence_id", F.explode(F.array_distinct(F.array(F.substring("q", 1, 60), F.expr("right(q, 60)")))).alias("part"))
+    parts = q.filter(F.length("q") > 20).select("evidence_id", F.explode(F.array_distinct(F.array(F.trim(F.substring("q", 1, 60)), F.trim(F.expr("right(q, 60)"))))).alias("part"))
     fits = F.coalesce(*[F.when(F.length("part") >= least, least) for least, _, _ in _SIZES])
     parts = parts.withColumn("size", fits)
     id_type, doc_type = (df.schema[c].dataType.simpleString() for df, c in ((evidence, "evidence_id"), (docs, "doc_id")))
@@ -272,7 +273,7 @@ def evidence_grounding(evidence: DataFrame, docs: DataFrame) -> DataFrame:
 _N = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 query(
     "evidence_grounding",
-    f", q AS (SELECT evidence_id, {_N.format('quote')} AS q FROM evidence), d AS (SELECT doc_id, {_N.format('text')} AS t FROM documents) SELECT evidence_id, doc_id FROM q JOIN d ON contains(t, q) OR contains(t, left(q, 60)) OR contains(t, right(q, 60)) WHERE length(q) > 20 UNION ALL SELECT evidence_id, NULL FROM q WHERE length(q) BETWEEN 1 AND 20",
+    f", q AS (SELECT evidence_id, {_N.format('quote')} AS q FROM evidence), d AS (SELECT doc_id, {_N.format('text')} AS t FROM documents) SELECT evidence_id, doc_id FROM q JOIN d ON contains(t, q) OR contains(t, trim(left(q, 60))) OR contains(t, trim(right(q, 60))) WHERE length(q) > 20 UNION ALL SELECT evidence_id, NULL FROM q WHERE length(q) BETWEEN 1 AND 20",
     "evidence",
 )(lambda t: evidence_grounding(t.evidence, t.documents))
 
@@ -476,44 +477,6 @@ def _restyled(t) -> DataFrame:
     return style_ref_remap(e, e.filter("page = 1").groupBy("doc_id", F.col("ref").alias("style")).agg(F.min("ord").alias("n")))
 
 
-def heading_score(spans: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """(doc_id, ord, score): how much a span looks like a heading; 0 for blank text.
-
-    Added up: an entry of the ``outline`` (doc_id, page, title) that starts with the text or starts it, 0.8; 1.15 times the
-    body's size or more, 0.4, and from 1.6 times on 0.1 more; bold and at most 120 characters, 0.25; a leading number with
-    a title, 0.3; upper case in at most twelve words, 0.15. The body's size is the one that most characters have, the
-    smaller of equals. Null texts are blank. Repeated rows are scored alike.
-    """
-    weight = spans.groupBy("doc_id", "size").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("w"))
-    body = weight.groupBy("doc_id").agg(F.max_by("size", F.struct("w", -F.col("size"))).alias("body"))
-    rows = spans.join(body, "doc_id").withColumn("t", F.trim(F.coalesce("text", F.lit(""))))
-    listed = F.lit(0.0)
-    if outline is not None:
-        title = lambda c: F.lower(X.collapse(c))
-        entries = outline.groupBy("doc_id", "page").agg(F.collect_set(title("title")).alias("_titles"))  # the entries of one page
-        rows = rows.join(entries, ["doc_id", "page"], "left")
-        own = title(F.col("t"))
-        listed = F.when(F.exists(F.coalesce("_titles", F.array().cast("array<string>")), lambda e: e.startswith(own) | own.startswith(e)), 0.8).otherwise(0.0)
-    ratio = F.col("size") / F.col("body")
-    score = (
-        listed
-        + F.when(ratio >= 1.6, 0.5).when(ratio >= 1.15, 0.4).otherwise(0.0)
-        + F.when(F.col("bold") & (F.length("t") <= 120), 0.25).otherwise(0.0)
-        + F.when(X.numbering_depth(F.col("t")) > 0, 0.3).otherwise(0.0)
-        + F.when(X.uppercase_like(F.col("t")), 0.15).otherwise(0.0)
-    )
-    return rows.select("doc_id", "ord", F.when(F.col("t") == "", 0.0).otherwise(F.round(score, 2)).alias("score"))
-
-
-query(
-    "heading_score",
-    ", w AS (SELECT doc_id, size, sum(length(text)) AS w FROM spans GROUP BY ALL), b AS (SELECT doc_id, arg_max(size, (w, -size)) AS body FROM w GROUP BY doc_id), t AS (SELECT doc_id, ord, bold, size / body AS ratio, trim(text) AS t FROM spans JOIN b USING (doc_id)) "
-    "SELECT doc_id, ord, CASE WHEN t = '' THEN 0 ELSE round(CASE WHEN ratio >= 1.6 THEN 0.5 WHEN ratio >= 1.15 THEN 0.4 ELSE 0 END + CASE WHEN bold AND length(t) <= 120 THEN 0.25 ELSE 0 END "
-    "+ CASE WHEN regexp_matches(t, '" + X.NUMBERED + "') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(t, '\\p{L}') AND length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) >= 0.85 * length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AND len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) <= 12 THEN 0.15 ELSE 0 END, 2) END::DOUBLE AS score FROM t",
-    "spans",
-)(lambda t: heading_score(t.spans))
-
-
 # ------------------------------------------------------------------------------------------ token sets and term vectors
 
 _PAIRS = "SELECT a.p_partkey AS a, b.p_partkey AS b, {0} AS ta, {1} AS tb FROM part a JOIN part b ON a.p_size = b.p_size AND b.p_partkey = a.p_partkey + 50"

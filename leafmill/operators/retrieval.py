@@ -220,27 +220,29 @@ for _name, _k in (("vector_search", 5), ("vector_topk", 3)):
     "retrieval_fallback",
     _BM25
     + ", n AS (SELECT q.id AS query_id, h.id, round(list_dot_product(q.vector::DOUBLE[], h.vector::DOUBLE[]) / (sqrt(list_dot_product(q.vector::DOUBLE[], q.vector::DOUBLE[])) * sqrt(list_dot_product(h.vector::DOUBLE[], h.vector::DOUBLE[]))), 6) AS score "
-    "FROM hits q JOIN hits h USING (collection) WHERE q.id IN (SELECT item_id FROM benchmark) AND h.id NOT IN (SELECT item_id FROM benchmark)), "
-    "v AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM n QUALIFY rank <= 4), v4 AS (SELECT * FROM v WHERE score >= 0.25) "
+    "FROM hits q JOIN benchmark b ON b.item_id = q.id JOIN hits h ON h.collection = CASE WHEN length(b.text) > 200 THEN -1 ELSE q.collection END WHERE h.id NOT IN (SELECT item_id FROM benchmark)), "
+    "v AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM n QUALIFY rank <= 4), v4 AS (SELECT * FROM v) "
     "SELECT query_id, 'vector' AS via, id, NULL AS pos, rank FROM v4 UNION ALL SELECT query_id, 'bm25', doc_id, pos, rank FROM top WHERE rank <= 4 AND score > 0 AND query_id NOT IN (SELECT query_id FROM v4)",
     "chunks hits",
 )
 def _retrieval_fallback(t):
-    """Every item's vector is searched among the vectors that belong to no item; a hit is a cosine of 0.25 or more."""
-    items = t.benchmark.select(F.col("item_id").alias("id"))
-    asked = t.hits.join(items, "id", "left_semi").selectExpr("id AS query_id", "collection", "vector AS query")
-    found = retrieval_fallback(t.hits.join(items, "id", "left_anti"), asked, t.chunks, benchmark_queries(t), floor=0.25)
+    """Every item's vector is searched among the vectors that belong to no item; items of over 200 characters ask a collection without any."""
+    items = t.benchmark.select(F.col("item_id").alias("id"), F.when(F.length("text") > 200, -1).alias("absent"))
+    asked = t.hits.join(items, "id").select(F.col("id").alias("query_id"), F.coalesce("absent", "collection").alias("collection"), F.col("vector").alias("query"))
+    found = retrieval_fallback(t.hits.join(items, "id", "left_anti"), asked, t.chunks, benchmark_queries(t))
     return found.select("query_id", "via", "id", "pos", "rank")
 
 
-def retrieval_fallback(vectors: DataFrame, asked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 4, floor: float = 0.5) -> DataFrame:
-    """(query_id, via, id, pos, rank, score): a query's k nearest vectors of score ``floor`` or more; without any, BM25 hits.
+def retrieval_fallback(vectors: DataFrame, asked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 4, floor: float | None = None) -> DataFrame:
+    """(query_id, via, id, pos, rank, score): a query's k nearest vectors; where there is no vector hit, its BM25 hits.
 
-    ``asked`` are the queries (query_id, text) that have a vector: (query_id, collection, query).
+    ``asked`` are the queries (query_id, text) that have a vector: (query_id, collection, query). Any vector of the
+    collection is a hit, unless a ``floor`` is given that its score has to reach.
     """
-    near = vector_search(vectors, asked, k).filter(F.col("score") >= floor)
+    near = vector_search(vectors, asked, k)
+    near = near if floor is None else near.filter(F.col("score") >= floor)
     v = near.select("query_id", F.lit("vector").alias("via"), "id", F.lit(None).cast("long").alias("pos"), "rank", "score")
-    b = bm25(chunks, queries, k=4).join(v, "query_id", "left_anti")  # after BM25, whose plan holds the queries repeatedly
+    b = bm25(chunks, queries, k=k).join(v, "query_id", "left_anti")  # after BM25, whose plan holds the queries repeatedly
     return v.union(b.select("query_id", F.lit("bm25").alias("via"), F.col("doc_id").alias("id"), "pos", "rank", "score"))
 
 

@@ -114,55 +114,18 @@ query(
 )(lambda t: list_groups(t.marked_lines.select("doc_id", "pos", X.list_leader(F.col("line")).alias("kind"), (F.col("pos") % 2).alias("level"))).select("doc_id", "pos", "kind", "group_no"))
 
 
-@query(
-    "list_numbering",
-    f", k AS (SELECT doc_id, pos, {_KIND} AS kind FROM marked_lines), r AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM 'bullet' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM k) "
-    "SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id, g ORDER BY pos) AS INTEGER) AS number FROM r WHERE kind = 'bullet'",
-    "marked_lines",
-)
-def _list_numbering(t):
-    """Counters of list items, started again after any other line."""
-    k = t.marked_lines.select("doc_id", "pos", X.list_leader(F.col("line")).alias("kind"))
-    k = k.withColumn("g", F.sum((~F.col("kind").eqNullSafe("bullet")).cast("int")).over(_so_far())).filter("kind = 'bullet'")
-    return k.select("doc_id", "pos", F.row_number().over(Window.partitionBy("doc_id", "g").orderBy("pos")).alias("number"))
-
-
 def islands(rows: DataFrame, flag) -> DataFrame:
     """Rows where ``flag`` holds, with island (a number a run of consecutive positions) and run_len."""
     kept = rows.filter(flag).withColumn("island", F.col("pos") - F.row_number().over(_doc()))
     return kept.withColumn("run_len", F.count("*").over(Window.partitionBy("doc_id", "island")))
 
 
-query(
-    "table_blocks",
-    ", i AS (SELECT doc_id, pos, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked_lines WHERE contains(line, '|')), c AS (SELECT *, len(string_split(line, '|')) AS n_cols, count(*) OVER (PARTITION BY doc_id, island) AS run_len FROM i) "
-    "SELECT doc_id, min(pos) AS first_pos, count(*) AS n_rows, max(n_cols) AS n_cols FROM c WHERE run_len >= 2 GROUP BY doc_id, island",
-    "marked_lines",
-)(
-    lambda t: islands(t.marked_lines, F.col("line").contains("|"))
-    .filter("run_len >= 2")
-    .groupBy("doc_id", "island")
-    .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_rows"), F.max(F.size(F.split("line", "\\|"))).cast("long").alias("n_cols"))
-    .drop("island")
-)
 _META = "regexp_matches(line, '(?i)^(version|prepared by|reviewed by|approved by|author|date|effective date|document (no|number|id)|revision|status|owner|department)\\b.*[:].*')"
 query(
     "metadata_blocks",
     f", i AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked_lines WHERE {_META}), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS run_len FROM i) SELECT doc_id, pos, run_len FROM c WHERE run_len >= 2",
     "marked_lines",
 )(lambda t: islands(t.marked_lines, F.col("line").rlike(X.METADATA)).filter("run_len >= 2").select("doc_id", "pos", "run_len"))
-query(
-    "metadata_kv_tables",
-    ", i AS (SELECT doc_id, pos, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked_lines WHERE regexp_matches(line, '^[A-Z][A-Za-z ]{1,40}:\\s+\\S')) "
-    "SELECT doc_id, min(pos) AS first_pos, string_agg(trim(split_part(line, ':', 1)), '|' ORDER BY pos) AS fields FROM i GROUP BY doc_id, island HAVING count(*) BETWEEN 2 AND 6",
-    "marked_lines",
-)(
-    lambda t: islands(t.marked_lines, F.col("line").rlike("^[A-Z][A-Za-z ]{1,40}:\\s+\\S"))
-    .filter("run_len BETWEEN 2 AND 6")
-    .groupBy("doc_id", "island")
-    .agg(F.min("pos").alias("first_pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(F.split(x["line"], ":")[0])), "|").alias("fields"))
-    .drop("island")
-)
 query(
     "numbered_runs",
     ", n AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS o FROM marked_lines WHERE line <> ''), i AS (SELECT *, o - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM n WHERE regexp_matches(line, '^[0-9]+\\.\\s')), "
@@ -212,10 +175,6 @@ def collapse_blanks(lines: DataFrame) -> DataFrame:
 query("parent_heading", "SELECT template_id, ord, coalesce(lead(level) OVER (PARTITION BY template_id ORDER BY ord) > level, false) AS is_parent FROM slots", "slots")(
     lambda t: t.slots.select("template_id", "ord", F.coalesce(F.lead("level").over(Window.partitionBy("template_id").orderBy("ord")) > F.col("level"), F.lit(False)).alias("is_parent"))
 )
-_SLUG = "coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'slot_' || ord)"
-query("slot_slugs", f", s AS (SELECT template_id, ord, {_SLUG} AS base FROM slots) SELECT template_id, ord, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS slot_id FROM (SELECT *, row_number() OVER (PARTITION BY template_id, base ORDER BY ord) AS n FROM s)", "slots")(
-    lambda t: t.slots.select("template_id", "ord", F.when(X.slug(F.col("title")) == "", F.concat(F.lit("slot_"), "ord")).otherwise(X.slug(F.col("title"))).alias("base")).withColumn("n", F.row_number().over(Window.partitionBy("template_id", "base").orderBy("ord"))).select("template_id", "ord", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "n")).alias("slot_id"))
-)
 query("drop_preface_slots", ", f AS (SELECT template_id, min(ord) FILTER (level = 2) AS first FROM slots GROUP BY template_id) SELECT template_id, ord, title FROM slots JOIN f USING (template_id) WHERE first IS NULL OR ord >= first", "slots")(
     lambda t: t.slots.withColumn("_f", F.min(F.when(F.col("level") == 2, F.col("ord"))).over(Window.partitionBy("template_id"))).filter("_f IS NULL OR ord >= _f").select("template_id", "ord", "title")
 )
@@ -266,27 +225,6 @@ query(
     ", w AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\\s\\x{0b}\\x{85}\\x{a0}]+'), lambda x: x <> ''))) AS words FROM lines GROUP BY doc_id) SELECT doc_id, CASE WHEN words > 0 THEN CAST(greatest(1, round_even(words / 380.0, 0)) AS INTEGER) END AS pages FROM w",
     "lines",
 )(lambda t: t.lines.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.split("line", "(?U)\\s+"), lambda x: x != ""))).alias("w")).select("doc_id", F.when(F.col("w") > 0, F.greatest(F.lit(1), F.bround(F.col("w") / 380).cast("int"))).alias("pages")))
-_RUN = "lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '[\\s\\x{0b}\\x{85}\\x{a0}]+', ' ', 'g')))"
-_REPEATED = f"SELECT source, {_RUN} AS norm, count(DISTINCT doc_id) AS pages FROM lines JOIN documents d USING (doc_id) WHERE line <> '' AND length(line) <= 120 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3"
-
-
-def repeated_lines(lines: DataFrame, scopes: DataFrame, least: int = 3) -> DataFrame:
-    """(source, norm, pages): normalised lines of at most 120 characters that stand in several documents of a source."""
-    rows = lines.filter((F.col("line") != "") & (F.length("line") <= 120)).join(scopes, "doc_id")
-    return rows.groupBy("source", X.running_norm(F.col("line")).alias("norm")).agg(F.count_distinct("doc_id").alias("pages")).filter(F.col("pages") >= least)
-
-
-query("repeated_lines", _REPEATED, "lines")(lambda t: repeated_lines(t.lines, t.documents.select("doc_id", "source")))
-
-
-@query("running_line_strip", f", r AS ({_REPEATED}) SELECT doc_id, pos, line FROM lines JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM r WHERE r.source = d.source AND r.norm = {_RUN}) AND NOT (length(trim(line)) <= 20 AND regexp_matches(trim(line), '{X.PAGE_NUMBER}'))", "lines")
-def _running_line_strip(t):
-    """Lines without those that repeat across a source, and without page numbers."""
-    scopes = t.documents.select("doc_id", "source")
-    rows = t.lines.filter("line <> ''").join(scopes, "doc_id").withColumn("norm", X.running_norm(F.col("line")))
-    return rows.join(repeated_lines(t.lines, scopes), ["source", "norm"], "left_anti").filter(~X.is_page_number(F.col("line"))).select("doc_id", "pos", "line")
-
-
 @query(
     "caption_dedup",
     _TYPED + ", h AS (SELECT *, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS o FROM typed) SELECT doc_id, pos, txt FROM h p WHERE NOT (type <> 'heading' AND length(txt) <= 120 AND EXISTS (SELECT 1 FROM h WHERE h.doc_id = p.doc_id AND h.type = 'heading' AND h.txt = p.txt AND h.o > p.o - 8 AND h.o <= p.o))",
@@ -303,10 +241,3 @@ def _caption_dedup(t):
 query("flat_heading_promote", ", n AS (SELECT doc_id, pos, line, regexp_matches(line, '^[0-9]+\\.\\s') AS single, regexp_matches(line, '^[0-9]+(\\.[0-9]+)+\\.?\\s') AS deep FROM marked_lines) SELECT doc_id, pos, deep OR (single AND NOT coalesce(lag(single) OVER w, false) AND NOT coalesce(lead(single) OVER w, false) AND NOT ends_with(line, '.')) AS heading FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)", "marked_lines")(
     lambda t: t.marked_lines.withColumn("single", F.col("line").rlike("^[0-9]+\\.\\s")).select("doc_id", "pos", (F.col("line").rlike("^[0-9]+(\\.[0-9]+)+\\.?\\s") | (F.col("single") & ~F.coalesce(F.lag("single").over(_doc()), F.lit(False)) & ~F.coalesce(F.lead("single").over(_doc()), F.lit(False)) & ~F.col("line").endswith("."))).alias("heading"))
 )
-
-
-@query("toc_segment", f", h AS (SELECT doc_id, pos FROM marked_lines WHERE {_ROLE} = 'heading') SELECT doc_id, pos, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), (SELECT max(pos) + 1 FROM marked_lines m WHERE m.doc_id = h.doc_id)) AS stop FROM h", "marked_lines")
-def _toc_segment(t):
-    """Each located heading with the position where the next one starts, or the document ends."""
-    h = line_roles(t.marked_lines).withColumn("_end", F.max("pos").over(Window.partitionBy("doc_id")) + 1).filter("role = 'heading'")
-    return h.select("doc_id", "pos", F.coalesce(F.lead("pos").over(_doc()), F.col("_end")).alias("stop"))

@@ -66,6 +66,15 @@ PROJECTIONS: dict[str, tuple[str, list[str]]] = {
         "CASE l_suppkey % 3 WHEN 0 THEN 'Arial' WHEN 1 THEN 'Calibri' ELSE 'Georgia' END AS font",
         "concat('text ', l_partkey) AS text",
     ]),
+    "page_lines": ("lineitem", [
+        "l_suppkey AS doc_id",
+        "1 + l_orderkey % (1 + l_suppkey % 9) AS page",
+        "l_orderkey * 8 + l_linenumber AS ord",
+        "CAST(l_linenumber * 110 - 80 AS DOUBLE) AS y0",
+        "CAST(l_linenumber * 110 - 69 AS DOUBLE) AS y1",
+        "CASE l_linenumber WHEN 1 THEN CASE l_partkey % 4 WHEN 0 THEN concat('Only  here ', CASE WHEN l_partkey % 8 = 0 THEN l_returnflag ELSE '' END) ELSE concat('Study Report ', l_suppkey, '  Page ', 1 + l_orderkey % (1 + l_suppkey % 9)) END "
+        "WHEN 3 THEN 'A body line that repeats' WHEN 4 THEN '12' WHEN 7 THEN CASE l_partkey % 3 WHEN 0 THEN concat('Page ', 1 + l_orderkey % 7, ' of 12') WHEN 1 THEN 'CONFIDENTIAL' ELSE '' END ELSE concat('text ', l_partkey) END AS text",
+    ]),
     "trace_events": ("events", [
         "user_id AS run_id",
         "event_id",
@@ -90,6 +99,9 @@ PROJECTIONS: dict[str, tuple[str, list[str]]] = {
     ]),
 }
 
+#: Page heights of ``page_lines``: a row a page.
+PAGE_SIZES = "SELECT DISTINCT 1 + l_orderkey % (1 + l_suppkey % 9) AS page, l_suppkey AS doc_id, CAST(700 + 40 * (l_orderkey % (1 + l_suppkey % 9) % 4) AS DOUBLE) AS height FROM lineitem"
+
 #: Derived tables whose rows are exploded with a position: (DuckDB SQL, tables it needs).
 EXPLODED = {
     "lines": "SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS pos, trim(unnest(a)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)",
@@ -98,6 +110,7 @@ EXPLODED = {
     "elements": "SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS pos, unnest(a) AS tag, trim(unnest(b)) AS txt FROM (SELECT page_id AS doc_id, "
     "regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)', 1) AS a, regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\\s[^>]*)?>([^<]*)', 2) AS b FROM pages)",
     "slots": "SELECT c_custkey AS template_id, n.n_nationkey AS ord, n.n_name AS title, 1 + n.n_regionkey % 3 AS level, n.n_nationkey % 4 <> 3 AS required FROM customer CROSS JOIN nation n",
+    "page_sizes": PAGE_SIZES,
     "doc_versions": "SELECT doc_id, 1 AS version, pos, line FROM lines UNION ALL SELECT doc_id, 2 AS version, pos, CASE WHEN pos % 5 = 0 THEN replace(line, 'the ', 'that ') ELSE line END AS line FROM lines WHERE pos % 7 <> 6",
 }
 NEEDS = {"marked_lines": ["lines"], "doc_versions": ["lines"]}
@@ -133,6 +146,11 @@ class Tables:
 
         return html_elements(self.pages)
 
+    @property
+    def page_sizes(self) -> DataFrame:
+        page = "1 + l_orderkey % (1 + l_suppkey % 9) AS page"
+        return self.lineitem.selectExpr(page, "l_suppkey AS doc_id", "CAST(700 + 40 * (l_orderkey % (1 + l_suppkey % 9) % 4) AS DOUBLE) AS height").distinct()
+
     @property
     def slots(self) -> DataFrame:
         n = self.nation.selectExpr("n_nationkey AS ord", "n_name AS title", "1 + n_regionkey % 3 AS level", "n_nationkey % 4 <> 3 AS required")
@@ -158,4 +176,4 @@ def sql_tables(names: list[str], body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    return "WITH " + ", ".join(parts) + ("" if body.startswith(",") else " ") + body
+    return "WITH RECURSIVE " + ", ".join(parts) + ("" if body.startswith(",") else " ") + body

@@ -182,10 +182,15 @@ def test_evidence_of_any_length_is_grounded(spark):
         if 0 < len(q) <= 20:
             want.add((e, None))
         elif q:
-            want |= {(e, d) for d, t in texts.items() if q[:60] in norm(t) or q[-60:] in norm(t)}
+            want |= {(e, d) for d, t in texts.items() if q[:60].strip() in norm(t) or q[-60:].strip() in norm(t)}
     got = joins.evidence_grounding(spark.createDataFrame(list(enumerate(quotes)), "evidence_id long, quote string"), spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+    # A head of 59 characters and a blank, of which the text holds the 59.
+    head = " ".join(["nine char"] * 5) + " abcdefghi"
+    assert len(head) == 59
+    one = joins.evidence_grounding(spark.createDataFrame([(1, head + " and what the text lacks " + "z" * 60)], "evidence_id long, quote string"), spark.createDataFrame([(5, head + "x end")], "doc_id long, text string"))
+    assert [tuple(r) for r in one.collect()] == [(1, 5)]
 
 
 def test_every_slot_is_mapped_in_three_passes(spark):
@@ -217,7 +222,9 @@ def test_retrieval_falls_back_where_no_vector_is_near(spark):
     asked = spark.createDataFrame([(1, 0, [1.0, 0.05]), (2, 0, [-1.0, -1.0]), (3, 1, [0.0, 1.0])], "query_id long, collection int, query array<double>")
     chunks = spark.createDataFrame([(i, 0, x) for i, x in enumerate(["alpha beta", "beta gamma", "delta", "epsilon"])], "doc_id long, pos long, text string")
     queries = spark.createDataFrame([(1, "alpha"), (2, "gamma"), (3, "delta"), (4, "alpha")], "query_id long, text string")
-    got = retrieval.retrieval_fallback(vectors, asked, chunks, queries)
+    everything = retrieval.retrieval_fallback(vectors, asked, chunks, queries)
+    assert {r.query_id: r.via for r in everything.collect()} == {1: "vector", 2: "vector", 3: "vector", 4: "bm25"}
+    got = retrieval.retrieval_fallback(vectors, asked, chunks, queries, floor=0.5)
     assert sorted((r.query_id, r.via, r.rank, r.id) for r in got.collect()) == [(1, "vector", 1, 10), (1, "vector", 2, 11), (2, "bm25", 1, 1), (3, "bm25", 1, 2), (4, "bm25", 1, 0)]
 
 
@@ -259,13 +266,13 @@ def test_short_quotes_count_as_grounded(spark):
 
 
 def test_heading_scores_by_hand(spark):
-    from leafmill.operators.joins import heading_score
+    from leafmill.operators.layout import heading_score
 
     schema = "doc_id int, page int, ord int, size double, bold boolean, text string"
     rows = [(1, 1, 0, 10.0, False, "plain body text that most characters have"), (1, 1, 1, 16.0, True, "1.2 Scope"), (1, 1, 2, 11.5, False, "METHODS AND DATA"), (1, 1, 3, 10.0, True, " "), (1, 2, 4, 10.0, False, "Results"), (1, 2, 5, 10.0, False, None)]
     spans = spark.createDataFrame(rows, schema)
     outline = spark.createDataFrame([(1, 2, "Results  of the study")], "doc_id int, page int, title string")
-    assert {r.ord: r.score for r in heading_score(spans).collect()} == {0: 0.0, 1: 1.05, 2: 0.55, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert {r.ord: r.score for r in heading_score(spans).collect()} == {0: 0.0, 1: 0.95, 2: 0.55, 3: 0.0, 4: 0.0, 5: 0.0}
     assert {r.ord: r.score for r in heading_score(spans, outline).collect()}[4] == 0.8
     assert heading_score(spans.limit(0)).count() == 0
 
