@@ -434,15 +434,9 @@ def font_stats(spans: DataFrame) -> DataFrame:
 query("heading_scale", ", s AS (SELECT DISTINCT doc_id, size FROM spans), b AS (SELECT doc_id, min(size) AS body FROM s GROUP BY doc_id) SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS INTEGER) AS level FROM s JOIN b USING (doc_id) WHERE size > body + 0.6 QUALIFY level <= 4", "spans")(
     lambda t: t.spans.groupBy("doc_id").agg(F.min("size").alias("b"), F.collect_set("size").alias("s")).select("doc_id", F.posexplode(F.slice(F.sort_array(F.filter("s", lambda x: x > F.col("b") + 0.6), False), 1, 4)).alias("p", "size")).select("doc_id", "size", (F.col("p") + 1).alias("level"))
 )
-query("margin_percentiles", ", g AS (SELECT doc_id, list(x0 ORDER BY x0) AS xs FROM spans GROUP BY doc_id) SELECT doc_id, xs[CAST(round_even(0.1 * (len(xs) - 1), 0) AS INTEGER) + 1] AS p10, xs[CAST(round_even(0.15 * (len(xs) - 1), 0) AS INTEGER) + 1] AS p15 FROM g", "spans")(
-    lambda t: t.spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("x0")).alias("xs")).select("doc_id", *[F.element_at("xs", F.bround(F.lit(p) * (F.size("xs") - 1)).cast("int") + 1).alias(n) for n, p in (("p10", 0.1), ("p15", 0.15))])
-)
 query("formatting_profile", "SELECT doc_id, string_agg(DISTINCT font, ',' ORDER BY font) AS fonts, count(*) AS n, count(DISTINCT size) AS n_sizes FROM spans GROUP BY doc_id", "spans")(
     lambda t: t.spans.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("font")), 1, 20), ",").alias("fonts"), F.count("*").alias("n"), F.count_distinct("size").alias("n_sizes"))
 )
-query("style_profile", ", w AS (SELECT doc_id, font, sum(length(text) * CASE WHEN abs(size - 11) <= 1 THEN 2 ELSE 1 END) AS w FROM spans GROUP BY ALL) SELECT doc_id, arg_max(font, (w, font)) AS font FROM w GROUP BY doc_id", "spans")(
-    lambda t: t.spans.groupBy("doc_id", "font").agg(F.sum(F.length("text") * F.when(F.abs(F.col("size") - 11) <= 1, 2).otherwise(1)).alias("w")).groupBy("doc_id").agg(F.max_by("font", F.struct("w", "font")).alias("font"))
-)
 query("style_dedup_registry", ", k AS (SELECT doc_id, concat_ws('|', font, CAST(CAST(size AS INTEGER) AS VARCHAR), CAST(bold AS VARCHAR)) AS key, min(ord) AS first FROM spans GROUP BY ALL) SELECT doc_id, key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, key) AS INTEGER) AS style FROM k", "spans")(
     lambda t: t.spans.groupBy("doc_id", F.concat_ws("|", "font", F.col("size").cast("int").cast("string"), F.col("bold").cast("string")).alias("key")).agg(F.min("ord").alias("first")).select("doc_id", "key", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "key")).alias("style"))
 )

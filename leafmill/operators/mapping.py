@@ -303,9 +303,6 @@ query("header_footer_text", ", n AS (SELECT *, row_number() OVER (PARTITION BY d
     lambda t: t.marked_lines.filter("line <> ''").withColumn("a", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).withColumn("z", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pos")))).filter("a = 1 OR z = 1")
     .groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 )
-query("revision_row", "SELECT doc_id, pos, string_split(line, ' | ')[1] || ' -> 2.0' AS cells FROM marked_lines WHERE contains(line, ' | B | ')", "marked_lines")(
-    lambda t: t.marked_lines.filter(F.col("line").contains(" | B | ")).select("doc_id", "pos", F.concat(F.split("line", " \\| ")[0], F.lit(" -> 2.0")).alias("cells"))
-)
 query("glossary_head", "SELECT r_name AS profile_id, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER) AS n, n_name AS key, 'term' AS value FROM nation JOIN region ON n_regionkey = r_regionkey QUALIFY n < 3")(
     lambda t: glossary_head(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("profile_id")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.lit("term")))).alias("glossary")), 3)
 )
@@ -333,13 +330,6 @@ def legacy_result(runs: DataFrame, flags: DataFrame) -> DataFrame:
     return runs.join(counts, "run_id", "left").select("run_id", F.round(F.coalesce(F.col("score").cast("double"), share, F.lit(0.0)), 6).alias("overall"), *none)
 
 
-query("style_source_classify", "SELECT page_id, len(list_distinct(regexp_extract_all(lower(html), '#[0-9a-f]{6}'))) AS colours, len(regexp_extract_all(lower(html), '[0-9]+ ?pt\\b')) AS points, contains(html, 'font') OR contains(html, 'margin') AS styled, CASE WHEN len(regexp_extract_all(lower(html), '[0-9]+ ?pt\\b')) >= 3 THEN 'guideline' ELSE 'example' END AS decision FROM pages")(
-    lambda t: t.pages.select("page_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("#[0-9a-f]{6}"), F.lit(0)))).cast("long").alias("colours"), F.size(F.regexp_extract_all(F.lower("html"), F.lit("[0-9]+ ?pt\\b"), F.lit(0))).cast("long").alias("points"), (F.col("html").contains("font") | F.col("html").contains("margin")).alias("styled"))
-    .withColumn("decision", F.when(F.col("points") >= 3, "guideline").otherwise("example"))
-)
-query("style_rule_extract", ", r AS (SELECT page_id, unnest(regexp_extract_all(html, '([a-z-]+):[^;{}]*', 1)) AS prop FROM pages) SELECT prop, count(DISTINCT page_id) AS pages, count(*) AS uses FROM r WHERE prop IN ('margin', 'padding', 'color', 'font', 'width', 'https', 'http') GROUP BY prop".replace(", r AS", "WITH r AS", 1))(
-    lambda t: t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("([a-z-]+):[^;{}]*"), F.lit(1))).alias("prop")).filter(F.col("prop").isin("margin", "padding", "color", "font", "width", "https", "http")).groupBy("prop").agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("uses"))
-)
 def det_cross_reference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, target, status, confidence): whether a document's text names what its guideline wants referenced.
 
