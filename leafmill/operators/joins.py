@@ -67,8 +67,9 @@ def slot_set_equal(slots: DataFrame, rewritten: DataFrame) -> DataFrame:
     return met.groupBy("template_id").agg(more("s", "r").alias("missing"), more("r", "s").alias("surplus"))
 
 
-query("slot_set_equal", _SLOT_BODIES + _REWRITE + ", a AS (SELECT template_id, ord FROM slots), d AS (SELECT template_id, ord FROM r), m AS (SELECT template_id, count(*) AS n FROM (FROM a EXCEPT ALL FROM d) GROUP BY ALL), p AS (SELECT template_id, count(*) AS n FROM (FROM d EXCEPT ALL FROM a) GROUP BY ALL), t AS (SELECT template_id FROM a UNION SELECT template_id FROM d) SELECT template_id, coalesce(m.n, 0) AS missing, coalesce(p.n, 0) AS surplus FROM t LEFT JOIN m USING (template_id) LEFT JOIN p USING (template_id)", "slots lines")(
-    lambda t: slot_set_equal(t.slots, slot_rewrite(slot_bodies(t.slots, mappings(t), sections(t))))
+_MODEL = ", m AS (SELECT o_custkey AS template_id, l_partkey % 30 AS ord, CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx, l_discount * 10 AS confidence, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+query("slot_set_equal", _MODEL.replace("m AS", "r AS") + ", a AS (SELECT template_id, ord FROM slots), d AS (SELECT template_id, ord FROM r), m AS (SELECT template_id, count(*) AS n FROM (FROM a EXCEPT ALL FROM d) GROUP BY ALL), p AS (SELECT template_id, count(*) AS n FROM (FROM d EXCEPT ALL FROM a) GROUP BY ALL), t AS (SELECT template_id FROM a UNION SELECT template_id FROM d) SELECT template_id, coalesce(m.n, 0) AS missing, coalesce(p.n, 0) AS surplus FROM t LEFT JOIN m USING (template_id) LEFT JOIN p USING (template_id)", "slots")(
+    lambda t: slot_set_equal(t.slots, _model_mappings(t))
 )
 
 
@@ -104,14 +105,16 @@ query("suggestion_overlay", _SLOT_BODIES + ", sug AS (SELECT template_id, ord, '
 )
 query(
     "mapping_validate",
-    ", m AS (SELECT l_orderkey % 60 + 1 AS template_id, l_partkey % 30 AS ord, CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx, l_discount * 10 AS confidence, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY template_id, ord ORDER BY seq) = 1) "
+    _MODEL + ", d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY template_id, ord ORDER BY seq) = 1) "
     "SELECT template_id, ord, CASE WHEN idx < 4 THEN idx END AS idx, CASE WHEN idx < 4 THEN least(1, confidence) ELSE 0 END AS confidence, CASE WHEN idx < 4 THEN 'rewrite' ELSE 'rag' END AS action FROM d SEMI JOIN slots USING (template_id, ord)",
     "slots",
 )(lambda t: mapping_validate(_model_mappings(t), t.slots))
 
 
 def _model_mappings(t) -> DataFrame:
-    return t.lineitem.selectExpr("l_orderkey % 60 + 1 AS template_id", "l_partkey % 30 AS ord", "CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx", "l_discount * 10 AS confidence", "l_orderkey * 10 + l_linenumber AS seq")
+    """What a model answered for the template of an order's customer, also for slots that there aren't and more than once."""
+    lines = t.lineitem.join(t.orders.selectExpr("o_orderkey AS l_orderkey", "o_custkey AS template_id"), "l_orderkey")
+    return lines.selectExpr("template_id", "l_partkey % 30 AS ord", "CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx", "l_discount * 10 AS confidence", "l_orderkey * 10 + l_linenumber AS seq")
 
 
 def mapping_validate(model: DataFrame, slots: DataFrame, n_sections: int = 4) -> DataFrame:
@@ -473,13 +476,19 @@ def _restyled(t) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------ token sets and term vectors
 
-_PAIRS = "SELECT a.p_partkey AS a, b.p_partkey AS b, {0} AS ta, {1} AS tb FROM part a JOIN part b ON a.p_size = b.p_size AND b.p_partkey = a.p_partkey + 50"
+_PAIRS = "SELECT x.l_partkey AS a, y.l_partkey AS b, {0} AS ta, {1} AS tb FROM (SELECT DISTINCT x.l_partkey, y.l_partkey AS other FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1) x JOIN (SELECT p_partkey AS l_partkey FROM part) y ON y.l_partkey = x.other JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey"
+
+
+def neighbours(t) -> DataFrame:
+    """(a, b): each two parts that follow one another in an order."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    behind = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    return lines.join(behind, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
 
 
 def _title_pairs(t) -> DataFrame:
-    p = t.part.select("p_partkey", "p_size", audit_tokens(F.col("p_name")).alias("tok"))
-    a, b = p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 50).alias("b"), "p_size", F.col("tok").alias("ta")), p.select(F.col("p_partkey").alias("b"), "p_size", F.col("tok").alias("tb"))
-    return a.join(b, ["b", "p_size"])
+    p = t.part.select("p_partkey", audit_tokens(F.col("p_name")).alias("tok"))
+    return neighbours(t).join(p.select(F.col("p_partkey").alias("a"), F.col("tok").alias("ta")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("tok").alias("tb")), "b")
 
 
 for _name, _union in (("token_overlap", False), ("token_jaccard", True)):
@@ -509,15 +518,15 @@ query(
     "tfidf_cosine",
     ", it AS (SELECT code AS g, requirement_id AS id, list_filter(regexp_extract_all(lower(title), '[a-z]{3,}'), lambda x: true) AS toks FROM requirements), n AS (SELECT g, count(*) AS n FROM it GROUP BY g), tf AS (SELECT g, id, term, count(*) AS tf FROM (SELECT g, id, unnest(toks) AS term FROM it) GROUP BY ALL), df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL), "
     "w AS (SELECT tf.g, id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (g, term) JOIN n USING (g)), nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) "
-    "SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) / (any_value(na.norm) * any_value(nb.norm)), 6) AS score FROM w x JOIN w y ON y.id = x.id + 4 AND y.term = x.term AND y.g = x.g JOIN nm na ON na.id = x.id JOIN nm nb ON nb.id = y.id GROUP BY x.id, y.id",
+    "SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) / (any_value(na.norm) * any_value(nb.norm)), 6) AS score FROM (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1) pr JOIN w x ON x.id = pr.a JOIN w y ON y.id = pr.b AND y.term = x.term AND y.g = x.g JOIN nm na ON na.id = x.id JOIN nm nb ON nb.id = y.id GROUP BY x.id, y.id",
     "requirements",
 )(lambda t: _tfidf(t))
 
 
 def _tfidf(t) -> DataFrame:
     items = t.requirements.select(F.col("code").alias("g"), F.col("requirement_id").alias("id"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)).alias("tokens"))
-    k = items.select("g", F.col("id").alias("a"), (F.col("id") + 4).alias("b"))
-    pairs = k.join(items.select(F.col("id").alias("b"), "g"), ["b", "g"]).select("a", "b")
+    of = lambda name: items.select(F.col("id").alias(name), F.col("g").alias(f"_{name}"))
+    pairs = neighbours(t).join(of("a"), "a").join(of("b"), "b").filter("_a = _b").select("a", "b")
     return tfidf_cosine(items, pairs)
 
 
@@ -526,6 +535,21 @@ _STEM = (
     "WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) WHEN length(w) > 4 AND ends_with(w, 'ing') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND ends_with(w, 'ed') THEN left(w, length(w) - 2) ELSE w END"
 )
 query("tokenize_map", f"SELECT requirement_id, array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(concat_ws(' ', title, requirement_text), '[a-zA-Z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN {X.STOPWORDS}), lambda w: {_STEM}), ' ') AS tokens FROM requirements", "requirements")(lambda t: t.requirements.select("requirement_id", F.array_join(X.map_tokens(F.concat_ws(" ", "title", "requirement_text")), " ").alias("tokens")))
-query("keyword_missing", ", d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, array_to_string(list_filter(['trash', 'license', 'password', 'token'], lambda k: NOT contains(t, k)), ',') AS missing, len(list_filter(['trash', 'license', 'password', 'token'], lambda k: NOT contains(t, k))) = 4 AS flagged FROM d".replace(", d AS", "WITH d AS", 1))(
-    lambda t: t.documents.select("doc_id", F.filter(F.array(*map(F.lit, ("trash", "license", "password", "token"))), lambda k: ~F.lower("text").contains(k)).alias("m")).select("doc_id", F.array_join("m", ",").alias("missing"), (F.size("m") == 4).alias("flagged"))
-)
+
+
+def keyword_missing(texts: DataFrame) -> DataFrame:
+    """(doc_id, missing, flagged): the keywords of (doc_id, text, keywords) that a text lacks, upper case aside; flagged if it has none.
+
+    Without keywords nothing is missing. Null texts have no keyword.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    lacking = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: ~low.contains(F.lower(k)))
+    rows = texts.withColumn("_m", lacking)
+    return rows.select("doc_id", F.array_join("_m", ",").alias("missing"), ((F.size("_m") > 0) & (F.size("_m") == F.size("keywords"))).alias("flagged"))
+
+
+_WORDS = "list_transform(regexp_extract_all(t, '[A-Za-z]{4,}'), lambda x: lower(x))"
+query(
+    "keyword_missing",
+    f"SELECT doc_id, array_to_string(list_filter(k, lambda x: NOT contains(low, x)), ',') AS missing, len(k) > 0 AND len(list_filter(k, lambda x: NOT contains(low, x))) = len(k) AS flagged FROM (SELECT doc_id, lower(coalesce(text, '')) AS low, {_WORDS.replace('(t,', '(p_name,')} AS k FROM documents JOIN part ON p_partkey = doc_id)",
+)(lambda t: keyword_missing(t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id")).select("doc_id", "text", F.transform(F.regexp_extract_all("p_name", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower).alias("keywords"))))

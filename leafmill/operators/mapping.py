@@ -52,19 +52,40 @@ def greedy_assign(candidates: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_first_free, f"g {candidates.schema['g'].dataType.simpleString()}, slot long, section long")
 
 
-def _similarities(words: list[str], sections: list) -> list[float]:
-    """Cosines of tf-idf vectors of a slot's words and each section's; idf over the sections and the slot."""
-    bags = [Counter(t) for t in (*(s["tokens"] for s in sections), words)]
-    df = Counter(w for bag in bags for w in bag)
-    vectors = [{w: n * (math.log((len(bags) + 1) / (df[w] + 1)) + 1) for w, n in bag.items()} for bag in bags]
-    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    own = vectors.pop()
-    return [sum(x * v.get(w, 0.0) for w, x in own.items()) / (n * norms[-1]) if n else 0.0 for v, n in zip(vectors, norms, strict=False)]
+class _Vectors:
+    """Tf-idf vectors of the sections of one group, whose weights count one slot as a further text.
+
+    Built once a group: a slot's words change the weights of those words alone, so its similarities cost their postings.
+    """
+
+    def __init__(self, sections: list):
+        bags = [Counter(s["tokens"]) for s in sections]
+        self.texts = len(bags) + 1
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for i, bag in enumerate(bags):
+            for w, n in bag.items():
+                self.places.setdefault(w, []).append((i, n))
+        self.squares = [sum((n * self._idf(len(self.places[w]))) ** 2 for w, n in bag.items()) for bag in bags]
+
+    def _idf(self, df: int) -> float:
+        return math.log((self.texts + 1) / (df + 1)) + 1
+
+    def similarities(self, words: list[str]) -> list[float]:
+        """Cosines of a slot's words and each section's; idf over the sections and the slot."""
+        squares, dots, own = list(self.squares), [0.0] * len(self.squares), 0.0
+        for w, k in Counter(words).items():
+            at = self.places.get(w, [])
+            before, now = self._idf(len(at)), self._idf(len(at) + 1)
+            own += (k * now) ** 2
+            for i, n in at:
+                squares[i] += n * n * (now * now - before * before)
+                dots[i] += n * k * now * now
+        return [d / math.sqrt(q * own) if d else 0.0 for d, q in zip(dots, squares, strict=True)]
 
 
 def _mapped(slots: list, sections: list, model: list, least: float) -> list[tuple]:
     """(slot, section, confidence, action) of each slot of one group; rows come in order of their ids."""
-    found, used, known = {}, set(), {s["id"] for s in sections}
+    found, used, known, vectors = {}, set(), {s["id"] for s in sections}, None
 
     def first(key: str, value: str):
         return next((s["id"] for s in sections if value and s["id"] not in used and s[key] == value), None)
@@ -97,7 +118,8 @@ def _mapped(slots: list, sections: list, model: list, least: float) -> list[tupl
         if not free or not len(x["tokens"]):
             take(x, None, 0.0, none)
             continue
-        scores = _similarities(x["tokens"], sections)
+        vectors = vectors or _Vectors(sections)
+        scores = vectors.similarities(x["tokens"])
         i, s = max(free, key=lambda y: scores[y[0]])
         take(x, *((s["id"], round(scores[i], 3), "rewrite") if scores[i] >= least else (None, round(scores[i], 3), none)))
     return [found[x["id"]] for x in slots]

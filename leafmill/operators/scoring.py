@@ -190,13 +190,13 @@ query("dimension_coverage", "SELECT code, string_agg(DISTINCT dimension, ',' ORD
 
 @query(
     "slot_coverage",
-    ", filled AS (SELECT DISTINCT l_orderkey % 50 + 1 AS template_id, l_partkey % 25 AS ord FROM lineitem WHERE l_linenumber = 1) SELECT s.template_id, count(*) FILTER (required) AS required_total, count(f.ord) FILTER (required) AS filled, "
+    ", filled AS (SELECT DISTINCT o_custkey AS template_id, l_partkey % 25 AS ord FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT s.template_id, count(*) FILTER (required) AS required_total, count(f.ord) FILTER (required) AS filled, "
     "coalesce(string_agg(CASE WHEN required AND f.ord IS NULL THEN title END, ',' ORDER BY s.ord), '') AS missing FROM slots s LEFT JOIN filled f ON s.template_id = f.template_id AND s.ord = f.ord GROUP BY s.template_id",
     "slots",
 )
 def _slot_coverage(t):
     """Required slots, how many are filled, and the titles of the missing ones in order."""
-    filled = t.lineitem.filter("l_linenumber = 1").selectExpr("l_orderkey % 50 + 1 AS template_id", "l_partkey % 25 AS ord", "true AS has").distinct()
+    filled = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_custkey AS template_id", "l_partkey % 25 AS ord", "true AS has").distinct()
     met = t.slots.join(filled, ["template_id", "ord"], "left")
     missing = F.array_sort(F.collect_list(F.when(F.col("required") & F.col("has").isNull(), F.struct("ord", "title"))))
     return met.groupBy("template_id").agg(

@@ -141,18 +141,21 @@ def _formatting_json(t) -> DataFrame:
     return t.spark.read.schema("doc_id long, styling struct<fonts:array<string>,max_size:double>").json(path).select("doc_id", F.size("styling.fonts").cast("long").alias("n_fonts"), "styling.max_size")
 
 
-query("change_report", "SELECT o.doc_id, o.pos, CASE WHEN length(o.line) > 60 THEN left(o.line, 60) || ' …' ELSE o.line END AS before, CASE WHEN length(n.line) > 60 THEN left(n.line, 60) || ' …' ELSE n.line END AS after FROM doc_versions o JOIN doc_versions n ON o.doc_id = n.doc_id AND o.pos = n.pos AND o.version = 1 AND n.version = 2 WHERE o.line <> n.line", "doc_versions")(
-    lambda t: change_report(t.doc_versions.filter("version = 1"), t.doc_versions.filter("version = 2"), 60)
-)
-
-
 def change_report(old: DataFrame, new: DataFrame, most: int = 1500) -> DataFrame:
-    """Before and after of what changed, cut with a mark."""
+    """(doc_id, pos, before, after) of the positions whose text differs, cut to ``most`` characters and a mark.
+
+    Positions are those of sections, which a rewrite keeps: one that only one version has comes with the other side null.
+    Where lines have moved, ``version_phrases`` pairs them first.
+    """
     cut = lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(" …"))).otherwise(F.col(c))
-    met = old.select("doc_id", "pos", F.col("line").alias("b")).join(new.select("doc_id", "pos", F.col("line").alias("a")), ["doc_id", "pos"]).filter("a <> b")
+    met = old.select("doc_id", "pos", F.col("line").alias("b")).join(new.select("doc_id", "pos", F.col("line").alias("a")), ["doc_id", "pos"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
     return met.select("doc_id", "pos", cut("b").alias("before"), cut("a").alias("after"))
 
 
+query("change_report", ", o AS (SELECT * FROM doc_versions WHERE version = 1), n AS (SELECT * FROM doc_versions WHERE version = 2) SELECT doc_id, pos, CASE WHEN length(o.line) > 60 THEN left(o.line, 60) || ' …' ELSE o.line END AS before, CASE WHEN length(n.line) > 60 THEN left(n.line, 60) || ' …' ELSE n.line END AS after FROM o FULL JOIN n USING (doc_id, pos) WHERE o.line IS DISTINCT FROM n.line", "doc_versions")(
+    lambda t: change_report(t.doc_versions.filter("version = 1"), t.doc_versions.filter("version = 2"), 60)
+)
+
 # ------------------------------------------------------------------------------------------ tables
 
 
