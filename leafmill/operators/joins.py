@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
@@ -127,54 +127,110 @@ def mapping_validate(model: DataFrame, slots: DataFrame, n_sections: int = 4) ->
 
 # ------------------------------------------------------------------------------------------ audits
 
-_VERDICTS = ", verdicts AS (SELECT l_partkey AS requirement_id, CASE l_suppkey % 4 WHEN 0 THEN 'Compliant' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'non_compliant' ELSE 'bogus' END AS status, l_discount * 15 AS confidence, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey % 3 <> 0)"
+_SAID = (
+    "CASE l_suppkey % 5 WHEN 0 THEN 'Compliant' WHEN 1 THEN ' PARTIAL ' WHEN 2 THEN 'non_compliant' WHEN 3 THEN 'not_applicable' ELSE 'bogus' END AS status, CASE l_suppkey % 6 WHEN 0 THEN 'Critical' WHEN 1 THEN 'major' WHEN 2 THEN 'minor' WHEN 3 THEN 'info' WHEN 4 THEN 'dire' END AS severity, "
+    "CASE WHEN l_suppkey % 7 = 3 THEN NULL ELSE l_discount * 15 END AS confidence, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat('quote ', l_partkey) END AS evidence, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber % 2 = 0 END AS grounded, "
+    "CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE repeat(concat('why ', l_partkey, ' '), CAST(1 + l_suppkey % 80 AS INTEGER)) END AS rationale, l_orderkey * 10 + l_linenumber AS seq"
+)
+_VERDICTS = f", verdicts AS (SELECT l_partkey AS requirement_id, {_SAID} FROM lineitem WHERE l_returnflag <> 'R')"
+#: What is added to a rationale, and characters that stay of evidence and rationales.
+UNGROUNDED = " [Quoted evidence could not be located in the document and was removed.]"
+CORRECTED = " [Corrected on independent re-check: the document does address this.]"
+NOT_ASSESSED = "Not assessed — the auditor did not return a verdict for this requirement."
+EVIDENCE_CHARS, RATIONALE_CHARS, NOTED_CHARS = 500, 600, 700
+STATUSES, SEVERITIES = ("compliant", "partial", "non_compliant", "not_applicable"), ("critical", "major", "minor", "info")
 
 
-def _verdicts(t) -> DataFrame:
-    return t.lineitem.filter("l_partkey % 3 <> 0").selectExpr(
-        "l_partkey AS requirement_id", "CASE l_suppkey % 4 WHEN 0 THEN 'Compliant' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'non_compliant' ELSE 'bogus' END AS status", "l_discount * 15 AS confidence", "l_orderkey * 10 + l_linenumber AS seq"
-    )
+def one_of(value: Column, known: tuple[str, ...], other: Column) -> Column:
+    """The value without blanks and upper case where it is known, else another."""
+    low = F.lower(F.trim(value))
+    return F.when(low.isin(*known), low).otherwise(other)
+
+
+def bounded_severity(proposed: Column, default: Column) -> Column:
+    """A proposed severity at most one step from the default one, which stands otherwise."""
+    rank = lambda c: F.array_position(F.array(*map(F.lit, SEVERITIES)), c)
+    return F.when((rank(proposed) > 0) & (rank(default) > 0) & (F.abs(rank(proposed) - rank(default)) <= 1), proposed).otherwise(default)
 
 
 def requirement_verdict_join(requirements: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """A finding a requirement; of several verdicts the last; without one not assessed. Odd statuses don't apply."""
-    last = verdicts.groupBy("requirement_id").agg(F.max_by(F.struct("status", "confidence"), "seq").alias("v"))
-    status = F.lower("v.status")
-    known = status.isin("compliant", "partial", "non_compliant", "not_applicable")
+    """A finding a requirement: requirement_id, status, severity, confidence, evidence, rationale.
+
+    ``verdicts`` are (requirement_id, status, severity, confidence, evidence, grounded, rationale, seq); of several the last
+    counts. Without one the requirement is not assessed: it does not apply, with confidence 0. An unknown status is a failure,
+    a confidence lies between 0 and 1 (0.6 if there is none), and a severity stays within one step of the requirement's
+    default. Evidence that is not grounded in the document goes, with a note, and caps the confidence at 0.4. Evidence is
+    cut to 500 characters, rationales to 600, or 700 with the note. Verdicts without a requirement have no row.
+    """
+    said = F.struct("status", "severity", "confidence", "evidence", "grounded", "rationale")
+    last = verdicts.groupBy("requirement_id").agg(F.max_by(said, "seq").alias("v"))
     met = requirements.join(last, "requirement_id", "left")
+    none, default = F.col("v").isNull(), F.col("severity_default")
+    cut = lambda c, n: F.nullif(F.substring(F.coalesce(c, F.lit("")), 1, n), F.lit(""))
+    evidence, rationale = cut("v.evidence", EVIDENCE_CHARS), cut("v.rationale", RATIONALE_CHARS)
+    invented = F.coalesce(evidence.isNotNull() & ~F.coalesce("v.grounded", F.lit(False)), F.lit(False))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("v.confidence").cast("double"), F.lit(0.6))))
     return met.select(
         "requirement_id",
-        F.when(known, status).otherwise("not_applicable").alias("status"),
-        F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v.confidence").cast("double"))), F.lit(0.0)).alias("confidence"),
-        F.when(F.col("v").isNull(), "Not assessed").otherwise("Assessed").alias("rationale"),
+        F.when(none, "not_applicable").otherwise(one_of(F.col("v.status"), STATUSES, F.lit("non_compliant"))).alias("status"),
+        F.when(none, default).otherwise(bounded_severity(one_of(F.col("v.severity"), SEVERITIES, default), default)).alias("severity"),
+        F.when(none, 0.0).when(invented, F.least(sure, F.lit(0.4))).otherwise(sure).alias("confidence"),
+        F.when(~invented, evidence).alias("evidence"),
+        F.when(none, NOT_ASSESSED).when(invented, F.substring(F.trim(F.concat(F.coalesce(rationale, F.lit("")), F.lit(UNGROUNDED))), 1, NOTED_CHARS)).otherwise(rationale).alias("rationale"),
     )
 
 
+_RANKED = "CASE {0} WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 WHEN 'info' THEN 3 END"
 query(
     "requirement_verdict_join",
-    _VERDICTS + ", v AS (SELECT requirement_id, arg_max(lower(status), seq) AS s, arg_max(confidence, seq) AS c FROM verdicts GROUP BY requirement_id) SELECT requirement_id, CASE WHEN s IN ('compliant','partial','non_compliant','not_applicable') THEN s ELSE 'not_applicable' END AS status, coalesce(least(1, greatest(0, CAST(c AS DOUBLE))), 0) AS confidence, CASE WHEN s IS NULL THEN 'Not assessed' ELSE 'Assessed' END AS rationale FROM requirements LEFT JOIN v USING (requirement_id)",
+    _VERDICTS + ", v AS (SELECT requirement_id, arg_max({'s': lower(trim(status)), 'y': lower(trim(severity)), 'c': CAST(confidence AS DOUBLE), 'e': left(evidence, 500), 'g': grounded, 'r': left(rationale, 600)}, seq) AS v FROM verdicts GROUP BY requirement_id), "
+    "x AS (SELECT requirement_id, severity_default AS d, v, v.e IS NOT NULL AND NOT coalesce(v.g, false) AS bad, greatest(0, least(1, coalesce(v.c, 0.6::DOUBLE))) AS c, CASE WHEN v.y IN ('critical','major','minor','info') THEN v.y ELSE severity_default END AS y FROM requirements LEFT JOIN v USING (requirement_id)) "
+    f"SELECT requirement_id, CASE WHEN v IS NULL THEN 'not_applicable' WHEN v.s IN ('compliant','partial','non_compliant','not_applicable') THEN v.s ELSE 'non_compliant' END AS status, CASE WHEN v IS NOT NULL AND abs({_RANKED.format('y')} - {_RANKED.format('d')}) <= 1 THEN y ELSE d END AS severity, "
+    f"CASE WHEN v IS NULL THEN 0 WHEN bad THEN least(c, 0.4::DOUBLE) ELSE c END AS confidence, CASE WHEN NOT coalesce(bad, false) THEN v.e END AS evidence, CASE WHEN v IS NULL THEN '{NOT_ASSESSED}' WHEN bad THEN left(trim(coalesce(v.r, '') || '{UNGROUNDED}'), 700) ELSE v.r END AS rationale FROM x",
     "requirements",
-)(lambda t: requirement_verdict_join(t.requirements, _verdicts(t)))
+)(lambda t: requirement_verdict_join(t.requirements, t.lineitem.filter("l_returnflag <> 'R'").selectExpr("l_partkey AS requirement_id", *_said())))
+
+
+def _said() -> list[str]:
+    names = ("status", "severity", "confidence", "evidence", "grounded", "rationale", "seq")
+    out, rest = [], _SAID
+    for name in names:
+        value, _, rest = rest.partition(f" AS {name}")
+        out.append(f"{value.removeprefix(', ')} AS {name}")
+    return out
 
 
 def verdict_overturn(findings: DataFrame, second: DataFrame) -> DataFrame:
-    """A second look's effect: agreement raises confidence; only grounded evidence overturns to a better status."""
+    """finding_id, status, confidence, rationale after a second look (finding_id, second, grounded).
+
+    Agreement raises the confidence to 0.85; an unknown status is agreement. A better status needs evidence that is grounded in
+    the document, else the finding stays; any other change stands. A change raises the confidence to 0.8 and notes itself
+    in the rationale, of which 700 characters stay. A missing confidence is 0.
+    """
     met = findings.join(second, "finding_id", "left")
-    same, better = F.col("status") == F.col("second"), F.col("second").isin("compliant", "partial") & F.col("grounded")
-    conf = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
+    new = one_of(F.col("second"), STATUSES, F.col("status"))
+    looked = F.col("second").isNotNull()
+    agrees = looked & (new == F.col("status"))
+    better = new.isin("compliant", "partial")
+    turns = looked & (new != F.col("status")) & (~better | F.coalesce("grounded", F.lit(False)))
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
     return met.select(
         "finding_id",
-        F.when(F.coalesce(better & ~same, F.lit(False)), F.col("second")).otherwise(F.col("status")).alias("status"),
-        F.when(F.coalesce(same, F.lit(False)), F.greatest(conf, F.lit(0.85))).when(F.coalesce(better, F.lit(False)), F.greatest(conf, F.lit(0.8))).otherwise(conf).alias("confidence"),
+        F.when(turns, new).otherwise(F.col("status")).alias("status"),
+        F.when(agrees, F.greatest(sure, F.lit(0.85))).when(turns, F.greatest(sure, F.lit(0.8))).otherwise(sure).alias("confidence"),
+        F.when(turns, F.substring(F.trim(F.concat(F.coalesce("rationale", F.lit("")), F.lit(CORRECTED))), 1, NOTED_CHARS)).otherwise(F.col("rationale")).alias("rationale"),
     )
 
 
+_SECOND = "CASE ord % 4 WHEN 0 THEN 'Compliant' WHEN 1 THEN 'partial' WHEN 2 THEN 'not_applicable' ELSE 'odd' END AS second, run_id % 2 = 0 AS grounded"
+_WHY = "CASE WHEN ord % 3 = 0 THEN NULL ELSE repeat(concat(requirement_title, ' '), CAST(1 + run_id % 60 AS INTEGER)) END"
 query(
     "verdict_overturn",
-    ", second AS (SELECT finding_id, CASE ord % 3 WHEN 0 THEN 'compliant' WHEN 1 THEN 'partial' ELSE 'non_compliant' END AS second, ord % 2 = 0 AS grounded FROM findings WHERE status = 'non_compliant' AND severity = 'critical') "
-    "SELECT finding_id, CASE WHEN second IN ('compliant','partial') AND grounded AND second <> status THEN second ELSE status END AS status, CASE WHEN status = second THEN greatest(coalesce(CAST(confidence AS DOUBLE), 0), 0.85::DOUBLE) WHEN second IN ('compliant','partial') AND grounded THEN greatest(coalesce(CAST(confidence AS DOUBLE), 0), 0.8::DOUBLE) ELSE coalesce(CAST(confidence AS DOUBLE), 0) END AS confidence FROM findings LEFT JOIN second USING (finding_id)",
+    f", f AS (SELECT *, {_WHY} AS rationale FROM findings), s AS (SELECT finding_id, {_SECOND} FROM findings WHERE status = 'non_compliant' AND severity = 'critical'), j AS (SELECT f.*, second, grounded, CASE WHEN lower(trim(second)) IN ('compliant','partial','non_compliant','not_applicable') THEN lower(trim(second)) ELSE status END AS nw, coalesce(CAST(confidence AS DOUBLE), 0) AS c FROM f LEFT JOIN s USING (finding_id)), "
+    "t AS (SELECT *, second IS NOT NULL AND nw <> status AND (nw NOT IN ('compliant','partial') OR grounded) AS turns FROM j) "
+    f"SELECT finding_id, CASE WHEN turns THEN nw ELSE status END AS status, CASE WHEN second IS NOT NULL AND nw = status THEN greatest(c, 0.85::DOUBLE) WHEN turns THEN greatest(c, 0.8::DOUBLE) ELSE c END AS confidence, CASE WHEN turns THEN left(trim(coalesce(rationale, '') || '{CORRECTED}'), 700) ELSE rationale END AS rationale FROM t",
     "findings",
-)(lambda t: verdict_overturn(t.findings, t.findings.filter("status = 'non_compliant' AND severity = 'critical'").selectExpr("finding_id", "CASE ord % 3 WHEN 0 THEN 'compliant' WHEN 1 THEN 'partial' ELSE 'non_compliant' END AS second", "ord % 2 = 0 AS grounded")))
+)(lambda t: verdict_overturn(t.findings.withColumn("rationale", F.expr(_WHY)), t.findings.filter("status = 'non_compliant' AND severity = 'critical'").selectExpr("finding_id", *_SECOND.split(", run_id")[0:1], "run_id" + _SECOND.split(", run_id")[1])))
 
 
 def present_sections(findings: DataFrame, alignment: DataFrame) -> DataFrame:
