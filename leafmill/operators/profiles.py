@@ -146,11 +146,6 @@ query("version_digest", "SELECT project_id, string_agg(CAST(run_id AS VARCHAR) |
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_id", "status")), asc=False), lambda x: F.concat(x["run_id"].cast("string"), F.lit(":"), x["status"])), ", ").alias("digest")
     )
 )
-query("audit_digest", "SELECT run_id, left(string_agg(finding_id || ' ' || status, chr(10) ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'major' THEN 3 WHEN 'minor' THEN 2 WHEN 'info' THEN 1 ELSE 2 END DESC, ord, finding_id, status), 6000) AS digest FROM findings WHERE status IN ('partial','non_compliant') GROUP BY run_id", "findings")(
-    lambda t: t.findings.filter(is_issue()).groupBy("run_id").agg(
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.expr("-CASE severity WHEN 'critical' THEN 4 WHEN 'major' THEN 3 WHEN 'minor' THEN 2 WHEN 'info' THEN 1 ELSE 2 END").alias("w"), "ord", "finding_id", "status"))), lambda x: F.concat(x["finding_id"], F.lit(" "), x["status"])), "\n"), 1, 6000).alias("digest")
-    )
-)
 query("rag_gap_count", "SELECT template_id, count(*) FILTER (ord % 4 = 2) AS n_rag FROM slots GROUP BY template_id", "slots")(lambda t: t.slots.groupBy("template_id").agg(F.count_if(F.col("ord") % 4 == 2).alias("n_rag")))
 def slot_flags(slots: DataFrame, rules: Sequence[str] = ()) -> DataFrame:
     """(template_id, ord, kind, note): what is wrong with a slot's body, a row a note.
@@ -217,9 +212,6 @@ def _legacy(t) -> DataFrame:
     return legacy_result(runs, _flags(t).select(F.col("template_id").alias("run_id"), "kind"))
 
 
-query("requirement_extract", "SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^[-*] ') THEN 'bullet' ELSE 'modal' END AS kind, left(line, 200) AS title FROM marked_lines WHERE (regexp_matches(line, '^[-*] ') AND length(line) BETWEEN 6 AND 240) OR regexp_matches(line, '(?i)\\b(must|shall|should)\\b')", "marked_lines")(
-    lambda t: t.marked_lines.filter((F.col("line").rlike("^[-*] ") & F.length("line").between(6, 240)) | F.col("line").rlike("(?i)\\b(must|shall|should)\\b")).select("doc_id", "pos", F.when(F.col("line").rlike("^[-*] "), "bullet").otherwise("modal").alias("kind"), F.substring("line", 1, 200).alias("title"))
-)
 query("suggestion_clean", "SELECT conv_id, turn, left(content, 80) AS title, left(content, 280) AS detail FROM history WHERE trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3", "history")(
     lambda t: t.history.filter(F.trim("content") != "").withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("_n <= 3").select("conv_id", "turn", F.substring("content", 1, 80).alias("title"), F.substring("content", 1, 280).alias("detail"))
 )
