@@ -190,13 +190,15 @@ def _probing(items: DataFrame, centroids: np.ndarray, base: np.ndarray, pieces:
     return items.select("rep", "vec", "bound").mapInPandas(run, "shard long, rep long, vec array<float>, bound double, lists array<int>")
 
 
-def _found(entries: DataFrame, asking: DataFrame, parts: dict[int, int], turn: np.ndarray, k: int) -> DataFrame:
-    """(query, rep, least, score): the k nearest entries of each query in each shard that it asks."""
-    pieces = F.lit(1)
-    if many := {shard: -(-n // CHUNK_QUERIES) for shard, n in parts.items() if n > CHUNK_QUERIES}:
-        pieces = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("shard")), F.lit(1))
-    left = entries.withColumn("part", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    right = asking.withColumn("part", F.pmod(F.xxhash64("rep"), pieces).cast("int"))
+def _found(entries: DataFrame, asking: DataFrame, turn: np.ndarray, k: int) -> DataFrame:
+    """(query, rep, least, score): the k nearest entries of each query in each shard that it asks.
+
+    Queries of a shard that many ask are dealt over parts, each of which has the shard's entries. How many is a table with
+    a row a shard, which grows with the vectors: Spark broadcasts it while it is small.
+    """
+    parts = written(asking.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("pieces")), "ann-parts")
+    left = entries.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    right = asking.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")).drop("pieces")
 
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "least": np.empty(0, np.int64), "score": np.empty(0)})]
@@ -278,8 +280,7 @@ def nearest_neighbours(
                 asking = asked_for.join(known.hint("merge"), F.col("rep") == F.col("query"), "left")
                 asking = asking.withColumn("bound", F.when(F.col("_n") > k, 2.0 - 2.0 * F.col("_least") + 1e-9))
             asking = written(_probing(asking, centroids, base, pieces, start, stop), "ann-queries")
-            parts = {int(r[0]): int(r[1]) for r in asking.groupBy("shard").count().collect()}  # a row a shard
-            more = _found(dealt, asking, parts, turn, k + 1)
+            more = _found(dealt, asking, turn, k + 1)
             if found is None:  # a list in several shards gives a query several times k + 1 rows
                 w = Window.partitionBy("query").orderBy(F.desc("score"), "least")
                 found = written(more.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).drop("_r"), "ann-nearest")

@@ -29,8 +29,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, component) for every node of ``edges`` (columns a, b of one orderable type); component = its smallest node.
 
     Large-star and small-star steps alternate until the edges are stars around each component's smallest node. Minima
-    are aggregated on the map side and joins carry plain pairs, so AQE can split the join of a node with very many
-    edges. Each round is written to the shared folder, which cuts the lineage. Self-loops, repeated edges and both
+    are aggregated on the map side and joins carry plain pairs; a node's edges meet in one task, as the join reuses the
+    partitioning of the aggregation, which AQE doesn't split. Each round is written to the shared folder, which cuts the lineage. Self-loops, repeated edges and both
     directions of an edge are allowed; rows with a null end are ignored; an empty table gives an empty result.
     """
     # The edges may be costly to compute: they are written before anything reads them twice.
