@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.plans.registry import query
-from leafmill.plans.shared import written
+from leafmill.plans.shared import spread, written
 
 #: Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -40,7 +40,7 @@ def _postings(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFra
 
     A posting's impact is its part of a score without the term's idf. A query's term has its weight (times x idf) and df.
     """
-    each_chunk = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("double")).withColumn("c", F.monotonically_increasing_id())
+    each_chunk = spread(chunks).select("doc_id", "pos", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("double")).withColumn("c", F.monotonically_increasing_id())
     words = written(each_chunk, "bm25-words")
     stats = words.agg(F.count("*").cast("double").alias("n_chunks"), F.avg("n").alias("avgdl"))
     frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
