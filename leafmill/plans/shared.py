@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def store(path: str):
+    """(pyarrow file system, path in it) for tasks that open files themselves; plain paths and file: URIs are local."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
 

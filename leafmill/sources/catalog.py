@@ -2,23 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.plans.registry import query
 from leafmill.plans.shared import new_folder as scratch
+from leafmill.plans.shared import spread, store
 
 MAX_UPLOAD = 100 << 20
 ALLOWED = ("docx", "doc", "pdf", "txt")
 PROFILE = "name string, corpus_path string, glossary map<string,string>, format_rules array<string>"
 
 
+#: Files that a corpus keeps in one folder, and characters of texts that a scan holds at a time.
+FILES_PER_FOLDER, TEXT_BATCH = 1000, 4 << 20
+
+
+def _entries(folder: str, deep: bool):
+    """A function of batches of (path, folder): each folder becomes what lies in it, .txt files stay."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, _ = store(folder)
+        for pdf in batches:
+            for path, is_folder in zip(pdf["path"], pdf["folder"], strict=True):
+                found = files.get_file_info(fs.FileSelector(path, recursive=deep)) if is_folder else []
+                out = [(x.path, x.type == fs.FileType.Directory) for x in found] if is_folder else [(path, False)]
+                yield pd.DataFrame([x for x in out if x[0].endswith(".txt") or (x[1] and not deep)], columns=["path", "folder"])
+
+    return listed
+
+
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, text) of all .txt files under a folder; doc_id is the path below it; unreadable files are skipped."""
-    files = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    name = F.regexp_replace(F.input_file_name(), "^.*?" + folder.rstrip("/").rpartition("/")[2] + "/", "")
-    return files.select(name.alias("doc_id"), F.col("value").alias("text"))
+    """(doc_id, text) of all .txt files under a folder; doc_id is the path below it; unreadable files are skipped.
+
+    Tasks list the folder and read its files, so no list of files comes to the driver: one lists the first level, each folder
+    found there is walked by one task, and the files of all are dealt anew.
+    """
+    _, root = store(folder)
+    root = root.rstrip("/")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, _ = store(folder)
+        out, held = [], 0
+        for pdf in batches:
+            for path in pdf["path"]:
+                try:
+                    with files.open_input_stream(path) as f:
+                        text = f.read().decode("utf-8", "replace")
+                except OSError:
+                    continue
+                out.append((path[len(root) + 1 :], text))
+                held += len(text)
+                if held > TEXT_BATCH:
+                    yield pd.DataFrame(out, columns=["doc_id", "text"])
+                    out, held = [], 0
+        yield pd.DataFrame(out, columns=["doc_id", "text"])
+
+    entry = "path string, folder boolean"
+    first = spark.createDataFrame([(root, True)], entry).mapInPandas(_entries(folder, False), entry).repartition(tasks, "path")
+    return first.mapInPandas(_entries(folder, True), entry).select("path").repartition(tasks, "path").mapInPandas(read, "doc_id string, text string")
+
+
+def corpus_store(docs: DataFrame, folder: str) -> int:
+    """Stores (doc_id, text) as one .txt file each under a folder, and returns their number; null texts have no file.
+
+    Each task writes its own files, a thousand a folder, named by id, task and row: a repeated task writes the same ones.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = store(folder)
+        task, n = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                own = f"{root.rstrip('/')}/{task}-{n // FILES_PER_FOLDER}"
+                if n % FILES_PER_FOLDER == 0:
+                    files.create_dir(own)
+                with files.open_output_stream(f"{own}/{doc}-{task}-{n}.txt") as f:
+                    f.write(text.encode())
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    rows = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
+    return rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def domain_profiles(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
@@ -242,11 +315,12 @@ def _stored_elements(t) -> DataFrame:
 
 @query("corpus_scan", "SELECT CAST(doc_id AS VARCHAR) AS name, length(text) AS n_chars FROM documents")
 def _corpus_scan(t):
-    """Documents stored as one text file each, found again by a recursive scan."""
+    """Documents stored as one text file each, found again by a recursive scan; null texts have no file and no length."""
     path = scratch(t.spark, "corpus")
-    t.documents.select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(path)
-    back = corpus_scan(t.spark, path)
-    return back.select(F.regexp_extract("doc_id", "doc_id=(-?[0-9]+)/", 1).alias("name"), F.length(F.regexp_replace("text", "\\x00$", "")).cast("long").alias("n_chars"))
+    corpus_store(spread(t.documents), path)
+    name = F.nullif(F.regexp_extract("doc_id", "([^/]*)-[0-9]+-[0-9]+\\.txt$", 1), F.lit(""))
+    back = corpus_scan(t.spark, path).select(name.alias("name"), F.length("text").cast("long").alias("n_chars"))
+    return back.union(t.documents.filter("text IS NULL").select(F.col("doc_id").cast("string"), F.lit(None).cast("long")))
 
 
 @query("domain_profile_scan", "SELECT n_name AS profile_id, CASE WHEN n_nationkey % 3 = 0 THEN 'Profile ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END AS n_terms FROM nation")

@@ -341,3 +341,20 @@ def test_references_styles_and_scores_by_hand(spark):
     sections = spark.createDataFrame([(1, 0, "no"), (1, 1, "blood of mice"), (1, 2, "mice blood"), (2, 0, None), (2, 1, "x")], "doc_id long, pos int, text string")
     asked = spark.createDataFrame([(1, "Blood of mice"), (2, "of")], "doc_id long, query string")
     assert sorted(tuple(r) for r in profiles.best_section(sections, asked).collect()) == [(1, 1, 2), (2, 0, 0)]
+
+
+def test_corpus_scan_lists_and_reads_in_tasks(spark, tmp_path):
+    from leafmill.sources.catalog import corpus_scan, corpus_store
+
+    texts = {0: "", 1: "a\nb\r\n", 2: "é €", 3: None}
+    folder = str(tmp_path / "corpus")
+    assert corpus_store(spark.createDataFrame([*texts.items(), (1, "a\nb\r\n")], "doc_id long, text string"), folder) == 4
+    (tmp_path / "corpus" / "x" / "y").mkdir(parents=True)
+    (tmp_path / "corpus" / "x" / "y" / "deep.txt").write_text("deep")
+    (tmp_path / "corpus" / "top.txt").write_text("top")
+    (tmp_path / "corpus" / "top.md").write_text("not a text file")
+    found = corpus_scan(spark, folder)
+    assert not any("Listing" in line or "FileScan" in line for line in found._jdf.queryExecution().toString().splitlines())
+    got = sorted((r.doc_id.rpartition("/")[2].partition("-")[0], r.text) for r in found.collect())
+    assert got == sorted([("0", ""), ("1", "a\nb\r\n"), ("1", "a\nb\r\n"), ("2", "é €"), ("deep.txt", "deep"), ("top.txt", "top")])
+    assert {"top.txt", "x/y/deep.txt"} <= {r.doc_id for r in found.collect()}
