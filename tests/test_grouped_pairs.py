@@ -11,3 +11,10 @@ def test_a_slot_takes_its_smallest_heading_match(spark):
     got = mapping.first_heading_match(slots, sections)
     pairs = mapping.heading_matches(slots, sections).groupBy("g", "slot").agg(F.min("section").alias("section"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) == [(1, 10, 3), (1, 11, 3)]
+
+
+def test_only_one_line_a_number_meets_requirements(spark):
+    lines = spark.createDataFrame([(1, 0, "1.2 A"), (1, 3, "1.2 B"), (1, 1, "4 C"), (2, 9, "4. D"), (2, 2, "text"), (2, 5, None)], "doc_id long, pos int, line string")
+    requirements = spark.createDataFrame([(1, "1.2"), (1, "1.2"), (2, "4"), (3, "4"), (3, "1.2"), (4, None)], "requirement_id long, section_no string")
+    got = mapping.section_number_match(lines, requirements)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 0.95), (1, 2, 1, 0.95), (1, 3, 0, 0.95), (2, 2, 9, 0.95), (2, 3, 9, 0.95)]
