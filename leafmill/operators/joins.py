@@ -557,11 +557,13 @@ for _name, _union in (("token_overlap", False), ("token_jaccard", True)):
 def tfidf_cosine(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, score): cosine of tf-idf vectors for pairs of items (g, id, tokens); idf within the group g.
 
-    Weights are tf * (ln((n + 1) / (df + 1)) + 1). The dot product is an equi-join on group and term.
+    Weights are tf * (ln((n + 1) / (df + 1)) + 1). An item that stands for several has their number in ``times``. The dot
+    product is an equi-join on group and term.
     """
-    n = items.groupBy("g").agg(F.count("*").alias("n"))
-    tf = items.select("g", "id", F.explode("tokens").alias("term")).groupBy("g", "id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("g", "term").agg(F.count("*").alias("df"))
+    items = items if "times" in items.columns else items.withColumn("times", F.lit(1))
+    n = items.groupBy("g").agg(F.sum("times").alias("n"))
+    tf = items.select("g", "id", "times", F.explode("tokens").alias("term")).groupBy("g", "id", "term").agg(F.count("*").alias("tf"), F.first("times").alias("times"))
+    df = tf.groupBy("g", "term").agg(F.sum("times").alias("df"))
     w = tf.join(df, ["g", "term"]).join(n, "g").select("g", "id", "term", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     left = pairs.join(w.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a")

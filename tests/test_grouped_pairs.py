@@ -18,3 +18,20 @@ def test_only_one_line_a_number_meets_requirements(spark):
     requirements = spark.createDataFrame([(1, "1.2"), (1, "1.2"), (2, "4"), (3, "4"), (3, "1.2"), (4, None)], "requirement_id long, section_no string")
     got = mapping.section_number_match(lines, requirements)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 0.95), (1, 2, 1, 0.95), (1, 3, 0, 0.95), (2, 2, 9, 0.95), (2, 3, 9, 0.95)]
+
+
+def test_copies_of_slots_and_sections_are_compared_once(spark):
+    items = [(1, i, t) for i, t in enumerate([["a", "b"], ["b", "a"], ["a", "b"], ["a", "c"], ["c"], [], ["d"], ["a", "b", "b"]])] + [(2, 20, ["a"]), (2, 21, ["a"]), (None, 22, ["a"])]
+    items = spark.createDataFrame(items, "g long, id long, tokens array<string>")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    slots, sections = [0, 1, 5, 6, 20, 22, 99], [2, 3, 4, 7, 21]
+    got = {r.slot: (r.section, r.score, r.action) for r in mapping.tfidf_slot_match(items, ids(*slots), ids(*sections)).collect()}
+    pairs = spark.createDataFrame([(a, b) for a in (0, 1, 5, 6) for b in (2, 3, 4, 7)] + [(20, 21)], "a long, b long")
+    plain = {}
+    for r in mapping.tfidf_cosine(items, pairs).collect():
+        plain[r.a] = max(plain.get(r.a, (0.0, 0)), (r.score, -r.b))
+    assert got == {s: ((-plain[s][1], round(plain[s][0], 3), "rewrite") if s in plain else (None, 0.0, "rag")) for s in slots}
+    assert got[0] == (2, 1.0, "rewrite") and set(plain) == {0, 1, 20}
+    many = spark.range(4000).select(F.lit(1).alias("g"), "id", F.array(F.lit("a"), F.concat(F.lit("w"), F.col("id") % 3)).alias("tokens"))
+    found = mapping.tfidf_slot_match(many, many.filter("id % 2 = 0").select("id"), many.filter("id % 2 = 1").select("id"))
+    assert [tuple(r) for r in found.groupBy("section", "score").count().orderBy("section").collect()] == [(1, 1.0, 666), (3, 1.0, 667), (5, 1.0, 667)]
