@@ -113,13 +113,17 @@ query(
 
 def _model_mappings(t) -> DataFrame:
     """What a model answered for the template of an order's customer, also for slots that there aren't and more than once."""
-    lines = t.lineitem.join(t.orders.selectExpr("o_orderkey AS l_orderkey", "o_custkey AS template_id"), "l_orderkey")
-    return lines.selectExpr("template_id", "l_partkey % 30 AS ord", "CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx", "l_discount * 10 AS confidence", "l_orderkey * 10 + l_linenumber AS seq")
+    lines = t.placed("lineitem").join(t.orders.selectExpr("o_orderkey AS l_orderkey", "o_custkey AS template_id"), "l_orderkey")
+    return lines.selectExpr("template_id", "l_partkey % 30 AS ord", "CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx", "l_discount * 10 AS confidence", "l_orderkey * 10 + l_linenumber AS seq", "place")
 
 
 def mapping_validate(model: DataFrame, slots: DataFrame, n_sections: int = 4) -> DataFrame:
-    """A model's mappings: the first of each known slot; an unknown section becomes a retrieval of confidence 0."""
-    first = model.withColumn("_n", F.row_number().over(Window.partitionBy("template_id", "ord").orderBy("seq"))).filter("_n = 1")
+    """A model's mappings: the first of each known slot; an unknown section becomes a retrieval of confidence 0.
+
+    Of equal seq the smallest ``place`` counts, where ``model`` has that column.
+    """
+    order = ["seq", *(c for c in model.columns if c == "place")]
+    first = model.withColumn("_n", F.row_number().over(Window.partitionBy("template_id", "ord").orderBy(*order))).filter("_n = 1")
     known = F.col("idx") < n_sections
     rows = first.join(slots.select("template_id", "ord"), ["template_id", "ord"], "left_semi")
     return rows.select("template_id", "ord", F.when(known, F.col("idx")).alias("idx"), F.when(known, F.least(F.lit(1.0), F.col("confidence").cast("double"))).otherwise(0.0).alias("confidence"), F.when(known, "rewrite").otherwise("rag").alias("action"))
