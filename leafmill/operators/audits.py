@@ -20,7 +20,7 @@ def audit_digest(findings: DataFrame, titles: DataFrame | None = None) -> DataFr
     ``findings`` are those of the scores, with ord, finding_id and suggested_fix, ``titles`` (section, title). Up to twelve
     sections that have open findings come by number, then up to sixty open findings by severity, order, id and title, each with its
     section, severity, dimension, title and the first 160 characters of its fix; 6,000 characters stay. A run without open
-    findings has its first line alone.
+    findings has its first line alone. Findings equal in all of these come by ``place``, where there is that column.
     """
     counts = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f"'{s}': "), F.col(f"n_{s}").cast("string")) for s in SEVERITY_WEIGHT]), F.lit("}"))
     whole = score_overall(findings).join(status_label(findings), "run_id").join(severity_counts(findings), "run_id")
@@ -34,7 +34,8 @@ def audit_digest(findings: DataFrame, titles: DataFrame | None = None) -> DataFr
     lines = lambda x, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", x.alias("x")))), lambda s: s["x"]), sep)
     weak = weak.groupBy("run_id").agg(F.concat(F.lit("Sections with issues: "), lines(told, ", ")).alias("weak"))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITY_WEIGHT)), F.col("severity")), F.lit(0))
-    worst = findings.filter(is_issue()).withColumn("_n", F.row_number().over(own.orderBy(F.when(rank == 0, 9).otherwise(rank), "ord", "finding_id", "requirement_title"))).filter(F.col("_n") <= DIGEST_ISSUES)
+    order = ["ord", "finding_id", "requirement_title", *(c for c in findings.columns if c == "place")]
+    worst = findings.filter(is_issue()).withColumn("_n", F.row_number().over(own.orderBy(F.when(rank == 0, 9).otherwise(rank), *order))).filter(F.col("_n") <= DIGEST_ISSUES)
     fix = F.trim(F.coalesce("suggested_fix", F.lit("")))
     shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
     line = F.concat(F.lit("- ["), shown("section_no"), F.lit("] "), shown("severity"), F.lit("/"), shown("dimension"), F.lit(": "), shown("requirement_title"), F.when(fix != "", F.concat(F.lit(" → "), F.substring(fix, 1, FIX_CHARS))).otherwise(""))
@@ -53,7 +54,7 @@ query(
     "ii AS (SELECT run_id, chr(10) || 'Top open findings (section | severity/dimension | requirement → fix):' || chr(10) || string_agg('- [' || coalesce(section_no, 'None') || '] ' || coalesce(severity, 'None') || '/' || coalesce(dimension, 'None') || ': ' || coalesce(requirement_title, 'None') || CASE WHEN trim(coalesce(fix, '')) <> '' THEN ' → ' || left(trim(fix), 160) ELSE '' END, chr(10) ORDER BY n) AS worst FROM i GROUP BY run_id) "
     f"SELECT run_id, left(concat_ws(chr(10), 'Overall: ' || CAST(floor((round(score * 10000) + 50) / 100) AS INTEGER) || '% (' || {_LABEL} || '). Severity counts: {{' || {" || ', ' || ".join(f"'''{s}'': ' || n_{s}" for s in SEVERITY_WEIGHT)} || '}}.', weak, worst), 6000) AS digest FROM g LEFT JOIN ww USING (run_id) LEFT JOIN ii USING (run_id)",
     "findings",
-)(lambda t: audit_digest(t.findings.withColumn("suggested_fix", F.expr(_FIX))))
+)(lambda t: audit_digest(t.placed("findings").withColumn("suggested_fix", F.expr(_FIX))))
 
 
 #: A page limit and the dashes of an enumeration.

@@ -22,3 +22,12 @@ def test_of_equal_answers_the_first_of_the_table_counts(spark, tmp_path):
     assert [tuple(r) for r in joins.mapping_validate(joins._model_mappings(t).repartition(7), slots).collect()] == [(5, 1, 1, 0.1, "rewrite")]
     model = spark.createDataFrame([(5, 1, 0, 0.5, 1, 9), (5, 1, 2, 0.5, 1, 3)], "template_id long, ord long, idx long, confidence double, seq long, place long")
     assert joins.mapping_validate(model, slots).first().idx == 2
+
+
+def test_equal_findings_of_a_digest_come_in_the_order_of_the_table(spark):
+    rows = [(1, f"{n}.1", "major", n) for n in (4, 2, 9, 7)]
+    findings = spark.createDataFrame(rows, "run_id long, section_no string, severity string, place long").selectExpr(
+        "*", "1 AS ord", "'1-1' AS finding_id", "'t' AS requirement_title", "'style' AS dimension", "'partial' AS status", "0.5D AS confidence", "'' AS suggested_fix"
+    )
+    digest = audits.audit_digest(findings.repartition(3)).first().digest
+    assert [line[3:6] for line in digest.splitlines() if line.startswith("- [")] == ["2.1", "4.1", "7.1", "9.1"]
