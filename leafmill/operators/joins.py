@@ -13,6 +13,7 @@ from leafmill.functions import text as X
 from leafmill.operators.retrieval import audit_tokens
 from leafmill.operators.scoring import top_section
 from leafmill.plans.registry import query
+from leafmill.plans.shared import written
 
 _TOP = "CASE WHEN coalesce(trim(split_part(section_no, '.', 1)), '') = '' THEN '—' ELSE split_part(section_no, '.', 1) END"
 
@@ -341,25 +342,36 @@ query(
 )(lambda t: evidence_grounding(t.evidence, t.documents))
 
 
+#: Tasks, for each core, that headings are dealt to.
+ALIGN_TASKS_A_CORE = 32
+
+
 def align_sections(guideline: DataFrame, headings: DataFrame, least: float = 0.5) -> DataFrame:
     """(g, doc_id, no, id, score): for each document and section of its guideline the best heading of ``least`` or more.
 
     ``guideline`` is (g, no, title) with one row a number, ``headings`` (g, doc_id, id, heading). A heading that is the
     number, or goes on after it with a blank or a dot, scores 1 (so section 9 meets 9.4); any other the overlap of tokens,
     |A and B| / min(|A|, |B|). Of equal scores the smallest id wins; headings that share an id are scored one by one. Sections without a number and blank headings take
-    no part. Candidates come from equi-joins on the guideline and a number, or a token.
+    no part. Each text that headings have in a guideline is scored once, by equi-joins on a number, or a token; then the
+    headings, dealt by document, take its scores.
     """
     g = guideline.filter(F.coalesce("no", F.lit("")) != "").select("g", "no", audit_tokens(F.coalesce("title", F.lit(""))).alias("ta")).withColumn("na", F.size("ta"))
-    d = headings.select("g", "doc_id", "id", F.trim("heading").alias("head")).filter("head <> ''").distinct()
+    d = headings.select("g", "doc_id", "id", F.trim("heading").alias("head")).filter("head <> ''")
+    heads = d.select("g", "head").distinct()
     longest = g.agg(F.coalesce(F.max(F.length("no")), F.lit(1)).alias("longest"))  # one row
     ends = F.expr("filter(sequence(1, least(length(head), longest)), i -> substring(head, i + 1, 1) IN ('', ' ', '.'))")
-    begun = d.join(F.broadcast(longest)).select("g", "doc_id", "id", "head", F.explode(ends).alias("i")).select("g", "doc_id", "id", F.expr("substring(head, 1, i)").alias("no"))
-    numbered = begun.join(g.select("g", "no"), ["g", "no"]).select("g", "doc_id", "no", "id", F.lit(1.0).alias("score"))
-    words = d.select("g", "doc_id", "id", "head", audit_tokens(F.col("head")).alias("tb")).withColumn("nb", F.size("tb"))
+    begun = heads.join(F.broadcast(longest)).select("g", "head", F.explode(ends).alias("i")).select("g", "head", F.expr("substring(head, 1, i)").alias("no"))
+    numbered = begun.join(g.select("g", "no"), ["g", "no"]).select("g", "head", "no", F.lit(1.0).alias("score"))
+    words = heads.select("g", "head", audit_tokens(F.col("head")).alias("tb")).withColumn("nb", F.size("tb"))
     met = words.withColumn("tok", F.explode("tb")).join(g.withColumn("tok", F.explode("ta")), ["g", "tok"])
-    overlap = met.groupBy("g", "doc_id", "no", "id", "head", "na", "nb").agg(F.count("*").alias("n")).select("g", "doc_id", "no", "id", (F.col("n") / F.least("na", "nb")).alias("score"))
-    best = numbered.union(overlap.filter(F.col("score") >= least)).groupBy("g", "doc_id", "no").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("x"))
-    return best.select("g", "doc_id", "no", "x.id", F.round("x.score", 3).alias("score"))
+    overlap = met.groupBy("g", "head", "no", "na", "nb").agg(F.count("*").alias("n")).select("g", "head", "no", (F.col("n") / F.least("na", "nb")).alias("score"))
+    fits = numbered.union(overlap.filter(F.col("score") >= least)).groupBy("g", "head", "no").agg(F.max("score").alias("score"))
+    # Written, so that its size is known and a small table is broadcast: then headings stay dealt by document.
+    scored = written(fits.groupBy("g", "head").agg(F.collect_list(F.struct("no", "score")).alias("s")), "heading-scores")
+    tasks = ALIGN_TASKS_A_CORE * d.sparkSession.sparkContext.defaultParallelism
+    each = d.repartition(tasks, "g", "doc_id").join(scored, ["g", "head"]).select("g", "doc_id", "id", F.inline("s"))
+    best = each.groupBy("g", "doc_id", "no").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("x"))
+    return best.select("g", "doc_id", "no", (-F.col("x.id")).alias("id"), F.round("x.score", 3).alias("score"))
 
 
 _TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 3 OR regexp_full_match(x, '[0-9]+')))"
