@@ -60,12 +60,18 @@ query("review_diff", _SLOT_BODIES + _REWRITE + " SELECT template_id, ord, origin
 )
 
 
+#: Tasks, for each core, that the rows of both sides are dealt to.
+SET_TASKS_A_CORE = 16
+
+
 def slot_set_equal(slots: DataFrame, rewritten: DataFrame) -> DataFrame:
     """template_id, missing, surplus: slots without their rewrite and rewrites (or repeated ones) without a slot."""
-    count = lambda df, name: df.groupBy("template_id", "ord").agg(F.count("*").alias(name))
-    met = count(slots, "s").join(count(rewritten, "r"), ["template_id", "ord"], "full")
-    more = lambda a, b: F.sum(F.greatest(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)), F.lit(0)))
-    return met.groupBy("template_id").agg(more("s", "r").alias("missing"), more("r", "s").alias("surplus"))
+    mark = lambda df, by: df.select("template_id", "ord", F.lit(by).alias("d"))
+    both = mark(slots, 1).union(mark(rewritten, -1))
+    # A number of partitions that is given stays as it is: few bytes a row would else become few tasks with large tables.
+    tasks = SET_TASKS_A_CORE * both.sparkSession.sparkContext.defaultParallelism
+    net = both.repartition(tasks, "template_id").groupBy("template_id", "ord").agg(F.sum("d").alias("d"))
+    return net.groupBy("template_id").agg(F.sum(F.greatest("d", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("surplus"))
 
 
 _MODEL = ", m AS (SELECT o_custkey AS template_id, l_partkey % 30 AS ord, CASE WHEN l_suppkey % 5 = 0 THEN 999 ELSE l_suppkey % 4 END AS idx, l_discount * 10 AS confidence, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"

@@ -14,3 +14,12 @@ def test_headings_are_dealt_by_document_and_equal_texts_scored_once(spark):
     assert sorted((r.g, r.no, r.id, r.score) for r in rows if r.doc_id < 2) == [("a", "1", 1, 1.0), ("a", "1", 2, 1.0), ("a", "1.2", 2, 1.0), ("b", "1", 0, 1.0), ("b", "1", 3, 1.0)]
     plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_slots_and_rewrites_are_dealt_once(spark):
+    slots = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (3, 5)], "template_id long, ord long")
+    made = spark.createDataFrame([(1, 0), (1, 0), (1, 7), (2, 0), (4, 1)], "template_id long, ord long")
+    got = joins.slot_set_equal(slots, made)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 2), (2, 0, 0), (3, 1, 0), (4, 0, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
