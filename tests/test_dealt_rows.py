@@ -23,3 +23,12 @@ def test_slots_and_rewrites_are_dealt_once(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 2, 2), (2, 0, 0), (3, 1, 0), (4, 0, 1)]
     plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_a_rationale_may_be_made_after_the_join(spark):
+    findings = spark.createDataFrame([(1, "partial", 0.5, "t"), (2, "partial", 0.9, None)], "finding_id int, status string, confidence double, title string")
+    second = spark.createDataFrame([(1, "not_applicable", None)], "finding_id int, second string, grounded boolean")
+    why = F.repeat("title", F.lit(3))
+    got = joins.verdict_overturn(findings, second, why)
+    plain = joins.verdict_overturn(findings.withColumn("rationale", why), second)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) == [(1, "not_applicable", 0.8, "ttt" + joins.CORRECTED), (2, "partial", 0.9, None)]
