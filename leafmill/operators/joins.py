@@ -61,7 +61,7 @@ query("review_diff", _SLOT_BODIES + _REWRITE + " SELECT template_id, ord, origin
 
 
 #: Tasks, for each core, that the rows of both sides are dealt to.
-SET_TASKS_A_CORE = 16
+SET_TASKS_A_CORE = 64
 
 
 def slot_set_equal(slots: DataFrame, rewritten: DataFrame) -> DataFrame:
