@@ -5,6 +5,7 @@ import re
 import time
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from leafmill.operators import alignment
@@ -128,3 +129,35 @@ def test_phrases_keep_the_text(spark):
 def test_equal_versions_pair_natively(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 5, "b"), (2, 0, None)], "doc_id long, pos int, line string")
     assert sorted(map(tuple, alignment.block_align(rows, rows).collect())) == [(1, 0, 0), (1, 5, 5), (2, 0, 0)]
+
+
+def test_equal_ends_need_no_table(monkeypatch):
+    asked = []
+    whole = alignment.longest
+    monkeypatch.setattr(alignment, "longest", lambda hits, back, width, most=None: asked.append((len(hits), width)) or whole(hits, back, width, most))
+    lines = [f"line{i} x{i}" for i in range(400)]
+    assert alignment.line_pairs(lines, lines[:150] + lines[151:]) == [(i, i - (i > 150)) for i in range(400) if i != 150] and not asked
+    assert alignment.equal_pairs(list("aabab"), list("aabbab")) == [(0, 0), (1, 1), (2, 3), (3, 4), (4, 5)] and not asked
+    swapped = lines[:150] + [lines[151], lines[150]] + lines[152:]
+    assert len(alignment.line_pairs(lines, swapped)) == 399 and asked == [(2, 2)]
+
+
+def test_few_and_many_sets_are_compared_alike(monkeypatch):
+    draw = random.Random(5)
+    sets = [frozenset(draw.choices("abcdefgh", k=draw.randint(0, 6))) for _ in range(60)]
+    few = alignment.like_columns(set(sets[:30]), sets[20:])
+    monkeypatch.setattr(alignment, "PLAIN_PAIRS", 0)
+    assert few == alignment.like_columns(set(sets[:30]), sets[20:])
+
+
+def test_many_documents_share_a_batch():
+    lines = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.string())]))
+    olds = [[{"pos": 0, "line": f"text {i}"}, {"pos": 1, "line": "kept"}] for i in range(300)] + [None]
+    news = [[{"pos": 0, "line": "kept"}]] * 300 + [[{"pos": 4, "line": " a b"}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(olds, lines), pa.array(news, lines)], ["doc_id", "olds", "news"])
+    made = list(alignment._highlighted(iter([batch])))
+    assert len(made) == 2
+    rows = [r for b in made for r in b.to_pylist()]
+    assert rows[:300] == [{"doc_id": i, "pos": 0, "new_pos": None, "before": [{"text": f"text {i}", "changed": True}], "after": []} for i in range(300)]
+    assert rows[300:] == [{"doc_id": 300, "pos": None, "new_pos": 4, "before": [], "after": [{"text": "a b", "changed": True}]}]
+    assert [r for b in alignment._align(iter([batch])) for r in b.to_pylist()] == [{"doc_id": i, "old_pos": 1, "new_pos": 0} for i in range(300)]
