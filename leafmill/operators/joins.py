@@ -559,11 +559,15 @@ def _restyled(t) -> DataFrame:
 _PAIRS = "SELECT x.l_partkey AS a, y.l_partkey AS b, {0} AS ta, {1} AS tb FROM (SELECT DISTINCT x.l_partkey, y.l_partkey AS other FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1) x JOIN (SELECT p_partkey AS l_partkey FROM part) y ON y.l_partkey = x.other JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey"
 
 
+PAIR_TASKS_A_CORE = 16  #: tasks a core for the lines of orders and for their pairs, whose rows are few bytes shuffled but many in memory
+
+
 def neighbours(t) -> DataFrame:
     """(a, b): each two parts that follow one another in an order."""
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
-    behind = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
-    return lines.join(behind, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
+    tasks = PAIR_TASKS_A_CORE * t.spark.sparkContext.defaultParallelism
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a")).repartition(tasks, "l_orderkey", "l_linenumber")
+    behind = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b")).repartition(tasks, "l_orderkey", "l_linenumber")
+    return lines.join(behind.hint("merge"), ["l_orderkey", "l_linenumber"]).select("a", "b").repartition(tasks, "a", "b").distinct()
 
 
 def _title_pairs(t) -> DataFrame:
@@ -596,6 +600,23 @@ def tfidf_cosine(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("score"))
 
 
+def tfidf_cosine_of_copies(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``tfidf_cosine`` of the pairs (a, b) of one group, where items, an id once, with equal words in a group are one bag.
+
+    Terms meet once for each two bags that pairs have, so a pair is moved with its bags and not with its terms. Items are not
+    broadcast to the pairs: every task would hold all of them.
+    """
+    tasks = PAIR_TASKS_A_CORE * pairs.sparkSession.sparkContext.defaultParallelism
+    rows = items.select("g", "id", F.array_sort("tokens").alias("tokens"))
+    bags = rows.groupBy("g", "tokens").agg(F.min("id").alias("bag"), F.count("*").alias("times"))
+    held = rows.join(bags, ["g", "tokens"]).select("g", "id", "bag")
+    of = lambda name: held.select("g", F.col("id").alias(name), F.col("bag").alias(f"_{name}")).repartition(tasks, name, *["g"] * (name == "b")).hint("merge")
+    met = pairs.repartition(tasks, "a").join(of("a"), "a").repartition(tasks, "b", "g").join(of("b"), ["b", "g"]).select("a", "b", "_a", "_b")
+    asked = met.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    scores = tfidf_cosine(bags.select("g", F.col("bag").alias("id"), "tokens", "times"), asked)
+    return met.join(scores.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "score"), ["_a", "_b"]).select("a", "b", "score")
+
+
 query(
     "tfidf_cosine",
     ", it AS (SELECT code AS g, requirement_id AS id, list_filter(regexp_extract_all(lower(title), '[a-z]{3,}'), lambda x: true) AS toks FROM requirements), n AS (SELECT g, count(*) AS n FROM it GROUP BY g), tf AS (SELECT g, id, term, count(*) AS tf FROM (SELECT g, id, unnest(toks) AS term FROM it) GROUP BY ALL), df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL), "
@@ -607,9 +628,7 @@ query(
 
 def _tfidf(t) -> DataFrame:
     items = t.requirements.select(F.col("code").alias("g"), F.col("requirement_id").alias("id"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)).alias("tokens"))
-    of = lambda name: items.select(F.col("id").alias(name), F.col("g").alias(f"_{name}"))
-    pairs = neighbours(t).join(of("a"), "a").join(of("b"), "b").filter("_a = _b").select("a", "b")
-    return tfidf_cosine(items, pairs)
+    return tfidf_cosine_of_copies(items, neighbours(t))
 
 
 _STEM = (

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import mapping
+from leafmill.operators import joins, mapping
+from leafmill.plans.tables import Tables
 
 
 def test_a_slot_takes_its_smallest_heading_match(spark):
@@ -35,3 +36,25 @@ def test_copies_of_slots_and_sections_are_compared_once(spark):
     many = spark.range(4000).select(F.lit(1).alias("g"), "id", F.array(F.lit("a"), F.concat(F.lit("w"), F.col("id") % 3)).alias("tokens"))
     found = mapping.tfidf_slot_match(many, many.filter("id % 2 = 0").select("id"), many.filter("id % 2 = 1").select("id"))
     assert [tuple(r) for r in found.groupBy("section", "score").count().orderBy("section").collect()] == [(1, 1.0, 666), (3, 1.0, 667), (5, 1.0, 667)]
+
+
+def test_pairs_of_copies_score_as_the_items_do(spark):
+    titles = [(1, 1, ["a", "b"]), (1, 2, ["b", "a"]), (1, 3, ["a", "c", "c"]), (1, 4, ["c"]), (1, 5, []), (1, 6, ["a", "b"]), (2, 7, ["a", "b"]), (2, 8, ["a"]), (None, 9, ["a"]), (None, 10, ["a"]), (1, 11, None)]
+    items = spark.createDataFrame(titles, "g long, id long, tokens array<string>")
+    group = {i: g for g, i, _ in titles}
+    every = [(a, b) for a in range(1, 13) for b in range(1, 13)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = sorted(map(tuple, joins.tfidf_cosine_of_copies(items, frame(every)).collect()))
+    plain = joins.tfidf_cosine(items, frame([(a, b) for a, b in every if group.get(a) is not None and group[a] == group.get(b)]))
+    assert got == sorted(map(tuple, plain.collect())) and (1, 2, 1.0) in got and (7, 8) in {x[:2] for x in got}
+
+
+def test_pairs_keep_their_number_of_tasks_and_no_item_is_broadcast_to_them(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    tasks = joins.PAIR_TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert joins.neighbours(t).rdd.getNumPartitions() == tasks
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
+    items = spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["a", "b"])], "g long, id long, tokens array<string>")
+    plan = joins.tfidf_cosine_of_copies(items, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
+    assert joins.tfidf_cosine_of_copies(items, pairs).count() == 2
