@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.operators import joins, mapping
+from leafmill.plans import all as plans
 from leafmill.plans.tables import Tables
 
 
@@ -14,6 +15,18 @@ def test_a_slot_takes_its_smallest_heading_match(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) == [(1, 10, 3), (1, 11, 3)]
 
 
+def test_headings_are_matched_one_to_one_and_an_earlier_slot_takes_what_a_later_one_would(spark, sf_dir):
+    frame = lambda rows: spark.createDataFrame(rows, "g long, id long, title string")
+    slots = frame([(1, 12, "1. Scope"), (1, 10, "1. scope"), (1, 14, "2. Scope"), (1, 16, "Scope"), (1, 18, "4. Scope"), (1, 20, ""), (2, 22, "Aims"), (1, 24, None), (None, 26, "Aims")])
+    sections = frame([(1, 3, "1. Scope"), (1, 5, "2.  Scope"), (1, 7, "scope"), (1, 1, " "), (2, 9, "3. Aims"), (2, 11, "Aims"), (None, 13, "Aims")])
+    got = mapping.heading_exact_match(slots.repartition(3), sections.repartition(2))
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 3, 1.0), (1, 12, 5, 0.97), (1, 14, 7, 0.97), (2, 22, 11, 1.0)]
+    both = slots.filter("id < 15")
+    assert mapping.heading_exact_match(both.filter("id > 12"), both.filter("id <= 12")).collect() == [(1, 14, 10, 0.97)]
+    rows = plans.QUERIES["heading_exact_match"](spark, sf_dir).collect()
+    assert len(rows) == len({r.slot for r in rows}) == len({r.section for r in rows}) > 0
+
+
 def test_only_one_line_a_number_meets_requirements(spark):
     lines = spark.createDataFrame([(1, 0, "1.2 A"), (1, 3, "1.2 B"), (1, 1, "4 C"), (2, 9, "4. D"), (2, 2, "text"), (2, 5, None)], "doc_id long, pos int, line string")
     requirements = spark.createDataFrame([(1, "1.2"), (1, "1.2"), (2, "4"), (3, "4"), (3, "1.2"), (4, None)], "requirement_id long, section_no string")
