@@ -1,5 +1,6 @@
 """Operators on pairs that compare groups of equal rows once, and give what the pairs themselves give."""
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from leafmill.operators import joins, mapping
@@ -34,6 +35,25 @@ def test_only_one_line_a_number_meets_requirements(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 0.95), (1, 2, 1, 0.95), (1, 3, 0, 0.95), (2, 2, 9, 0.95), (2, 3, 9, 0.95)]
 
 
+def test_rows_of_a_requirement_and_a_block_of_documents_stand_together(spark, tmp_path):
+    lines = spark.range(2000).selectExpr("id * 7919 % 100003 AS doc_id", "CAST(id % 5 AS INT) AS pos", "concat('1.', id % 5, ' Scope') AS line")
+    requirements = spark.range(50).selectExpr("id * 37 AS requirement_id", "concat('1.', id % 5) AS section_no")
+    mapping.section_number_match(lines, requirements).write.parquet(str(tmp_path / "rows"))
+    files = [pq.ParquetFile(f).read() for f in (tmp_path / "rows").glob("*.parquet")]
+    ids = [f["requirement_id"].to_pylist() for f in files]
+    assert sum(map(len, ids)) == len({(r, d) for f, x in zip(files, ids) for r, d in zip(x, f["doc_id"].to_pylist())}) == 2000 * 10
+    assert sum(a != b for x in ids for a, b in zip(x, x[1:])) <= 200
+
+
+def test_blocks_of_documents_change_no_row(spark, monkeypatch):
+    lines = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 5 AS INT) AS pos", "concat('1.', id % 2, ' Scope') AS line")
+    requirements = spark.range(9).selectExpr("id AS requirement_id", "concat('1.', id % 3) AS section_no")
+    rows = lambda: sorted(map(tuple, mapping.section_number_match(lines, requirements).collect()))
+    want = rows()
+    monkeypatch.setattr(mapping, "NUMBERED_DOCUMENTS", 7)
+    assert rows() == want and len(want) == 60 * 3
+
+
 def test_copies_of_slots_and_sections_are_compared_once(spark):
     items = [(1, i, t) for i, t in enumerate([["a", "b"], ["b", "a"], ["a", "b"], ["a", "c"], ["c"], [], ["d"], ["a", "b", "b"]])] + [(2, 20, ["a"]), (2, 21, ["a"]), (None, 22, ["a"])]
     items = spark.createDataFrame(items, "g long, id long, tokens array<string>")
